@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, digest, media, mixing, packing, sharding
+from . import chat, digest, media, mixing, packing, sharding, simhash
 from .common import table
 
 
@@ -36,6 +36,10 @@ def op7_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(table(spark, sf_dir, "documents"), n=4, bits=4)
+
+
 def op9_pack_windows(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     import public_tokenizers
 
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_chat_format": op5_chat_format,
     "op6_exact_digest": op6_exact_digest,
     "op7_ring_shards": op7_ring_shards,
+    "op8_simhash_components": op8_simhash_components,
     "op9_pack_windows": op9_pack_windows,
 }
 
