@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -40,7 +41,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def workers(spark: SparkSession) -> SparkSession:
-    """Lets Python workers that are started from now on import this package; on a cluster it is installed there."""
+    """Readies the session for this package's Python functions: workers can import it (on a cluster it is installed there),
+    and batches have few enough rows and bytes for long texts, unless smaller ones are set."""
+    for name, most in (("maxRecordsPerBatch", 2000), ("maxBytesPerBatch", 16 << 20)):
+        now = re.sub(r"\D", "", spark.conf.get(f"spark.sql.execution.arrow.{name}"))
+        if not 0 < int(now or 0) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
@@ -55,3 +61,19 @@ def n_words(text: Column) -> Column:
 def bits48(key: Column) -> Column:
     """48 hash bits of a key as a long from 0, the same in any engine that has MD5; null hashes as the empty text."""
     return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), 1, 12), 16, 10).cast("long")
+
+
+def learnable(key: Column) -> Column:
+    """Rows that labels may be learnt from; the others, a third by hash of the id, are held out."""
+    return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % 3 != 1
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
+    """(doc_id, text, label int) of at most rows labelled ids, those of the least hashes among the learnable ones, as a table.
+    An id labelled more than once has its greatest label; null labels and ids don't count. The ids, bounded by rows, are
+    broadcast."""
+    ids = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & learnable(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    # A repeated id gives one text, the least, so that the bound holds.
+    out = docs.select(F.col("doc_id").alias("d_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), F.col("d_id") == F.col("doc_id"))
+    return written(out.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label"), "labelled")
