@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, digest, media, mixing, packing, quality, sharding, simhash, toxicity
+from . import chat, digest, langid, media, mixing, packing, quality, sharding, simhash, toxicity
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op2_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.stream_features(media.add_streams(docs), ["doc_id", "n_bytes"])
 
 
+def op3_language_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages"))
+
+
 def op4_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -58,6 +62,7 @@ def op10_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_transport_streams": op2_transport_streams,
+    "op3_language_evidence": op3_language_evidence,
     "op4_quality_gam": op4_quality_gam,
     "op5_chat_format": op5_chat_format,
     "op6_exact_digest": op6_exact_digest,
