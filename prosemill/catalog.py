@@ -1,7 +1,323 @@
-"""The registered queries over the prose operators, with their SQL."""
+"""The registered queries over the prose operators, with the DuckDB SQL of those that SQL can express.
+
+Texts come from documents, conversations and pages. Those hold no Markdown and few of the words that rules look for, so
+other queries write such texts from orders and part, with one expression that both engines read.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from prosemill.functions import text as T
+from prosemill.operators import comparison, rules, structure
+from prosemill.operators.rules import RULES, Context
+from prosemill.plans import lint, profile
+
 FLAGSHIP = "exclamation"
-QUERIES: dict = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+# --- texts ---------------------------------------------------------------------------------------------------------
+
+#: A note on an order: words for the rules on words and numbers.
+NOTE = """concat('Clerks ', case o_orderkey % 5 when 0 then 'should' when 1 then 'Could' when 2 then 'must' when 3 then 'may' else 'might' end, ' check order ', o_orderkey, '! Ask NPE and ABC or abc.', chr(10),
+'It''s due on ', lpad(concat(month(o_orderdate)), 2, '0'), '/', lpad(concat(day(o_orderdate)), 2, '0'), '/', year(o_orderdate), ' as the ', o_orderkey % 40 + 1, 'th item at ', o_orderkey % 90 + 10, ' percent, e.g. now, etc. and they don''t wait.', chr(10),
+'Currently the clerk now supports it in the near future. In order to utilize a data base, ask the javascript team or JavaScript team.', chr(10), o_orderkey % 9, '. open the order and close it.')"""
+#: A page on a part: headings, lists and a table row for the rules on blocks.
+PAGE = """concat('# ', p_name, chr(10), chr(10), case when p_partkey % 2 = 0 then '###' else '##' end, ' Running The Big ', p_brand, ' Tests', case when p_partkey % 3 = 0 then '.' else '' end, chr(10), chr(10),
+'- ', case when p_partkey % 4 = 0 then 'First open ' else 'Open ' end, p_type, chr(10), case when p_partkey % 5 < 2 then concat('- Then close it', chr(10)) else '' end, chr(10), 'Using the prune logic real attention helps. The build queue works for ', p_size, ' parts here.', chr(10), 'It goes on.', chr(10), chr(10),
+case when p_partkey % 7 = 0 then concat('1. one', chr(10), '2. two', chr(10)) else concat('1. only', chr(10)) end, '| a | b |', chr(10))"""
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.as_documents(table(spark, sf_dir, "documents"), "doc_id", "text", fmt="markdown")
+
+
+def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.as_documents(table(spark, sf_dir, "orders").select("o_orderkey", F.expr(NOTE).alias("t")), "o_orderkey", "t", fmt="markdown")
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.as_documents(table(spark, sf_dir, "part").select("p_partkey", F.expr(PAGE).alias("t")), "p_partkey", "t", fmt="markdown")
+
+
+def html_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.as_documents(table(spark, sf_dir, "pages"), "page_id", "html", "url", fmt="html")
+
+
+TEXTS = {
+    "documents": (documents, "select doc_id, text from documents"),
+    "notes": (notes, f"select o_orderkey as doc_id, {NOTE} as text from orders"),
+    "pages": (pages, f"select p_partkey as doc_id, {PAGE} as text from part"),
+    "turns": (lambda s, d: structure.as_documents(turns(s, d), "doc_id", "text", fmt="markdown"), "select conv_id * 1000 + turn as doc_id, text from conversations"),
+}
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "role", "text")
+
+
+# --- SQL -----------------------------------------------------------------------------------------------------------
+
+
+def lines_sql(texts: str) -> str:
+    """lines(doc_id, line, byte, text): the lines of texts that aren't empty."""
+    return f"""t as ({texts}), s as (select doc_id, string_split(text, chr(10)) as ls from t),
+    l0 as (select doc_id, unnest(ls) as text, generate_subscripts(ls, 1) as line from s),
+    lines as (select * from (select doc_id, line, text, sum(strlen(text) + 1) over (partition by doc_id order by line) - strlen(text) - 1 as byte from l0) where text <> '')"""
+
+
+def matches_sql(pattern: str, source: str = "lines") -> str:
+    """matches(doc_id, line, match, start_byte, end_byte, start_column, end_column, prev) of a pattern in lines."""
+    p = pattern.replace("'", "''")
+    return f"""m0 as (select doc_id, line, byte, text, regexp_extract_all(text, '{p}') as ms, string_split_regex(text, '{p}') as ps from {source} where regexp_matches(text, '{p}')),
+    m1 as (select doc_id, line, byte, unnest(ms) as match, generate_subscripts(ms, 1) as k, ms, ps from m0),
+    matches as (select doc_id, line, match, list_aggregate(list_concat(ps[1:k], ms[1:k-1]), 'string_agg', '') as before, byte, ps[k] as piece from m1),
+    found as (select doc_id, line, match, byte + strlen(before0) as start_byte, byte + strlen(before0) + strlen(match) as end_byte, 1 + length(before0) as start_column, 1 + length(before0) + length(match) as end_column, right(piece, 1) as prev
+              from (select *, coalesce(before, '') as before0 from matches))"""
+
+
+def quoted_sql(x: str) -> str:
+    return f"concat('\"', replace(replace({x}, '\\', '\\\\'), '\"', '\\\"'), '\"')"
+
+
+PLACES = "doc_id::bigint as doc_id, start_byte::bigint as start_byte, end_byte::bigint as end_byte, line::bigint as start_line, start_column::bigint as start_column, end_column::bigint as end_column"
+
+
+def places(df: DataFrame, *more: str) -> DataFrame:
+    """Findings as the SQL gives them."""
+    longs = ("doc_id", "start_byte", "end_byte", "start_line", "start_column", "end_column")
+    return df.select(*[F.col(c).cast("long").alias(c) for c in longs], "evidence", *more)
+
+
+def register(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:
+    QUERIES[name] = run
+    if sql:
+        ORACLES[name] = sql
+
+
+def rule_query(name: str, rule_id: str, texts: str, sql: str | None, shape: Callable[[DataFrame], DataFrame] = places, policy: profile.Profile | None = None) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return shape(RULES[rule_id](Context(TEXTS[texts][0](spark, sf_dir), policy or profile.resolve())))
+
+    register(name, run, sql)
+
+
+def word_query(name: str, rule_id: str, texts: str, pattern: str, label: str, where: str = "true") -> None:
+    sql = f"with {lines_sql(TEXTS[texts][1])}, {matches_sql(pattern)} select {PLACES}, concat('{label}: ', {quoted_sql('match')}) as evidence from found where {where}"
+    rule_query(name, rule_id, texts, sql)
+
+
+# --- rules on words ------------------------------------------------------------------------------------------------
+
+rule_query("exclamation", "CORE.EXCLAMATION", "documents", f"with {lines_sql(TEXTS['documents'][1])}, {matches_sql('!')} select {PLACES}, concat('exclamation point at ', line, ':', start_column) as evidence from found")
+word_query("contraction", "CORE.CONTRACTION", "notes", r"(?i)\b\w+(?:n't|'ll|'re|'ve|'d)\b|\b(?:it's|that's|there's|here's|what's|who's|let's)\b", "contraction")
+word_query("latin_abbrev", "CORE.LATIN_ABBREV", "notes", r"(?i)\b(?:e\.g\.|i\.e\.|etc\.?)", "Latin abbreviation")
+word_query("latin_abbrev_documents", "CORE.LATIN_ABBREV", "documents", r"(?i)\b(?:e\.g\.|i\.e\.|etc\.?)", "Latin abbreviation")
+word_query("ordinal_numeral", "CORE.ORDINAL_NUMERAL", "notes", r"(?i)\b\d{1,3}(?:st|nd|rd|th)\b", "ordinal numeral")
+word_query("percent_style", "CORE.PERCENT_STYLE", "notes", r"(?i)\b\d+(?:\.\d+)?\s+percent\b", "spelled-out percent")
+word_query("ambiguous_date", "CORE.AMBIGUOUS_DATE", "notes", r"\b(?:0?[1-9]|1[0-2])/(?:0?[1-9]|[12]\d|3[01])/(?:19|20)\d{2}\b", "ambiguous date", "split_part(match, '/', 2)::int <= 12 and prev <> '/'")
+
+_MODALS = " ".join(f"when '{k}' then '{v.replace(chr(39), chr(39) * 2)}'" for k, v in profile.resolve().dictionary["banned_modal_suggestions"].items())
+rule_query(
+    "banned_modal", "CORE.BANNED_MODAL", "notes",
+    f"with {lines_sql(TEXTS['notes'][1])}, {matches_sql(r'(?i)\b(?:should|would|may|might|could)\b')} select {PLACES}, concat('banned modal: ', {quoted_sql('match')}) as evidence, case lower(match) {_MODALS} else 'Replace the unapproved modal.' end as message from found",
+    lambda df: places(df, "message"),
+)
+
+
+def _term_sql(terms: list[str]) -> str:
+    """occurrences(doc_id, line, term, start_byte, end_byte, start_column, end_column, match) of whole terms whatever the case,
+    where letters are ASCII."""
+    listed = ", ".join(f"('{t.replace(chr(39), chr(39) * 2)}')" for t in terms)
+    return f"""terms(term) as (values {listed}),
+    o0 as (select doc_id, line, byte, text, term, unnest(range(1, greatest(length(text) - length(term) + 2, 1))) as i from lines, terms where contains(lower(text), lower(term))),
+    o1 as (select *, substr(text, i, length(term)) as match, case when i > 1 then substr(text, i - 1, 1) else '' end as p, substr(text, i + length(term), 1) as n from o0 where lower(substr(text, i, length(term))) = lower(term)),
+    occurrences as (select doc_id, line, term, match, byte + strlen(left(text, i - 1)) as start_byte, byte + strlen(left(text, i - 1)) + strlen(match) as end_byte, i as start_column, i + length(term) as end_column
+                    from o1 where not regexp_matches(p, '[\\p{{L}}\\p{{Nd}}]') and not regexp_matches(n, '[\\p{{L}}\\p{{Nd}}]'))"""
+
+
+for _name, _texts in (("time_anchor", "notes"), ("time_anchor_documents", "documents")):
+    rule_query(
+        _name, "CORE.TIME_ANCHOR", _texts,
+        f"""with {lines_sql(TEXTS[_texts][1])}, {_term_sql(rules.TIME_ANCHORS)}
+        select {PLACES}, concat('time anchor: ', {quoted_sql('match')}) as evidence from occurrences a where not exists
+        (select 1 from occurrences b where a.doc_id = b.doc_id and a.line = b.line and b.start_byte <= a.start_byte and a.end_byte <= b.end_byte and b.end_byte - b.start_byte > a.end_byte - a.start_byte)""",
+    )
+_BAD = [e for e in profile.resolve().dictionary["entries"] if e["status"] == "discouraged"]
+rule_query(
+    "term_discouraged", "CORE.TERM_DISCOURAGED", "notes",
+    f"""with {lines_sql(TEXTS['notes'][1])}, {_term_sql([e['term'] for e in _BAD])}
+    select {PLACES}, concat('''', term, ''' is discouraged; use ''', s, ''' instead') as evidence, s as suggestion from
+    (select *, case term {' '.join(f"when '{e['term']}' then '{', '.join(e['alternatives'])}'" for e in _BAD)} end as s from occurrences)""",
+    lambda df: places(df, "suggestion"),
+)
+rule_query("term_case", "CORE.TERM_CASE", "notes", f"with {lines_sql(TEXTS['notes'][1])}, {_term_sql(['JavaScript'])} select {PLACES}, 'canonical case is \"JavaScript\"' as evidence from occurrences where match <> 'JavaScript'")
+_KNOWN = [e["term"] for e in profile.resolve().dictionary["entries"]]
+rule_query(
+    "term_unknown", "CORE.TERM_UNKNOWN", "notes",
+    f"""with {lines_sql(TEXTS['notes'][1])}, {_term_sql(_KNOWN)}, {matches_sql('[^ ]+')},
+    w as (select *, regexp_extract(match, '^[^\\p{{L}}\\p{{Nd}}]*') as lead, regexp_replace(regexp_replace(match, '^[^\\p{{L}}\\p{{Nd}}]+', ''), '[^\\p{{L}}\\p{{Nd}}]+$', '') as clean from found)
+    select {PLACES}, concat('Unknown term: ', clean) as evidence from w where clean <> '' and not exists
+    (select 1 from occurrences o where o.doc_id = w.doc_id and o.start_byte <= w.start_byte + strlen(lead) and o.end_byte >= w.start_byte + strlen(lead) + strlen(clean))""",
+)
+rule_query(
+    "procedure_multi_action", "CORE.PROCEDURE_MULTI_ACTION", "notes",
+    f"""with {lines_sql(TEXTS['notes'][1])} select doc_id::bigint as doc_id, byte::bigint as start_byte, (byte + strlen(text))::bigint as end_byte, line::bigint as start_line, 1::bigint as start_column, (1 + length(text))::bigint as end_column,
+    concat('step contains multiple actions: ', {quoted_sql('trim(text)')}) as evidence from lines where strlen(trim(text)) >= 3 and regexp_matches(trim(text), '^[0-9]') and contains(text, '.') and regexp_matches(lower(trim(text)), ' (and|or) ')""",
+)
+_SKIP = ", ".join(f"'{w}'" for w in sorted({w.replace("'", "''") for c in ("stopword", "known_abbrev") for w in profile.resolve().words(c)}))
+for _name, _texts in (("unexpanded_abbrev", "documents"), ("unexpanded_abbrev_notes", "notes")):
+    rule_query(
+        _name, "CORE.UNEXPANDED_ABBREV", _texts,
+        f"""with {lines_sql(TEXTS[_texts][1])}, {matches_sql('[A-Z]+')},
+        n as (select f.*, lower(match) as key, substr(l.text, end_column::int, 1) as next, case when start_column > 1 then substr(l.text, start_column::int - 1, 1) else '' end as before from found f join lines l using (doc_id, line)),
+        c as (select *, row_number() over (partition by doc_id, key order by start_byte) as k from n where length(match) between 2 and 5 and not regexp_matches(before, '[\\p{{L}}\\p{{Nd}}_$]') and not regexp_matches(next, '[\\p{{L}}\\p{{Nd}}_$]') and key not in ({_SKIP}))
+        select {PLACES}, concat('unexpanded abbreviation: ', {quoted_sql('match')}) as evidence from c where k = 1""",
+    )
+for _name, _texts in (("term_consistency", "documents"), ("term_consistency_turns", "turns")):
+    rule_query(
+        _name, "CORE.TERM_CONSISTENCY", _texts,
+        f"""with {lines_sql(TEXTS[_texts][1])}, w0 as (select doc_id, line, string_split_regex(text, '\\s+') as ws from lines), w1 as (select doc_id, line, unnest(ws) as w, generate_subscripts(ws, 1) as pos from w0),
+        w2 as (select doc_id, line, pos, trim(w, '()[]{{}}.,;:!?''"') as term from w1), w3 as (select *, lower(replace(term, '-', '')) as key from w2 where term <> ''),
+        w4 as (select *, first_value(term) over (partition by doc_id, key order by line, pos) as first from w3)
+        select doc_id::bigint as doc_id, concat('term spelled as ', {quoted_sql('first')}, ' and ', {quoted_sql('term')}) as evidence from w4 where term <> first""",
+        lambda df: df.select(F.col("doc_id").cast("long").alias("doc_id"), "evidence"),
+    )
+
+# --- rules on sentences --------------------------------------------------------------------------------------------
+
+
+def sentences_sql(texts: str) -> str:
+    """sentences(doc_id, sent, start_byte, end_byte, words, text) of texts that are one plain block: a sentence ends with a
+    word that ends with a terminator and closing marks, unless that is an abbreviation or an initial."""
+    return f"""t as ({texts}), f as (select doc_id, replace(text, chr(10), ' ') as text from t),
+    p0 as (select doc_id, regexp_extract_all(text, '[^ ]+') as ws, string_split_regex(text, '[^ ]+') as ps from f),
+    p1 as (select doc_id, unnest(ws) as w, generate_subscripts(ws, 1) as i, unnest(ps[1:len(ws)]) as gap from p0),
+    p2 as (select *, sum(strlen(gap) + strlen(w)) over (partition by doc_id order by i) as stop, coalesce(left(lead(w) over (partition by doc_id order by i), 1), '') as next,
+           lower(regexp_extract(w, '^(.*[.!?])["'')\\]}}»’”]*$', 1)) as core from p1),
+    p3 as (select *, case when core = '' then 0 when core = 'etc.' then case when regexp_matches(next, '\\p{{Lu}}') then 1 else 0 end
+           when core in ('e.g.', 'i.e.', 'vs.', 'v.', 'al.', 'fig.', 'ref.', 'no.', 'vol.', 'eds.') or regexp_matches(core, '^[a-z]\\.$') then 0 else 1 end as ends from p2),
+    p4 as (select *, coalesce(sum(ends) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as sent from p3),
+    sentences as (select doc_id, sent, min(stop - strlen(w)) as start_byte, max(stop) as end_byte, string_agg(case when i = first then w else concat(gap, w) end, '' order by i) as text
+                  from (select *, min(i) over (partition by doc_id, sent) as first from p4) group by doc_id, sent)"""
+
+
+_LEX = T.LEX_TOKEN.replace("'", "''")
+BYTES = "doc_id::bigint as doc_id, start_byte::bigint as start_byte, end_byte::bigint as end_byte"
+
+
+def by_bytes(df: DataFrame) -> DataFrame:
+    return df.select(*[F.col(c).cast("long").alias(c) for c in ("doc_id", "start_byte", "end_byte")], "evidence")
+
+
+_S = sentences_sql(TEXTS["documents"][1])
+rule_query("sentence_length", "CORE.SENTENCE_LENGTH", "documents", f"with {_S}, n as (select *, len(regexp_extract_all(text, '{_LEX}')) as words from sentences) select {BYTES}, concat(words, ' words; profile limit is 25') as evidence from n where words > 25", by_bytes)
+rule_query("dense_paragraph", "CORE.DENSE_PARAGRAPH", "documents", f"with {_S}, n as (select doc_id, count(*) as n, sum(len(regexp_extract_all(text, '{_LEX}'))) as words from sentences group by doc_id) select doc_id::bigint as doc_id, concat(n, ' sentences; ', words, ' words') as evidence from n where n > 3 or words > 80", lambda df: df.select(F.col("doc_id").cast("long").alias("doc_id"), "evidence"))
+_DET = ", ".join(f"'{w}'" for w in profile.resolve().words("gerund_determiner"))
+rule_query("gerund_opener", "CORE.GERUND_OPENER", "documents", f"with {_S}, n as (select *, regexp_extract_all(text, '{_LEX}') as ws from sentences) select {BYTES}, concat('sentence opens with gerund ', {quoted_sql('ws[1]')}) as evidence from n where len(ws) >= 2 and lower(ws[1]) like '%ing' and length(ws[1]) >= 6 and lower(ws[2]) in ({_DET})", by_bytes)
+
+
+def _words_sql(name: str) -> str:
+    return ", ".join("'" + w.replace("'", "''") + "'" for w in profile.resolve().words(name))
+
+
+_SCAN = T.STACK_SCAN.replace("'", "''")
+rule_query(
+    "noun_stack", "CORE.NOUN_STACK", "documents",
+    f"""with {_S}, a as (select doc_id, sent, start_byte, end_byte, regexp_extract_all(text, '{_SCAN}') as ws from sentences), b as (select doc_id, sent, start_byte, end_byte, unnest(ws) as w, generate_subscripts(ws, 1) as i from a),
+    c as (select *, (w in ('—', '–', ';', ':') or lower(w) in ({_words_sql('stopword')})) as cut from b), d as (select *, sum(cut::int) over (partition by doc_id, sent order by i) as run from c),
+    e as (select doc_id, sent, start_byte, end_byte, run, list(w order by i) filter (not cut) as ws, coalesce(max(case when cut and w not in ('—', '–', ';', ':') then lower(w) end), '') as before from d group by all)
+    select {BYTES}, concat(case when amb then 'ambiguous ' else '' end, 'noun stack (', len(ws), ' content words): "', array_to_string(ws, ' '), '"', case when amb then concat(' (head "', ws[1], '" is a verb/noun homograph after a determiner)') else '' end) as evidence from
+    (select *, before in ({_words_sql('determiner')}) and lower(ws[1]) in ({_words_sql('garden_path_head')}) as amb, lower(ws[-1]) as last from e where len(ws) >= 3)
+    where len(list_filter(ws, lambda x: lower(x) in ({_words_sql('finite_verb')}))) = 0 and not (last in ({_words_sql('irregular_participle')}) or (strlen(last) >= 4 and last like '%ed' and last not in ({_words_sql('participle_head_exception')})))""",
+    by_bytes,
+)
+
+# --- rules on blocks -----------------------------------------------------------------------------------------------
+
+_L = lines_sql(TEXTS["pages"][1])
+_HEAD = f"with {_L}, h as (select doc_id, line, byte, text, length(regexp_extract(text, '^#+')) as level, trim(regexp_replace(text, '^#+', '')) as body from lines where regexp_matches(text, '^#+( |$)'))"
+_HEAD_PLACE = "doc_id::bigint as doc_id, byte::bigint as start_byte, (byte + strlen(text))::bigint as end_byte, line::bigint as start_line, 1::bigint as start_column, (1 + length(text))::bigint as end_column"
+_WORDS = "list_filter(list_transform(string_split_regex(body, '\\s+'), lambda x: trim(x, ',.;:!?\"''`()[]{} ')), lambda x: regexp_matches(x, '\\p{L}'))"
+_STOP = ", ".join(f"'{w}'" for w in rules.HEADING_STOPWORDS)
+rule_query("heading_skip", "CORE.HEADING_SKIP", "pages", f"{_HEAD}, k as (select *, lag(level) over (partition by doc_id order by line) as above from h) select {_HEAD_PLACE}, concat('H', level, ' follows H', above) as evidence from k where level > above + 1")
+rule_query("heading_punctuation", "CORE.HEADING_PUNCTUATION", "pages", f"{_HEAD} select {_HEAD_PLACE}, concat('heading ends with period: ', {quoted_sql('body')}) as evidence from h where body like '%.' and body not like '%..'")
+rule_query("gerund_heading", "CORE.GERUND_HEADING", "pages", f"{_HEAD}, k as (select *, {_WORDS} as ws from h) select {_HEAD_PLACE}, concat('heading opens with gerund: ', {quoted_sql('ws[1]')}) as evidence from k where len(ws) >= 2 and lower(ws[1]) like '%ing' and length(ws[1]) >= 6")
+rule_query("heading_case", "CORE.HEADING_CASE", "pages", f"{_HEAD}, k as (select *, {_WORDS} as ws from h), r as (select *, list_filter(ws[2:], lambda x: lower(x) not in ({_STOP})) as rest from k where len(ws) >= 4) select {_HEAD_PLACE}, concat('heading: ', {quoted_sql('body')}) as evidence from r where len(rest) >= 3 and len(list_filter(rest, lambda x: regexp_matches(regexp_extract(x, '\\p{{L}}'), '\\p{{Lu}}'))) = len(rest)")
+_BLOCKS = f"""with {_L}, k as (select *, case when regexp_matches(text, '^- ') then 'bulleted' when regexp_matches(text, '^[0-9]+[.)] ') then 'numbered' else 'other' end as class, regexp_replace(text, '^(- |[0-9]+[.)] )', '') as body from lines),
+    n as (select *, coalesce(lag(class) over w, '') as before, coalesce(lead(class) over w, '') as after from k window w as (partition by doc_id order by line))"""
+rule_query("single_item_list", "CORE.SINGLE_ITEM_LIST", "pages", f"{_BLOCKS} select {_HEAD_PLACE}, concat('single-item list: ', {quoted_sql('body')}) as evidence from n where class <> 'other' and before <> class and after <> class")
+rule_query("sequential_bullet", "CORE.SEQUENTIAL_BULLET", "pages", f"{_BLOCKS}, q as (select *, {_WORDS} as ws from n where class = 'bulleted') select {_HEAD_PLACE}, concat('bulleted item opens with ', {quoted_sql('ws[1]')}) as evidence from q where lower(ws[1]) in ({', '.join(repr(w) for w in rules.SEQUENCE_WORDS)})")
+
+# --- structure and vocabulary --------------------------------------------------------------------------------------
+
+register("segments", lambda s, d: structure.segments(documents(s, d)).select("doc_id", F.col("seg_no").cast("long").alias("seg_no"), "type", F.col("start_byte").cast("long").alias("start_byte"), F.col("end_byte").cast("long").alias("end_byte"), F.col("start_line").cast("long").alias("line"), F.length("text").cast("long").alias("n_chars")),
+         f"with {lines_sql(TEXTS['documents'][1])} select doc_id, (row_number() over (partition by doc_id order by line) - 1)::bigint as seg_no, 'prose' as type, byte::bigint as start_byte, (byte + strlen(text))::bigint as end_byte, line::bigint as line, length(text)::bigint as n_chars from lines")
+register("blocks", lambda s, d: structure.blocks(documents(s, d)).select("doc_id", F.col("block_no").cast("long").alias("block_no"), "marker", F.col("start_byte").cast("long").alias("start_byte"), F.col("end_byte").cast("long").alias("end_byte"), F.md5(F.col("text").cast("binary")).alias("text_md5")),
+         "select doc_id, 0::bigint as block_no, '' as marker, 0::bigint as start_byte, strlen(text)::bigint as end_byte, md5(trim(replace(text, chr(10), ' '))) as text_md5 from documents")
+register("sentences", lambda s, d: structure.sentences(documents(s, d)).select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("sent_no", "start_byte", "end_byte")], F.size(T.tokens(F.col("text"))).cast("long").alias("words")),
+         f"with {_S} select doc_id, sent::bigint as sent_no, start_byte::bigint as start_byte, end_byte::bigint as end_byte, len(regexp_extract_all(text, '{_LEX}'))::bigint as words from sentences")
+register("html_visible_text", lambda s, d: structure.visible_text(html_pages(s, d)))
+register("html_projection", lambda s, d: structure.projection(html_pages(s, d)))
+register("chunks", lambda s, d: structure.chunks(documents(s, d), 2048).select("doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), F.col("start_byte").cast("long").alias("start_byte"), F.col("end_byte").cast("long").alias("end_byte"), F.md5(F.col("text").cast("binary")).alias("text_md5")))
+register("token_counts", lambda s, d: comparison.term_counts(documents(s, d), "content"), f"select lower(w) as term, count(*)::bigint as n from (select unnest(regexp_extract_all(text, '{T.CORPUS_TOKEN.replace(chr(39), chr(39) * 2)}')) as w from documents) group by 1")
+_PHRASES = """ws as (select {key}, list_filter(string_split_regex(lower(regexp_replace(text, '[^\\p{{L}}\\p{{Nd}}\\-]', ' ', 'g')), ' +'), lambda x: x <> '') as ws from {source}),
+    ats as (select {key}, ws, unnest(range(1, len(ws))) as i from ws), phrases as (select {key}, array_to_string(ws[i:i+1], ' ') as term from ats union all select {key}, array_to_string(ws[i:i+2], ' ') as term from ats where i + 2 <= len(ws))"""
+register("phrase_counts", lambda s, d: comparison.phrase_counts(turns(s, d)), f"with {_PHRASES.format(key='conv_id', source='conversations')} select term, count(*)::bigint as n from phrases group by 1")
+
+
+def _novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of assistants' turns that users' turns never have."""
+    t = turns(spark, sf_dir)
+    changed, base = (structure.as_documents(t.filter(F.col("role") == r), "doc_id", "text", fmt="markdown") for r in ("assistant", "user"))
+    found = lint.lint(changed, profile.resolve(), base, "conversations", ["CORE.CORPUS_NOVELTY"])
+    return by_bytes(found)
+
+
+_C = T.CORPUS_TOKEN.replace("'", "''")
+_TURN_LINES = lines_sql("select conv_id * 1000 + turn as doc_id, text from conversations where role = 'assistant'")
+
+
+def _counted(role: str) -> str:
+    return f"select lower(w) as term, count(*) as n from (select unnest(regexp_extract_all(text, '{_C}')) as w from conversations where role = '{role}') group by 1"
+
+
+def _phrased(role: str, name: str, joined: bool) -> str:
+    # A snapshot's segments are joined by spaces, the changed contents are read whole; both part words alike.
+    return _PHRASES.format(key="conv_id", source=f"(select * from conversations where role = '{role}')").replace("phrases as", f"{name} as").replace("ws as (select conv_id, list", f"ws_{name} as (select conv_id, list").replace("ats as (select conv_id, ws, unnest", f"ats_{name} as (select conv_id, ws, unnest").replace(" from ws)", f" from ws_{name})").replace(" from ats", f" from ats_{name}")
+
+
+_STOPS = _words_sql("corpus_novelty_stopword")
+_KNOWN_SQL = ", ".join(f"'{e['term'].lower()}'" for e in profile.resolve().dictionary["entries"])
+_OUT = "(regexp_matches({x}, '.\\p{{Lu}}|\\p{{Nd}}') or lower({x}) in (" + _STOPS + ", " + _KNOWN_SQL + ") or length({x}) < 3)"
+register(
+    "corpus_novelty", _novelty,
+    f"""with {_TURN_LINES}, ut as ({_counted('user')}), ct as ({_counted('assistant')}), {_phrased('user', 'up', True)}, {_phrased('assistant', 'cp', False)}, cpn as (select term, count(*) as n from cp group by 1),
+    tk0 as (select doc_id, line, byte, text, regexp_extract_all(text, '{_C}') as ws from lines), tk as (select doc_id, line, byte, text, unnest(ws) as raw, generate_subscripts(ws, 1) as pos from tk0),
+    tt as (select doc_id, line, byte, text, pos, lower(raw) as term, 'term' as what from tk where not {_OUT.format(x='raw')}),
+    pw as (select doc_id, line, byte, text, list_filter(string_split_regex(lower(regexp_replace(text, '[^\\p{{L}}\\p{{Nd}}\\-]', ' ', 'g')), ' +'), lambda x: x <> '') as ws from lines), pi as (select *, unnest(range(1, len(ws))) as i from pw),
+    pp as (select doc_id, line, byte, text, 2 * i as pos, ws[i:i+1] as p from pi union all select doc_id, line, byte, text, 2 * i + 1 as pos, ws[i:i+2] as p from pi where i + 2 <= len(ws)),
+    pt as (select doc_id, line, byte, text, pos, array_to_string(p, ' ') as term, 'phrase' as what from pp where len(list_filter(p, lambda x: {_OUT.format(x='x')})) = 0),
+    al as (select tt.*, n from tt join ct using (term) where n >= 2 and term not in (select term from ut) union all select pt.*, n from pt join cpn using (term) where n >= 2 and term not in (select term from up)),
+    once as (select *, row_number() over (partition by doc_id, term order by line, what = 'phrase', pos) as k from al)
+    select doc_id::bigint as doc_id, byte::bigint as start_byte, (byte + strlen(text))::bigint as end_byte, concat('corpus-novelty: ', what, ' "', term, '" git_compare_count=0 change_count=', n, ' git_compare_rev=conversations') as evidence from once where k = 1""",
+)
+
+# --- whole plans ---------------------------------------------------------------------------------------------------
+
+register("lint_pages", lambda s, d: lint.lint(pages(s, d), profile.resolve()).select("doc_id", "rule_id", "severity", F.col("start_byte").cast("long").alias("start_byte"), F.col("end_byte").cast("long").alias("end_byte"), "evidence"))
+register("lint_html", lambda s, d: by_bytes(lint.lint(html_pages(s, d), profile.resolve())))
+_E = "(select count(*) from (" + ORACLES["exclamation"] + "))"
+register("findings_by_rule", lambda s, d: lint.summary(lint.lint(documents(s, d), profile.resolve(), only=["CORE.EXCLAMATION", "CORE.UNEXPANDED_ABBREV", "CORE.SENTENCE_LENGTH"])),
+         " union all ".join(f"select '{r}' as rule_id, '{sv}' as severity, '{en}' as enforcement, count(*)::bigint as n, count(distinct doc_id)::bigint as docs from ({ORACLES[q]}) having count(*) > 0"
+                            for r, q, sv, en in (("CORE.EXCLAMATION", "exclamation", "info", "candidate"), ("CORE.UNEXPANDED_ABBREV", "unexpanded_abbrev", "info", "candidate"), ("CORE.SENTENCE_LENGTH", "sentence_length", "warning", "enforced"))))
+register("lint_failed", lambda s, d: lint.failed(lint.lint(documents(s, d), profile.resolve(), only=["CORE.SENTENCE_LENGTH"]), "warning"), f"select count(*) > 0 as failed from ({ORACLES['sentence_length']})")
+register("rule_coverage", lambda s, d: lint.coverage(s, profile.resolve()))
