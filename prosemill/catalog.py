@@ -321,3 +321,93 @@ register("findings_by_rule", lambda s, d: lint.summary(lint.lint(documents(s, d)
                             for r, q, sv, en in (("CORE.EXCLAMATION", "exclamation", "info", "candidate"), ("CORE.UNEXPANDED_ABBREV", "unexpanded_abbrev", "info", "candidate"), ("CORE.SENTENCE_LENGTH", "sentence_length", "warning", "enforced"))))
 register("lint_failed", lambda s, d: lint.failed(lint.lint(documents(s, d), profile.resolve(), only=["CORE.SENTENCE_LENGTH"]), "warning"), f"select count(*) > 0 as failed from ({ORACLES['sentence_length']})")
 register("rule_coverage", lambda s, d: lint.coverage(s, profile.resolve()))
+
+# --- revision, references and scores -------------------------------------------------------------------------------
+
+from prosemill.operators import comments as source_comments  # noqa: E402
+from prosemill.operators import reports, revision  # noqa: E402
+from prosemill.sources import files  # noqa: E402
+
+_sql = lambda p: p.replace("'", "''")
+
+
+def _tokens_sql(text: str, pattern: str) -> str:
+    return f"list_filter(list_transform(regexp_extract_all({text}, '{_sql(pattern)}'), lambda t: rtrim(t, '{revision.TRAILING}')), lambda t: t <> '')"
+
+
+for _name, _texts in (("protected_tokens", "documents"), ("protected_tokens_notes", "notes")):
+    register(_name, lambda s, d, t=_texts: TEXTS[t][0](s, d).select("doc_id", F.explode(revision.protected_tokens(F.col("content"))).alias("token")),
+             f"select doc_id, unnest(list_distinct({_tokens_sql('text', revision.PROTECTED)})) as token from ({TEXTS[_texts][1]})")
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document beside the one of the next id: a rewrite and its source, as a stand-in."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return d.join(d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("rewrite")), "doc_id").withColumnRenamed("text", "source")
+
+
+_PAIR_SQL = "(select a.doc_id, a.text as source, b.text as rewrite from documents a join documents b on b.doc_id = a.doc_id + 1)"
+register("injected_tokens", lambda s, d: _pairs(s, d).select("doc_id", F.explode(revision.injected_tokens(F.col("source"), F.col("rewrite"))).alias("token")),
+         f"select doc_id, unnest(list_distinct(list_filter({_tokens_sql('rewrite', revision.INJECTED)}, lambda t: not list_contains({_tokens_sql('source', revision.INJECTED)}, t)))) as token from {_PAIR_SQL}")
+register("judged_rewrites", lambda s, d: revision.judged_rewrites(_pairs(s, d)).select("doc_id", "reason", F.md5(F.col("result").cast("binary")).alias("result_md5")),
+         f"""with j as (select *, case when trim(rewrite) = '' then 'empty' when len(list_filter({_tokens_sql('source', revision.PROTECTED)}, lambda t: not contains(rewrite, t))) > 0 then 'protected content lost'
+         when len(list_filter({_tokens_sql('rewrite', revision.INJECTED)}, lambda t: not list_contains({_tokens_sql('source', revision.INJECTED)}, t))) > 0 then 'content injected' end as reason from {_PAIR_SQL})
+         select doc_id, reason, md5(case when reason is null then rewrite else source end) as result_md5 from j""")
+register("token_estimate", lambda s, d: documents(s, d).select("doc_id", revision.token_estimate(F.col("content")).alias("tokens")), "select doc_id, ((strlen(text) + 3) // 4)::bigint as tokens from documents")
+
+
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A recorded answer of a model on each order's note, of seven kinds by key."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.expr(NOTE).alias("chunk"))
+    kind = F.col("k") % 7
+    principle = F.when(kind == 1, "CORE.NOUN_STACK").when(kind == 2, "CORE.EXCLAMATION").when(kind == 3, "CORE.MADE_UP").otherwise("CORE.SHORT_SENTENCE")
+    words = F.when(kind == 4, "we guarantee it").otherwise("shorter")
+    item = F.struct(F.lit("rewrite").alias("kind"), F.lit("ask the").alias("source_text"), F.struct(F.lit(0).alias("start"), F.lit(9).alias("end")).alias("source_range"), F.array(principle).alias("principle_ids"), words.alias("reason"), F.lit("ask that").alias("replacement"), F.when(kind == 5, 1.5).otherwise(0.9).alias("confidence"))
+    raw = F.to_json(F.struct(F.array(item).alias("findings")))
+    return o.select(F.col("k").cast("string").alias("response_id"), "chunk", F.lit(0).alias("chunk_start"), F.when(kind == 6, F.concat(F.lit("```json\n"), raw, F.lit("\n```"))).otherwise(raw).alias("raw"))
+
+
+register("validated_responses", lambda s, d: revision.validated(_answers(s, d)).select("response_id", "status", F.col("discarded").cast("long").alias("discarded"), "replacement", F.coalesce("start_byte", F.lit(-1)).cast("long").alias("start_byte")),
+         f"""select o_orderkey::varchar as response_id, case when k in (3, 4, 5) then 'failed' else 'ok' end as status, (case when k = 2 then 1 else 0 end)::bigint as discarded, case when k in (0, 1, 6) then 'ask that' end as replacement,
+         case when k in (0, 1, 6) then strlen(left(t, strpos(t, 'ask the') - 1)) else -1 end::bigint as start_byte from (select o_orderkey, o_orderkey % 7 as k, {NOTE} as t from orders)""")
+
+CODE = """concat('x = "# no ', o_orderkey, '"  # order ', o_orderkey, chr(10), '# first line', chr(10), '# second line', chr(10), 'y = 2', chr(10), case when o_orderkey % 5 = 0 then 'z = "open' else '' end, chr(10))"""
+
+
+def _comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_comments.comments(table(spark, sf_dir, "orders").select(F.concat(F.lit("f"), F.col("o_orderkey"), F.lit(".py")).alias("path"), F.expr(CODE).alias("content")))
+
+
+register("source_comments", lambda s, d: _comments(s, d).select("path", "sha256", "comment_id", F.coalesce("start_byte", F.lit(-1)).cast("long").alias("start_byte"), F.coalesce("start_line", F.lit(-1)).cast("long").alias("start_line"), "text"),
+         f"""with f as (select o_orderkey as k, concat('f', o_orderkey, '.py') as path, {CODE} as c from orders)
+         select path, sha256(c) as sha256, 'c0001' as comment_id, (strpos(c, '# order') - 1)::bigint as start_byte, 1::bigint as start_line, concat('# order ', k) as text from f where k % 5 <> 0
+         union all select path, sha256(c), 'c0002', (strpos(c, '# first') - 1)::bigint, 2::bigint, concat('# first line', chr(10), '# second line') from f where k % 5 <> 0
+         union all select path, sha256(c), null, -1, -1, null from f where k % 5 = 0""")
+
+
+def _lint_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, places_of = source_comments.comment_documents(_comments(spark, sf_dir))
+    found = lint.lint(docs, profile.resolve(), only=["CORE.TERM_CONSISTENCY", "CORE.SENTENCE_LENGTH", "CORE.NOUN_STACK", "CORE.UNEXPANDED_ABBREV"])
+    return source_comments.mapped_to_comments(found, places_of).select("source", "rule_id", "comment_id", F.col("source_start").cast("long").alias("source_start"), "evidence")
+
+
+register("lint_comments", _lint_comments)
+_MARKS = " or ".join(f"contains(html, '{m}')" for m in files.SECRET_MARKS)
+register("admitted_references", lambda s, d: files.admitted(table(s, d, "pages").select(F.col("url").alias("path"), F.col("html").cast("binary").alias("content")), None, 4000, secrets=True).select("path", "status", "reason"),
+         f"select url as path, case when r is null then 'ok' else 'refused' end as status, r as reason from (select url, case when strlen(html) > 4000 then 'over 4000 bytes' when {_MARKS} then 'content looks like a secret' end as r from pages)")
+register("eval_scores", lambda s, d: reports.scores(table(s, d, "labels").join(table(s, d, "documents").select("doc_id", "source"), "doc_id").select(F.col("source").alias("run"), F.when(F.col("toxic") == 1, "invalid").when(F.col("quality") == 1, "matched").otherwise("missed").alias("class"))),
+         """with j as (select source as run, case when toxic = 1 then 'invalid' when quality = 1 then 'matched' else 'missed' end as class from labels join documents using (doc_id)),
+         n as (select run, count(*) filter (class = 'matched') as matched, count(*) filter (class = 'missed') as missed, 0::bigint as valid, count(*) filter (class = 'invalid') as invalid, 0::bigint as non_comment, 0::bigint as context from j group by run)
+         select *, case when matched + missed > 0 then matched / (matched + missed) else 1.0 end::double as recall, case when matched + invalid > 0 then matched / (matched + invalid) else 1.0 end::double as precision from n""")
+register("span_coverage", lambda s, d: reports.span_coverage(
+    table(s, d, "orders").select(F.col("o_custkey").alias("file"), F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 100).alias("start_byte"), (F.col("o_orderkey") % 100 + 20).alias("end_byte")),
+    table(s, d, "customer").select(F.col("c_custkey").alias("file"), F.lit(10).cast("long").alias("start_byte"), F.lit(55).cast("long").alias("end_byte"))).select("file", "id", "coverage", "targets_comment"),
+         """select o_custkey as file, o_orderkey as id, c::double as coverage, c >= 0.5 as targets_comment from (select o_custkey, o_orderkey, case when c_custkey is null then 0 else greatest(0, least(o_orderkey % 100 + 20, 55) - greatest(o_orderkey % 100, 10)) end / 20.0 as c from orders left join customer on o_custkey = c_custkey)""")
+register("corpus_drift", lambda s, d: reports.drift(
+    table(s, d, "documents").filter("doc_id % 3 < 2").select(F.col("doc_id").cast("string").alias("path"), F.sha2(F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise("other").cast("binary"), 256).alias("sha256")),
+    table(s, d, "documents").filter("doc_id % 5 > 0").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))),
+         "select doc_id::varchar as path, case when doc_id % 5 = 0 then 'removed' when doc_id % 3 = 2 then 'added' else 'changed' end as change from documents where (doc_id % 5 = 0 and doc_id % 3 < 2) or (doc_id % 5 > 0 and doc_id % 3 > 0)")
+register("report_json", lambda s, d: reports.as_json(RULES["CORE.EXCLAMATION"](Context(documents(s, d), profile.resolve()))))
+register("report_agent_lines", lambda s, d: reports.as_lines(RULES["CORE.EXCLAMATION"](Context(documents(s, d), profile.resolve())), "agent"), f"select concat('lint: INFO CORE.EXCLAMATION path:doc/', doc_id) as value from ({ORACLES['exclamation']})")
+register("chunk_progress", lambda s, d: reports.chunk_progress(structure.chunks(documents(s, d), 2048), documents(s, d)).select("doc_id", "analyzed_bytes", "complete"), "select doc_id, strlen(text)::bigint as analyzed_bytes, true as complete from documents")
+register("guidance", lambda s, d: reports.guidance(s))
