@@ -32,8 +32,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder, read back: cuts lineage, survives lost executors, is computed once."""
+#: Rows of a file of small rows.
+FILE_ROWS = 250_000
+
+
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """df as a table in the shared folder, read back: cuts lineage, survives lost executors, is computed once. With rows, about
+    as many as it has, it gets a file for each FILE_ROWS, however many partitions made it."""
+    if rows is not None:
+        df = df.coalesce(-(-max(rows, 1) // FILE_ROWS))
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/prosemill/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)

@@ -68,7 +68,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: fl
     """
     size = n_words(F.col("text")) if size is None else size
     rows = written(docs.select(F.col(key).alias("doc_id"), "source", size.cast("long").alias("size"), bits48(F.col(key)).alias("h")), "mix")
-    return taken(rows, shares(rows, weights, share, cap)).select("doc_id", "source", "size", "source_size", "target", "taken")
+    return taken(rows, shares(rows, weights, share, cap), rows.select("source").distinct().count()).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
 #: Most sources whose shares are broadcast; more are joined.
@@ -79,17 +79,17 @@ def shares(rows: DataFrame, weights: tuple[int, ...], share: float, cap: float)
     """What a source's rows (source, size, h) need to know, one row a source: t_source, source_size, target, copies, edge, left
     and tied."""
     sizes = rows.groupBy("source").agg(F.sum("size").alias("size"))
-    targets = written(source_targets(sizes, weights, share, cap), "targets")
+    targets = source_targets(sizes, weights, share, cap)
     copies = F.floor(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0))
     targets = targets.withColumn("copies", copies).withColumn("budget", F.floor("target") - F.col("copies") * F.col("source_size"))
     edges = hash_thresholds(rows, targets.filter("source_size > 0").select("source", "budget"))
     return targets.join(edges.withColumnRenamed("source", "e_source"), F.col("source").eqNullSafe(F.col("e_source")), "left").select(F.col("source").alias("t_source"), "source_size", "target", "copies", "edge", "left", "tied")
 
 
-def taken(rows: DataFrame, by_source: DataFrame) -> DataFrame:
+def taken(rows: DataFrame, by_source: DataFrame, sources: int) -> DataFrame:
     """rows (source, size, h, ...) with the columns of shares and taken."""
-    by_source = written(by_source, "shares")
-    by_source = F.broadcast(by_source) if by_source.count() <= SOURCES else by_source
+    by_source = written(by_source, "shares", sources)
+    by_source = F.broadcast(by_source) if sources <= SOURCES else by_source
     part = F.when(F.col("h") < F.col("edge"), F.col("size")).when(F.col("h") == F.col("edge"), F.floor(F.col("left") * F.col("size") / F.col("tied"))).otherwise(0)
     return rows.join(by_source, rows["source"].eqNullSafe(F.col("t_source"))).withColumn("taken", (F.col("copies") * F.col("size") + part).cast("long"))
 
@@ -99,7 +99,7 @@ def repeated(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
     at its source's threshold its first words, as many as are taken, with n_chars to match. All columns stay."""
     sized = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), "source", n_words(F.col("text")).alias("size"), bits48(F.col(key)).alias("h"))
     found = written(sized.select("source", "size", "h"), "mix")
-    out = taken(sized, shares(found, weights, share, cap)).filter("taken > 0")
+    out = taken(sized, shares(found, weights, share, cap), found.select("source").distinct().count()).filter("taken > 0")
     whole, rest = F.floor(F.col("taken") / F.col("size")).cast("int"), F.col("taken") % F.col("size")
     out = out.withColumn("__words", F.explode(F.concat(F.array_repeat(F.lit(-1).cast("long"), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))))
     text = F.when(F.col("__words") < 0, F.col("__row.text")).otherwise(_first_words(F.col("__row.text"), F.col("__words")))
