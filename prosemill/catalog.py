@@ -411,3 +411,10 @@ register("report_json", lambda s, d: reports.as_json(RULES["CORE.EXCLAMATION"](C
 register("report_agent_lines", lambda s, d: reports.as_lines(RULES["CORE.EXCLAMATION"](Context(documents(s, d), profile.resolve())), "agent"), f"select concat('lint: INFO CORE.EXCLAMATION path:doc/', doc_id) as value from ({ORACLES['exclamation']})")
 register("chunk_progress", lambda s, d: reports.chunk_progress(structure.chunks(documents(s, d), 2048), documents(s, d)).select("doc_id", "analyzed_bytes", "complete"), "select doc_id, strlen(text)::bigint as analyzed_bytes, true as complete from documents")
 register("guidance", lambda s, d: reports.guidance(s))
+
+from prosemill.operators import prompts  # noqa: E402
+
+register("planned_requests", lambda s, d: prompts.planned(documents(s, d), profile.resolve(), 4096, most_requests=1 << 30).select("doc_id", F.col("start_byte").cast("long").alias("start_byte"), F.col("end_byte").cast("long").alias("end_byte"), "tokens"))
+register("dictionary_guidance", lambda s, d: notes(s, d).select("doc_id", F.explode(prompts.dictionary_guidance(F.col("content"), profile.resolve())).alias("line")),
+         " union all ".join(f"select o_orderkey as doc_id, '{_sql(line)}' as line from orders" for line in (
+             "Avoid 'utilize'; use use. Write 'use'.", "Avoid 'in order to'; use to. Write 'to'.", "Keep 'to' (preposition).", "Avoid 'data base'; use database. Write it as one word.", "Keep 'JavaScript' (proper noun).", "Keep 'the' (article).")))

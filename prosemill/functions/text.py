@@ -6,6 +6,7 @@ ascii_boundary, so that a result doesn't depend on the engine.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -38,8 +39,7 @@ def positions(text: Column, pattern: str) -> Column:
 
     The pieces between matches come from split, so one running sum over both gives every offset.
     """
-    found, pieces = tokens(text, pattern), F.split(text, pattern, -1)
-    pairs = F.arrays_zip(found.alias("m"), F.slice(pieces, F.lit(1), F.size(found)).alias("p"))
+    pairs = bound(tokens(text, pattern), lambda found: F.zip_with(found, F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), lambda m, p: F.struct(m.alias("m"), p.alias("p"))))
     empty = F.array().cast("array<struct<match:string,start:int,end:int,col:int,prev:string>>")
     start = F.struct(empty.alias("out"), F.lit(0).alias("byte"), F.lit(0).alias("col"), F.lit("").alias("last"))
 
@@ -50,7 +50,7 @@ def positions(text: Column, pattern: str) -> Column:
         one = F.struct(match.alias("match"), at.alias("start"), (at + F.octet_length(match)).alias("end"), col.alias("col"), prev.alias("prev"))
         return F.struct(F.concat(acc["out"], F.array(one)).alias("out"), (at + F.octet_length(match)).alias("byte"), (col + F.length(match)).alias("col"), F.right(match, F.lit(1)).alias("last"))
 
-    return F.when(F.size(found) > 0, F.aggregate(pairs, start, add, lambda acc: acc["out"])).otherwise(empty)
+    return F.aggregate(pairs, start, add, lambda acc: acc["out"])
 
 
 def whole_term(terms: list[str]) -> str:
@@ -76,14 +76,21 @@ def fields(text: Column) -> Column:
 
 def phrases(text: Column) -> Column:
     """Phrases of two and three words in lower case, in order of their first word; all but letters, digits and - parts words."""
-    words = F.filter(F.split(F.lower(F.regexp_replace(text, r"[^\p{L}\p{Nd}\-]", " ")), " +"), lambda x: x != "")
-    n = F.size(words)
+    split = F.filter(F.split(F.lower(F.regexp_replace(text, r"[^\p{L}\p{Nd}\-]", " ")), " +"), lambda x: x != "")
 
-    def at(i: Column) -> Column:
-        pair = F.array_join(F.slice(words, i, F.lit(2)), " ")
-        return F.when(i + 1 < n, F.array(pair, F.array_join(F.slice(words, i, F.lit(3)), " "))).otherwise(F.array(pair))
+    def of(words: Column) -> Column:
+        def at(i: Column) -> Column:
+            pair = F.array_join(F.slice(words, i, F.lit(2)), " ")
+            return F.when(i + 1 < F.size(words), F.array(pair, F.array_join(F.slice(words, i, F.lit(3)), " "))).otherwise(F.array(pair))
 
-    return F.when(n >= 2, F.flatten(F.transform(F.sequence(F.lit(1), n - 1), at))).otherwise(F.array().cast("array<string>"))
+        return F.when(F.size(words) >= 2, F.flatten(F.transform(F.sequence(F.lit(1), F.size(words) - 1), at))).otherwise(F.array().cast("array<string>"))
+
+    return bound(split, of)
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it, also inside lambdas."""
+    return F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)
 
 
 def is_identifier(token: Column) -> Column:

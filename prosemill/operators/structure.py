@@ -321,6 +321,8 @@ def _parsed(docs: DataFrame, read: Callable[[str, str], list[tuple]], schema: st
 
 #: A text that matches has, or may have, segments other than lines of prose.
 STRUCTURED = r"[`<]|\]\(|\A\s*(?:---|\+\+\+)"
+#: Lines from which a text is parsed in any case: adding up arrays of so many lines costs more than leaving the JVM.
+MANY_LINES = 2000
 SEGMENT = f"seg_no int, type string, {SPAN}, text string"
 
 
@@ -337,7 +339,8 @@ def segments(docs: DataFrame) -> DataFrame:
     Texts without backticks, <, ]( or front matter are lines of prose alone and never leave the JVM.
     """
     docs = docs.filter("format <> 'html'")
-    plain, rest = docs.filter(~F.col("content").rlike(STRUCTURED)), docs.filter(F.col("content").rlike(STRUCTURED))
+    parsed = F.col("content").rlike(STRUCTURED) | (F.length("content") - F.length(F.replace("content", F.lit("\n"), F.lit(""))) >= MANY_LINES)
+    plain, rest = docs.filter(~parsed), docs.filter(parsed)
     kind = "array<struct<line:int,byte:int,seg:int,text:string>>"
 
     def add(acc: Column, line: Column) -> Column:
