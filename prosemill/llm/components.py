@@ -16,13 +16,13 @@ def components(links: DataFrame) -> DataFrame:
     and a checksum. Null ends and loops are left out; an empty table gives an empty result.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("a is not null and b is not null and a <> b").distinct()
-    before = None
+    before, size = None, links.count()
     while True:
-        edges = written(small_star(large_star(edges)), "components")
+        edges = written(small_star(large_star(edges)), "components", size)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before or not now[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        before = now
+        before, size = now, now[0]
 
 
 def large_star(edges: DataFrame) -> DataFrame:

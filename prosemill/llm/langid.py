@@ -157,11 +157,11 @@ def fused(rows: DataFrame, evidence: DataFrame, languages: list[str]) -> DataFra
     hosts = votes.filter("host is not null").groupBy("host").agg(F.min("domain").alias("h_domain"), *[F.sum(f"v{i}").alias(f"s{i}") for i in range(n)])
     hosts = hosts.join(domains, F.col("h_domain") == F.col("d_domain"), "left")
     hosts = hosts.select(F.col("host").alias("h_host"), F.array(*[F.log((F.col(f"s{i}") + HOST_PRIOR * F.coalesce(F.col(f"d{i}"), F.lit(base[i]))) / (d_total + HOST_PRIOR)) for i in range(n)]).alias("l_host"))
-    out = rows
+    out, sizes = rows, votes.agg(*[F.count_distinct(k).alias(k) for k in ("host", "suffix", "declared")]).first()
     for name, part in (("host", hosts), *((k, likelihood(k)) for k in ("suffix", "declared"))):
-        part = written(part, f"by-{name}")
+        part = written(part, f"by-{name}", sizes[name])
         key = part.columns[0]
-        out = out.join(F.broadcast(part) if part.count() <= HOSTS else part, F.col(name) == F.col(key), "left").drop(key)
+        out = out.join(F.broadcast(part) if sizes[name] <= HOSTS else part, F.col(name) == F.col(key), "left").drop(key)
     none = F.array(*[F.lit(0.0)] * n)
     terms = [F.col("loglik"), F.coalesce("l_host", log_base), F.coalesce("l_suffix", none), F.coalesce("l_declared", none)]
     score = F.array(*[sum((t[i] for t in terms), F.lit(0.0)) for i in range(n)])
