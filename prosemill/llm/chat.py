@@ -286,16 +286,20 @@ def fold(node: object) -> object:
 def fold_body(body: list) -> list:
     """A body with constants folded, arms that can't be reached removed and neighbouring texts joined."""
     out: list = []
+
+    def add(node: Text) -> None:
+        value = node.value
+        if isinstance(value, Const):
+            value = Const(show(value.value))
+            if out and isinstance(out[-1], Text) and isinstance(out[-1].value, Const):
+                value = Const(out.pop().value.value + value.value)
+            if not value.value:
+                return
+        out.append(Text(value))
+
     for node in body:
         if isinstance(node, Text):
-            value = fold(node.value)
-            if isinstance(value, Const):
-                value = Const(show(value.value))
-                if out and isinstance(out[-1], Text) and isinstance(out[-1].value, Const):
-                    value = Const(out.pop().value.value + value.value)
-                if not value.value:
-                    continue
-            out.append(Text(value))
+            add(Text(fold(node.value)))
         elif isinstance(node, For):
             out.append(For(node.name, fold(node.of), fold_body(node.body)))
         elif isinstance(node, Let):
@@ -314,7 +318,8 @@ def fold_body(body: list) -> list:
             if arms:
                 out.append(If(arms, other))
             else:
-                out.extend(other)
+                for n in other:
+                    add(n) if isinstance(n, Text) else out.append(n)
     return out
 
 
