@@ -6,6 +6,7 @@ import hashlib
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark import TaskContext
@@ -34,28 +35,52 @@ def second(form: str) -> str:
     return xxhash.xxh3_128_hexdigest(form.encode("utf-8", "surrogatepass"), seed=0x9E3779B9)
 
 
-def add_digests(docs: DataFrame, text: str = "text", form: str | None = None) -> DataFrame:
-    """docs with columns digest and second, and with form the canonical form in a column of that name. Null texts count as
-    empty. Columns of those names are replaced; all others stay as they are."""
+def add_digests(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with columns digest and second. Null texts count as empty. Columns of those names are replaced, others stay."""
     workers(docs.sparkSession)
 
-    @F.pandas_udf("digest string, second string, form string")
+    @F.pandas_udf("digest string, second string")
     def made(texts: pd.Series) -> pd.DataFrame:
         forms = [canonical(t) for t in texts]
-        return pd.DataFrame({"digest": [digest(f) for f in forms], "second": [second(f) for f in forms], "form": forms if form else [None] * len(forms)})
+        return pd.DataFrame({"digest": [digest(f) for f in forms], "second": [second(f) for f in forms]})
 
-    out = docs.withColumn("__made", made(F.col(text)))
-    for name, field in (("digest", "digest"), ("second", "second"), *([(form, "form")] if form else [])):
-        out = out.withColumn(name, F.col(f"__made.{field}"))
-    return out.drop("__made")
+    return docs.withColumn("__made", made(F.col(text))).withColumn("digest", F.col("__made.digest")).withColumn("second", F.col("__made.second")).drop("__made")
 
 
-def collisions(docs: DataFrame, text: str = "text") -> DataFrame:
+#: Hex digits of a digest that number the bits of a fixed map of 2 MB.
+MAP_DIGITS = 6
+
+
+def crowded_map(digests: DataFrame) -> np.ndarray:
+    """A bit for each value of a digest's first MAP_DIGITS digits under which a digest has several rows. Its size is fixed; with
+    very many digests it lets more through, which costs time but changes no result."""
+    many = digests.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    bit = F.conv(F.substring("digest", 1, MAP_DIGITS), 16, 10).cast("long")
+    words = many.select(F.floor(bit / 64).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")).alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    out = np.zeros(16**MAP_DIGITS // 64, np.int64)
+    for r in words.toLocalIterator():
+        out[r["word"]] = r["bits"]
+    return out.view(np.uint64)
+
+
+def collisions(docs: DataFrame, digests: DataFrame | None = None, text: str = "text") -> DataFrame:
     """The digests, one row each, under which docs has different canonical forms: those of a bucket are compared byte for
-    byte, the least with the greatest. Only buckets of several rows have their texts moved, summed before the shuffle."""
-    own = add_digests(docs.select(text), text, "form")
-    many = own.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest")
-    forms = own.join(many, "digest", "left_semi").groupBy("digest").agg(F.min("form").alias("least"), F.max("form").alias("greatest"))
+    byte, the least with the greatest, in partial sums first. Only forms whose digest may be crowded are moved. digests: a
+    column digest of all rows, if it is known."""
+    workers(docs.sparkSession)
+    crowded = docs.sparkSession.sparkContext.broadcast(crowded_map(add_digests(docs.select(text), text) if digests is None else digests))
+
+    @F.pandas_udf("digest string, form string")
+    def made(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for t in texts:
+            found = digest(form := canonical(t))
+            at = int(found[:MAP_DIGITS], 16)
+            out.append((found, form if int(crowded.value[at >> 6]) >> (at & 63) & 1 else None))
+        return pd.DataFrame(out, columns=["digest", "form"])
+
+    forms = docs.select(made(F.col(text)).alias("m")).select("m.digest", "m.form").filter("form is not null")
+    forms = forms.groupBy("digest").agg(F.min("form").alias("least"), F.max("form").alias("greatest"))
     return forms.filter(F.col("least") != F.col("greatest")).select("digest")
 
 
@@ -64,7 +89,7 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     least id among them and copies their number. The fingerprint is the digest, and where different forms share one, both
     digests. Null texts count as empty; an empty table gives an empty result; other columns are ignored."""
     rows = add_digests(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))).drop("text")
-    rows = resolved(rows, collisions(docs, text), {"fingerprint": ("digest", "second")})
+    rows = resolved(rows, collisions(docs, text=text), {"fingerprint": ("digest", "second")})
     groups = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("group_id"), F.count(F.lit(1)).alias("copies"))
     return rows.select("doc_id", "fingerprint").join(groups, "fingerprint").select("doc_id", "fingerprint", "group_id", "copies")
 
@@ -144,5 +169,5 @@ def fingerprint_report(docs: DataFrame) -> DataFrame:
     """Documents (doc_id, text) with fingerprints of their texts and edited texts, and how like those of the neighbours are:
     1 if the canonical forms have the same bytes, else 0. Cases: see compare_neighbours and exact_groups."""
     rows = compare_neighbours(docs)
-    rows = resolved(rows, collisions(docs), {"fingerprint": ("digest", "second"), "edited_fingerprint": ("edited_digest", "edited_second")})
+    rows = resolved(rows, collisions(docs, rows.select("digest")), {"fingerprint": ("digest", "second"), "edited_fingerprint": ("edited_digest", "edited_second")})
     return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
