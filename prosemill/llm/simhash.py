@@ -97,14 +97,15 @@ def bands(positions: int, width: int, count: int) -> list[tuple[int, ...]]:
     return [tuple(range(i * width, (i + 1) * width)) for i in range(min(count, positions // width))]
 
 
-def forest(signatures: np.ndarray, matches: int, bits: int | None) -> list[tuple[int, int]]:
+def forest(signatures: np.ndarray, matches: int, bits: int | None, spare: int = 0) -> list[tuple[int, int]]:
     """Links of a spanning forest among signatures (rows of bytes) that share at least matches bytes and, with bits, differ in
-    at most so many bits. The closest come first (Prim), so a link is about the closest that its entry has."""
+    at most so many bits. The closest come first (Prim), so a link is about the closest that its entry has. Each entry also
+    has up to spare next closest links, for where a later test may refuse the first."""
     n = len(signatures)
     if n == 2:
         both = (signatures[0] == signatures[1]).sum() >= matches
         return [(0, 1)] if both and (bits is None or np.unpackbits(signatures[0] ^ signatures[1]).sum() <= bits) else []
-    best, via, out = np.full(n, -1, np.int32), np.zeros(n, np.int64), []
+    best, via, out = np.full((spare + 1, n), -1, np.int32), np.zeros((spare + 1, n), np.int64), []
     waiting = np.arange(1, n)
     now = 0
     while len(waiting):
@@ -115,12 +116,16 @@ def forest(signatures: np.ndarray, matches: int, bits: int | None) -> list[tuple
             apart = np.unpackbits(rest ^ signatures[now], axis=1).sum(1, dtype=np.int32)
             fits &= apart <= bits
             score = 8 * signatures.shape[1] - apart
-        better = fits & (score > best[waiting])
-        best[waiting[better]], via[waiting[better]] = score[better], now
-        at = int(best[waiting].argmax())
+        new, source = waiting[fits], np.full(int(fits.sum()), now)
+        score = score[fits]
+        for k in range(spare + 1):  # what is closer than the k-th takes its place and hands it down
+            better = score > best[k, new]
+            old, from_ = best[k, new], via[k, new]
+            best[k, new], via[k, new] = np.where(better, score, old), np.where(better, source, from_)
+            score, source = np.where(better, old, score), np.where(better, from_, source)
+        at = int(best[0, waiting].argmax())
         now = int(waiting[at])
-        if best[now] >= 0:
-            out.append((int(via[now]), now))
+        out.extend((int(via[k, now]), now) for k in range(spare + 1) if best[k, now] >= 0)
         waiting = np.delete(waiting, at)
     return out
 
@@ -157,7 +162,7 @@ def _split(keys, nodes, sigs, most, cut):
         yield not (b - a > most or (a == 0 and late)), keys[a:b], nodes[a:b], sigs[a:b]
 
 
-def links(entries: DataFrame, sets: list[tuple[int, ...]], matches: int, bits: int | None, positions: int, block: int = BLOCK) -> DataFrame:
+def links(entries: DataFrame, sets: list[tuple[int, ...]], matches: int, bits: int | None, positions: int, block: int = BLOCK, spare: int = 0) -> DataFrame:
     """entries (node, signature binary, distinct nodes) to links (a, b) that join whatever can be joined by pairs sharing at
     least matches positional bytes, differing in at most bits bits, and meeting in all positions of one of sets."""
     workers(entries.sparkSession)
@@ -169,7 +174,7 @@ def links(entries: DataFrame, sets: list[tuple[int, ...]], matches: int, bits: i
         a, b, late = [], [], [[], [], []]
         for complete, keys, nodes, sigs in _runs(batches, positions, most):
             if complete:
-                for i, j in forest(sigs, matches, bits):
+                for i, j in forest(sigs, matches, bits, spare):
                     a.append(nodes[i])
                     b.append(nodes[j])
             else:
@@ -237,7 +242,7 @@ def simhash_components(docs: DataFrame, n: int = 4, bits: int = 4, key: str = "d
 
 # --- similarity of shingle sets ------------------------------------------------------------------------------------
 
-POSITIONS, BAND, BANDS, MARGIN = 128, 3, 10, 0.1
+POSITIONS, BAND, BANDS, MARGIN, SPARE = 128, 3, 10, 0.1, 2
 
 
 def near_copies(docs: DataFrame, n: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -267,7 +272,7 @@ def near_copies(docs: DataFrame, n: int = 5, similarity: float = 0.8, key: str =
     classes = rows.groupBy("node").agg(least.alias("l"), F.first("signature").alias("signature"), F.sum("rows").alias("copies"))
     classes = written(classes.select("node", F.col("l.doc_id").alias("least"), F.col("l.rows").alias("least_rows"), "copies", "signature"), "classes")
 
-    near = written(links(classes.select("node", "signature"), bands(POSITIONS, BAND, BANDS), round((similarity - MARGIN) * POSITIONS), None, POSITIONS), "near")
+    near = written(links(classes.select("node", "signature"), bands(POSITIONS, BAND, BANDS), round((similarity - MARGIN) * POSITIONS), None, POSITIONS, spare=SPARE), "near")
     ends = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct().join(classes.select("node", "least"), "node").withColumnRenamed("node", "e_node")
     # One row of each linked text: any with its least id.
     texts = named.join(ends, (F.col("node") == F.col("e_node")) & F.col("doc_id").eqNullSafe(F.col("least")), "left_semi")
