@@ -14,7 +14,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
-from itertools import combinations, repeat
+from itertools import combinations, groupby, repeat
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -97,15 +98,14 @@ def bands(positions: int, width: int, count: int) -> list[tuple[int, ...]]:
     return [tuple(range(i * width, (i + 1) * width)) for i in range(min(count, positions // width))]
 
 
-def forest(signatures: np.ndarray, matches: int, bits: int | None, spare: int = 0) -> list[tuple[int, int]]:
+def forest(signatures: np.ndarray, matches: int, bits: int | None) -> list[tuple[int, int]]:
     """Links of a spanning forest among signatures (rows of bytes) that share at least matches bytes and, with bits, differ in
-    at most so many bits. The closest come first (Prim), so a link is about the closest that its entry has. Each entry also
-    has up to spare next closest links, for where a later test may refuse the first."""
+    at most so many bits. The closest come first (Prim), so a link is about the closest that its entry has."""
     n = len(signatures)
     if n == 2:
         both = (signatures[0] == signatures[1]).sum() >= matches
         return [(0, 1)] if both and (bits is None or np.unpackbits(signatures[0] ^ signatures[1]).sum() <= bits) else []
-    best, via, out = np.full((spare + 1, n), -1, np.int32), np.zeros((spare + 1, n), np.int64), []
+    best, via, out = np.full(n, -1, np.int32), np.zeros(n, np.int64), []
     waiting = np.arange(1, n)
     now = 0
     while len(waiting):
@@ -116,16 +116,12 @@ def forest(signatures: np.ndarray, matches: int, bits: int | None, spare: int =
             apart = np.unpackbits(rest ^ signatures[now], axis=1).sum(1, dtype=np.int32)
             fits &= apart <= bits
             score = 8 * signatures.shape[1] - apart
-        new, source = waiting[fits], np.full(int(fits.sum()), now)
-        score = score[fits]
-        for k in range(spare + 1):  # what is closer than the k-th takes its place and hands it down
-            better = score > best[k, new]
-            old, from_ = best[k, new], via[k, new]
-            best[k, new], via[k, new] = np.where(better, score, old), np.where(better, source, from_)
-            score, source = np.where(better, old, score), np.where(better, from_, source)
-        at = int(best[0, waiting].argmax())
+        better = fits & (score > best[waiting])
+        best[waiting[better]], via[waiting[better]] = score[better], now
+        at = int(best[waiting].argmax())
         now = int(waiting[at])
-        out.extend((int(via[k, now]), now) for k in range(spare + 1) if best[k, now] >= 0)
+        if best[now] >= 0:
+            out.append((int(via[now]), now))
         waiting = np.delete(waiting, at)
     return out
 
@@ -162,7 +158,7 @@ def _split(keys, nodes, sigs, most, cut):
         yield not (b - a > most or (a == 0 and late)), keys[a:b], nodes[a:b], sigs[a:b]
 
 
-def links(entries: DataFrame, sets: list[tuple[int, ...]], matches: int, bits: int | None, positions: int, block: int = BLOCK, spare: int = 0) -> DataFrame:
+def links(entries: DataFrame, sets: list[tuple[int, ...]], matches: int, bits: int | None, positions: int, block: int = BLOCK) -> DataFrame:
     """entries (node, signature binary, distinct nodes) to links (a, b) that join whatever can be joined by pairs sharing at
     least matches positional bytes, differing in at most bits bits, and meeting in all positions of one of sets."""
     workers(entries.sparkSession)
@@ -174,7 +170,7 @@ def links(entries: DataFrame, sets: list[tuple[int, ...]], matches: int, bits: i
         a, b, late = [], [], [[], [], []]
         for complete, keys, nodes, sigs in _runs(batches, positions, most):
             if complete:
-                for i, j in forest(sigs, matches, bits, spare):
+                for i, j in forest(sigs, matches, bits):
                     a.append(nodes[i])
                     b.append(nodes[j])
             else:
@@ -242,7 +238,71 @@ def simhash_components(docs: DataFrame, n: int = 4, bits: int = 4, key: str = "d
 
 # --- similarity of shingle sets ------------------------------------------------------------------------------------
 
-POSITIONS, BAND, BANDS, MARGIN, SPARE = 128, 3, 10, 0.1, 2
+POSITIONS, BAND, BANDS, MARGIN = 128, 3, 10, 0.1
+#: Texts, and hashes of their sets, of a group that a task has at once of each of two blocks.
+TEXTS, HASHES = 2048, 1 << 20
+
+
+def alike(signatures: np.ndarray, sets: list[np.ndarray], matches: int, similarity: float) -> list[tuple[int, int]]:
+    """Links (first, other) of the components among texts of which each pair that shares at least matches bytes of its
+    signatures and has a Jaccard similarity of at least similarity is joined. Every such pair is tested on its whole sets
+    unless other pairs have joined it before."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    found, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    sets = np.split(ids, np.cumsum(sizes)[:-1])
+    mark, out = np.zeros(len(found), np.int8), []
+    waiting = np.arange(len(sets))
+    while len(waiting):
+        first, waiting = int(waiting[0]), waiting[1:]
+        reached = [first]
+        while reached and len(waiting):
+            now = reached.pop()
+            least, most = np.minimum(sizes[waiting], sizes[now]), np.maximum(sizes[waiting], sizes[now])
+            near = np.flatnonzero(((signatures[waiting] == signatures[now]).sum(1) >= matches) & (least >= similarity * most))
+            if not len(near):
+                continue
+            other = waiting[near]
+            mark[sets[now]] = 1
+            ends = np.cumsum(sizes[other])
+            total = np.concatenate(([0], np.cumsum(mark[np.concatenate([sets[i] for i in other])], dtype=np.int64)))
+            mark[sets[now]] = 0
+            shared = total[ends] - total[ends - sizes[other]]
+            sure = shared >= similarity * (sizes[other] + sizes[now] - shared)
+            joined = other[sure].tolist()
+            out.extend((first, i) for i in joined)
+            reached.extend(joined)
+            waiting = np.delete(waiting, near[sure])
+    return out
+
+
+def alike_links(texts: DataFrame, matches: int, similarity: float) -> DataFrame:
+    """texts (node, root, signature binary, h binary: a set of hashes) to links (a, b) with the components that alike gives
+    for each root. A root with many texts is cut into blocks by hash, and each pair of blocks has a task of its own."""
+    sizes = texts.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("h") / 8).alias("hashes"))
+    blocks = sizes.select(F.col("root").alias("b_root"), F.greatest(F.ceil(F.col("n") / TEXTS), F.ceil(F.col("hashes") / HASHES), F.lit(1)).cast("long").alias("blocks"))
+    own = texts.join(blocks, F.col("root") == F.col("b_root")).withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    # A pair of blocks has the pairs within each, so a block needs no task with itself unless it is the only one.
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: (o != F.col("part")) | (F.col("blocks") == 1))
+    paired = own.withColumn("other", F.explode(others))
+    keyed = paired.select(F.concat_ws(" ", "root", F.least("part", "other"), F.greatest("part", "other")).alias("key"), "node", "signature", "h")
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+        a, b = [], []
+        for _, run in groupby(rows, itemgetter(0)):
+            _, nodes, signatures, sets = zip(*run)
+            if len(nodes) == 1:
+                continue
+            signatures = np.frombuffer(b"".join(signatures), np.uint8).reshape(len(nodes), -1)
+            for i, j in alike(signatures, [np.frombuffer(h, np.int64) for h in sets], matches, similarity):
+                a.append(nodes[i])
+                b.append(nodes[j])
+            if len(a) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], names=["a", "b"])
+                a, b = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], names=["a", "b"])
+
+    return keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(joined, "a string, b string")
 
 
 def near_copies(docs: DataFrame, n: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -252,8 +312,9 @@ def near_copies(docs: DataFrame, n: int = 5, similarity: float = 0.8, key: str =
     Texts whose sets of n-word shingles have a Jaccard similarity of at least similarity are linked. Such sets differ in
     about 10 of 64 SimHash bits, so that no byte need be shared and the index above can't find them; it is run over another
     row of positional bytes, min-wise ones, of which similar texts share that part. Of 128 positions, 10 bands of 3 give the
-    keys (at 0.8 one of 1300 pairs shares none), pairs that share at least similarity - 0.1 of the positions go on, and the
-    whole shingle sets of what the index links decide.
+    keys (at 0.8 one of 1300 pairs shares none), and pairs that share at least similarity - 0.1 of the positions are
+    candidates. The index gives the components of the candidates; within each the whole shingle sets of every candidate pair
+    decide, but of those that other pairs have joined before.
     """
     workers(docs.sparkSession)
 
@@ -261,9 +322,9 @@ def near_copies(docs: DataFrame, n: int = 5, similarity: float = 0.8, key: str =
     def signed(texts: pd.Series) -> pd.Series:
         return pd.Series([minwise(shingle_hashes(words(t), n), POSITIONS) for t in texts])
 
-    @F.pandas_udf("array<long>")
+    @F.pandas_udf("binary")
     def hashed(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.unique(shingle_hashes(words(t), n)).view(np.int64) for t in texts])
+        return pd.Series([np.unique(shingle_hashes(words(t), n)).tobytes() for t in texts])
 
     text_of = F.coalesce(F.col(text), F.lit(""))
     named = docs.select(F.col(key).cast("long").alias("doc_id"), F.md5(text_of.cast("binary")).alias("node"), text_of.alias("text"))
@@ -272,15 +333,13 @@ def near_copies(docs: DataFrame, n: int = 5, similarity: float = 0.8, key: str =
     classes = rows.groupBy("node").agg(least.alias("l"), F.first("signature").alias("signature"), F.sum("rows").alias("copies"))
     classes = written(classes.select("node", F.col("l.doc_id").alias("least"), F.col("l.rows").alias("least_rows"), "copies", "signature"), "classes")
 
-    near = written(links(classes.select("node", "signature"), bands(POSITIONS, BAND, BANDS), round((similarity - MARGIN) * POSITIONS), None, POSITIONS, spare=SPARE), "near")
-    ends = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct().join(classes.select("node", "least"), "node").withColumnRenamed("node", "e_node")
+    matches = round((similarity - MARGIN) * POSITIONS)
+    near = components(written(links(classes.select("node", "signature"), bands(POSITIONS, BAND, BANDS), matches, None, POSITIONS), "near"))
+    groups = written(near.withColumnRenamed("node", "e_node").join(classes.select("node", "least", "signature"), F.col("e_node") == F.col("node")).select("e_node", "root", "least", "signature"), "groups")
     # One row of each linked text: any with its least id.
-    texts = named.join(ends, (F.col("node") == F.col("e_node")) & F.col("doc_id").eqNullSafe(F.col("least")), "left_semi")
-    sets = written(texts.select("node", hashed("text").alias("h")).dropDuplicates(["node"]), "sets")
-    pairs = near.join(sets.select(F.col("node").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("node").alias("b"), F.col("h").alias("hb")), "b")
-    shared = F.size(F.array_intersect("ha", "hb"))
-    sure = pairs.filter(shared >= F.lit(similarity) * (F.size("ha") + F.size("hb") - shared)).select("a", "b")
-    found = components(sure).withColumnRenamed("node", "f_node")
+    texts = named.join(groups, (F.col("node") == F.col("e_node")) & F.col("doc_id").eqNullSafe(F.col("least")))
+    sets = written(texts.select("node", "root", "signature", hashed("text").alias("h")).dropDuplicates(["node"]), "sets")
+    found = components(written(alike_links(sets, matches, similarity), "alike")).withColumnRenamed("node", "f_node")
     joined = classes.drop("signature").join(found, F.col("node") == F.col("f_node"), "left")
     return joined.select("node", F.coalesce("root", "node").alias("root"), "least", "least_rows", "copies")
 

@@ -403,6 +403,26 @@ def test_near_copies(spark, odd, none):
     assert simhash.drop_near_copies(none).count() == 0
 
 
+@pytest.mark.parametrize("most", [2048, 100])
+def test_near_copies_among_many_just_below(spark, monkeypatch, most):
+    """Hundreds of texts, each nearly as like to all others as to the one whose copy it is."""
+    monkeypatch.setattr(simhash, "TEXTS", most)
+    random.seed(9)
+    new = iter(range(1 << 30))
+    some = lambda n: [f"w{next(new)}" for _ in range(n)]
+    base, texts = some(204), []
+    for k in range(200):  # of two texts that share q more words, (200 + q) of (260 - q) shingles are shared: from 0.77 to 0.87
+        shared = some(k % 13)
+        texts += [base + shared + some(30 - len(shared)) for _ in range(2)]
+    random.shuffle(texts)
+    sets = [{" ".join(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    ids = range(len(texts))
+    wanted = classes(ids, [(a, b) for a in ids for b in ids if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
+    assert 200 < len(set(wanted.values())) < 400
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id for r in simhash.drop_near_copies(docs).collect()} == set(wanted.values())
+
+
 # --- 9 packing -----------------------------------------------------------------------------------------------------
 
 
