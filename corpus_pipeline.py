@@ -33,10 +33,15 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of all documents in windows of 1024."""
+    """Where the token pieces of all documents lie in the windows, with checksums of the ids there."""
+    return packing.digests(written(sequences(docs), "sequences"))
+
+
+def sequences(docs: DataFrame) -> DataFrame:
+    """Windows of 1024 ids, padded, with the token pieces of all documents."""
     import public_tokenizers
 
-    return packing.pack(packing.token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), ids=False))
+    return packing.sequences(packing.token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json")))
 
 
 STAGES = [("language", language), ("quality", good), ("near_copies", unique), ("mix", mix), ("pack", pack)]

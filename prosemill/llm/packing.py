@@ -1,8 +1,8 @@
 """Best-fit decreasing packing of token sequences into windows.
 
-Documents are tokenised where they are read; what exceeds a window is cut into full windows. Only the lengths of the pieces
-then move: they are dealt out by hash, sorted, and packed in blocks of bounded size. In a block the longest piece goes
-first, into the open window with the least room that still holds it. A segment tree over the possible remaining
+Documents are tokenised where they are read; what exceeds a window is cut into full windows. The pieces, with their ids
+where whole sequences are wanted, are dealt out by hash, sorted, and packed in blocks of bounded size. In a block the longest
+piece goes first, into the open window with the least room that still holds it. A segment tree over the possible remaining
 capacities, from 1 to the window, finds that window in as many steps as the window has bits.
 """
 
@@ -14,8 +14,10 @@ import zlib
 from array import array
 from collections.abc import Callable, Iterator
 from functools import cache
+from itertools import groupby
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -153,17 +155,27 @@ def best_fit(lengths: list[int], window: int) -> list[tuple[int, int]]:
     return out
 
 
+PLACED = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+#: Windows of an Arrow batch.
+BATCH = 1000
+
+
+def _dealt(pieces: DataFrame, names: list[str]) -> DataFrame:
+    """The columns names of pieces and, if there, ids, dealt out and sorted by hash."""
+    kept = [*names, "ids"] if "ids" in pieces.columns else names
+    # The row's place spreads even equal rows; it is the same whenever the same files are read again.
+    dealt = pieces.select(*kept).withColumn("deal", F.xxhash64("doc_id", "start", F.monotonically_increasing_id()))
+    return dealt.repartition("deal").sortWithinPartitions("deal", *names).drop("deal")
+
+
 def pack(pieces: DataFrame, window: int = 1024, block: int = BLOCK) -> DataFrame:
-    """pieces (doc_id, start, length up to window, ids_crc32, doc_tokens) with sequence_id and offset.
+    """pieces (doc_id, start, length up to window, ids_crc32, doc_tokens and, if there, ids) with sequence_id and offset.
 
     Blocks are the next block pieces of a partition in sorted order, so a rerun packs alike and memory is bounded. Pieces of
     one document may part. Repeated rows are packed each; an empty table gives an empty result; other columns are left out.
     """
     workers(pieces.sparkSession)
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-    # The row's place spreads even equal rows; it is the same whenever the same files are read again.
-    dealt = pieces.select(*names).withColumn("deal", F.xxhash64("doc_id", "start", F.monotonically_increasing_id()))
-    dealt = dealt.repartition("deal").sortWithinPartitions("deal", *names)
+    dealt, ids = _dealt(pieces, PLACED), "ids" in pieces.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         first, held, n = TaskContext.get().partitionId() << 40, [], 0
@@ -185,4 +197,57 @@ def pack(pieces: DataFrame, window: int = 1024, block: int = BLOCK) -> DataFrame
         out = rows.assign(sequence_id=[first + s for s, _ in places], offset=[o for _, o in places]).astype({"doc_id": "Int64"})
         return out, 1 + max(s for s, _ in places)
 
-    return dealt.drop("deal").mapInPandas(run, PIECE + ", sequence_id long, offset long")
+    return dealt.mapInPandas(run, PIECE + (", ids binary" if ids else "") + ", sequence_id long, offset long")
+
+
+def sequences(pieces: DataFrame, window: int = 1024, block: int = BLOCK, pad_id: int = 0) -> DataFrame:
+    """pieces with ids to rows (sequence_id, ids, used, pieces): the ids of each window, little-endian unsigned 32-bit and
+    padded to its whole length, how many of them are no padding, and what lies where: an array of (doc_id, start, length,
+    doc_tokens, offset). Blocks are those of pack."""
+    workers(pieces.sparkSession)
+    names = [n for n in PLACED if n != "ids_crc32"]
+    pad = pad_id.to_bytes(4, "little")
+    parts = pa.list_(pa.struct([(n, pa.int64()) for n in [*names, "offset"]]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, held, n = TaskContext.get().partitionId() << 40, [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= block:
+                whole = pa.Table.from_batches(held)
+                for at in range(0, n - n % block, block):
+                    first = yield from laid(whole.slice(at, block), first)
+                held, n = whole.slice(n - n % block).to_batches(), n % block
+        if n:
+            yield from laid(pa.Table.from_batches(held), first)
+
+    def laid(rows: pa.Table, first: int) -> Iterator[pa.RecordBatch]:
+        ids, rest = rows["ids"], list(zip(*(rows[c].to_pylist() for c in names)))
+        places = best_fit(rows["length"].to_pylist(), window)
+        out, number = [], -1
+        for number, run in groupby(sorted(range(len(places)), key=places.__getitem__), lambda i: places[i][0]):
+            here = list(run)
+            made = b"".join(ids[i].as_py() for i in here)
+            used = len(made) // 4
+            out.append((first + number, made + pad * (window - used), used, [dict(zip(names, rest[i]), offset=places[i][1]) for i in here]))
+            if len(out) >= BATCH:
+                yield batch(out)
+                out = []
+        if out:
+            yield batch(out)
+        return first + number + 1
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        arrays = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.int64(), parts))]
+        return pa.RecordBatch.from_arrays(arrays, names=["sequence_id", "ids", "used", "pieces"])
+
+    schema = "sequence_id long, ids binary, used long, pieces array<struct<" + ", ".join(f"{n}: long" for n in [*names, "offset"]) + ">>"
+    return _dealt(pieces.select(*names, "ids"), names).mapInArrow(run, schema)
+
+
+def digests(laid: DataFrame) -> DataFrame:
+    """Rows of pack without ids from the windows of sequences: each piece's checksum is that of the ids at its place there."""
+    rows = laid.select("sequence_id", "ids", F.explode("pieces").alias("p"))
+    crc = F.expr("crc32(substring(ids, cast(4 * p.offset + 1 as int), cast(4 * p.length as int)))").alias("ids_crc32")
+    return rows.select("p.doc_id", "p.start", "p.length", crc, "p.doc_tokens", "sequence_id", "p.offset")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, digest, langid, media, mixing, packing, quality, sharding, simhash, toxicity
-from .common import table
+from .common import table, written
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,8 +51,8 @@ def op8_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_pack_windows(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     import public_tokenizers
 
-    pieces = packing.token_pieces(table(spark, sf_dir, "documents"), path or public_tokenizers.path("byte_bpe_50k.json"), window=1024, end_id=0, ids=False)
-    return packing.pack(pieces, window=1024)
+    pieces = packing.token_pieces(table(spark, sf_dir, "documents"), path or public_tokenizers.path("byte_bpe_50k.json"), window=1024, end_id=0)
+    return packing.digests(written(packing.sequences(pieces, window=1024), "sequences"))
 
 
 def op10_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:

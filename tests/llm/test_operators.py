@@ -491,6 +491,29 @@ def test_packing(spark, odd, none, path):
     assert packing.pack(packing.token_pieces(none, path)).count() == 0
 
 
+def test_sequences_are_whole(spark, odd, none, path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
+    encode = packing.tokenizer(path)
+    wanted = Counter()
+    for r in docs.collect():
+        ids = encode(r.text or "") + bytes(4)
+        wanted.update((r.doc_id, at // 4, ids[at : at + 1024]) for at in range(0, len(ids), 1024))
+    pieces = packing.token_pieces(docs, path, 256)
+    laid = packing.sequences(pieces, 256, block=300, pad_id=7).cache()
+    found = Counter()
+    for r in laid.collect():
+        assert len(r.ids) == 4 * 256 and bytes(r.ids[4 * r.used :]) == b"\7\0\0\0" * (256 - r.used)
+        assert [p.offset for p in r.pieces] == [sum(p.length for p in r.pieces[:i]) for i in range(len(r.pieces))] and sum(p.length for p in r.pieces) == r.used
+        found.update((p.doc_id, p.start, bytes(r.ids[4 * p.offset : 4 * (p.offset + p.length)])) for p in r.pieces)
+    assert found == wanted
+    out = packing.digests(laid)
+    plain = packing.pack(pieces, 256, block=300)
+    assert out.columns == [c for c in plain.columns if c != "ids"]
+    assert Counter((r.doc_id, r.start, r.ids_crc32) for r in out.collect()) == Counter((i, at, zlib.crc32(ids)) for i, at, ids in wanted.elements())
+    assert Counter((r.doc_id, r.start, bytes(r.ids)) for r in plain.collect()) == wanted
+    assert packing.sequences(packing.token_pieces(none, path)).count() == 0
+
+
 # --- 10 toxicity ---------------------------------------------------------------------------------------------------
 
 
