@@ -28,8 +28,8 @@ def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; the one at a source's threshold gives the words left of the budget."""
-    return mixing.repeated(docs, weights=(3, 1, 2), share=1.5, cap=2.0)
+    """Documents as often as the mix takes them; the one at a source's threshold is whole or left out."""
+    return mixing.repeated(docs, weights=(3, 1, 2), share=1.5, cap=2.0, whole=True)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

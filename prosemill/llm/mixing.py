@@ -94,14 +94,17 @@ def taken(rows: DataFrame, by_source: DataFrame, sources: int) -> DataFrame:
     return rows.join(by_source, rows["source"].eqNullSafe(F.col("t_source"))).withColumn("taken", (F.col("copies") * F.col("size") + part).cast("long"))
 
 
-def repeated(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, key: str = "doc_id") -> DataFrame:
+def repeated(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, key: str = "doc_id", whole: bool = False) -> DataFrame:
     """docs (doc_id, source, text, n_chars) as the mix of mix_sources takes them: a row for each whole copy, and for a document
-    at its source's threshold its first words, as many as are taken, with n_chars to match. All columns stay."""
+    at its source's threshold its first words, as many as are taken, with n_chars to match. With whole
+    that document goes in whole if at least half its words are taken, else not at all. All columns stay."""
     sized = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), "source", n_words(F.col("text")).alias("size"), bits48(F.col(key)).alias("h"))
     found = written(sized.select("source", "size", "h"), "mix")
     out = taken(sized, shares(found, weights, share, cap), found.select("source").distinct().count()).filter("taken > 0")
-    whole, rest = F.floor(F.col("taken") / F.col("size")).cast("int"), F.col("taken") % F.col("size")
-    out = out.withColumn("__words", F.explode(F.concat(F.array_repeat(F.lit(-1).cast("long"), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))))
+    if whole:
+        out = out.withColumn("taken", F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size"))) * F.col("size")).filter("taken > 0")
+    copies, rest = F.floor(F.col("taken") / F.col("size")).cast("int"), F.col("taken") % F.col("size")
+    out = out.withColumn("__words", F.explode(F.concat(F.array_repeat(F.lit(-1).cast("long"), copies), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))))
     text = F.when(F.col("__words") < 0, F.col("__row.text")).otherwise(_first_words(F.col("__row.text"), F.col("__words")))
     own = {c: F.col(f"__row.`{c}`") for c in docs.columns}
     own["text"] = text
