@@ -272,6 +272,7 @@ register("token_counts", lambda s, d: comparison.term_counts(documents(s, d), "c
 _PHRASES = """ws as (select {key}, list_filter(string_split_regex(lower(regexp_replace(text, '[^\\p{{L}}\\p{{Nd}}\\-]', ' ', 'g')), ' +'), lambda x: x <> '') as ws from {source}),
     ats as (select {key}, ws, unnest(range(1, len(ws))) as i from ws), phrases as (select {key}, array_to_string(ws[i:i+1], ' ') as term from ats union all select {key}, array_to_string(ws[i:i+2], ' ') as term from ats where i + 2 <= len(ws))"""
 register("phrase_counts", lambda s, d: comparison.phrase_counts(turns(s, d)), f"with {_PHRASES.format(key='conv_id', source='conversations')} select term, count(*)::bigint as n from phrases group by 1")
+register("phrase_counts_documents", lambda s, d: comparison.phrase_counts(documents(s, d), "content"), f"with {_PHRASES.format(key='doc_id', source='documents')} select term, count(*)::bigint as n from phrases group by 1")
 
 
 def _novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -282,6 +283,12 @@ def _novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_bytes(found)
 
 
+def _novelty_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and phrases of conversations that documents never have."""
+    changed = structure.as_documents(turns(spark, sf_dir), "doc_id", "text", fmt="markdown")
+    return by_bytes(lint.lint(changed, profile.resolve(), documents(spark, sf_dir), "documents", ["CORE.CORPUS_NOVELTY"]))
+
+
 _C = T.CORPUS_TOKEN.replace("'", "''")
 _TURN_LINES = lines_sql("select conv_id * 1000 + turn as doc_id, text from conversations where role = 'assistant'")
 
@@ -310,6 +317,10 @@ register(
     once as (select *, row_number() over (partition by doc_id, term order by line, what = 'phrase', pos) as k from al)
     select doc_id::bigint as doc_id, byte::bigint as start_byte, (byte + strlen(text))::bigint as end_byte, concat('corpus-novelty: ', what, ' "', term, '" git_compare_count=0 change_count=', n, ' git_compare_rev=conversations') as evidence from once where k = 1""",
 )
+_NOVEL = ORACLES["corpus_novelty"].replace("git_compare_rev=conversations", "git_compare_rev=documents")
+for _from, _to in (("(select * from conversations where role = 'user')", "(select doc_id as conv_id, text from documents)"), ("conversations where role = 'user'", "documents"), ("conversations where role = 'assistant'", "conversations")):
+    _NOVEL = _NOVEL.replace(_from, _to)
+register("corpus_novelty_documents", _novelty_documents, _NOVEL)
 
 # --- whole plans ---------------------------------------------------------------------------------------------------
 

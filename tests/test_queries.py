@@ -33,3 +33,9 @@ def test_query(spark, duck, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_vocabulary_runs_over_documents(spark, duck):
+    assert {"phrase_counts_documents", "corpus_novelty_documents"} <= ORACLES.keys()
+    assert duck.sql(ORACLES["phrase_counts_documents"]).df()["n"].sum() > duck.sql(ORACLES["phrase_counts"]).df()["n"].sum()
+    assert entry.queries()["corpus_novelty_documents"](spark, SF).count() > 0
