@@ -22,14 +22,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="prosemill-")
-        atexit.register(shutil.rmtree, found, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local session, whose executor is
+    the driver, gets a folder of its own until it ends; on a cluster it is an error, as no folder of one machine would do."""
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found
+    sc = spark.sparkContext
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if sc.applicationId not in _OWN:
+        _OWN[sc.applicationId] = made = tempfile.mkdtemp(prefix="prosemill-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+    return "file://" + _OWN[sc.applicationId]
 
 
 #: Rows of a file of small rows.
@@ -47,6 +54,20 @@ def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Most rows of a small table that is broadcast, and the share of all rows from which a key is hot; so there are at most HOT
+#: hot keys, whatever the number of rows.
+SMALL, HOT = 100_000, 1000
+
+
+def joined_by_key(rows: DataFrame, classes: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """rows with the other columns of classes, which has one row for each value of key and in count how many of the total rows
+    have it. Keys of more than a HOTth of the rows, HOT at most, are broadcast, so that no task has all rows of one."""
+    if total <= SMALL:  # classes has no more rows than that
+        return rows.join(F.broadcast(classes.drop(count)), key)
+    hot = F.broadcast(classes.filter(F.col(count) * HOT > total).drop(count))
+    return rows.join(hot, key).unionByName(rows.join(hot, key, "left_anti").join(classes.filter(F.col(count) * HOT <= total).drop(count), key))
+
+
 def workers(spark: SparkSession) -> SparkSession:
     """Readies the session for this package's Python functions: workers can import it (on a cluster it is installed there),
     and batches have few enough rows and bytes for long texts, unless smaller ones are set."""
