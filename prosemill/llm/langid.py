@@ -28,15 +28,26 @@ LEAST = 1
 #: Most hosts whose priors are broadcast; more are joined.
 HOSTS = 20_000
 
-HIDDEN = re.compile(r"<(script|style|head|template|noscript)\b.*?</\1\s*>|<!--.*?-->", re.S | re.I)
+HIDDEN = re.compile(r"<(?:(script|style|head|template|noscript)\b|!--)", re.I)
 TAGS = re.compile(r"<[^>]*>")
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(97, 123), *range(128, 256)]] = True
 
 
 def visible(page: str) -> str:
-    """The text of a page without hidden elements and tags."""
-    return entities.unescape(TAGS.sub(" ", HIDDEN.sub(" ", page)))
+    """The text of a page without hidden elements and tags. What is opened and never closed hides nothing; that a closing mark
+    doesn't come any more is remembered, so a page is read once for each kind of mark."""
+    parts, at, gone = [], 0, set()
+    while m := HIDDEN.search(page, at):
+        mark = (m[1] or "!--").lower()
+        end = None if mark in gone else re.compile("-->" if mark == "!--" else rf"</{mark}\s*>", re.I).search(page, m.end())
+        if end is None:
+            gone.add(mark)
+        parts += [page[at : m.start() if end else m.end()], " " if end else ""]
+        at = end.end() if end else m.end()
+    rest = "".join([*parts, page[at:]])
+    last = rest.rfind(">") + 1
+    return entities.unescape(TAGS.sub(" ", rest[:last]) + rest[last:])
 
 
 def trigrams(text: str) -> np.ndarray:
@@ -71,7 +82,8 @@ def learn_text(docs: DataFrame, rows: int = ROWS) -> TextModel:
     spark = workers(docs.sparkSession)
     known = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     ids = known.groupBy("doc_id").agg(F.min("lang").alias("l")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select(F.col("doc_id").alias("i"), "l")
-    sample = known.select("doc_id", F.col("lang").alias("lang"), "text").join(F.broadcast(ids), (F.col("doc_id") == F.col("i")) & (F.col("lang") == F.col("l"))).select("lang", "text")
+    # A repeated id gives one text, the least, so that the bound holds.
+    sample = known.select("doc_id", "lang", "text").join(F.broadcast(ids), (F.col("doc_id") == F.col("i")) & (F.col("lang") == F.col("l"))).groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("lang", "text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
@@ -113,12 +125,16 @@ def url_parts(url: Column) -> dict[str, Column]:
     """host, domain (its last two labels) and suffix (its last) of an address; null where it has no host."""
     host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
     host = F.when(F.length(host) > 0, host)
-    return {"host": host, "domain": F.regexp_extract(host, r"([^.]+\.[^.]+)$|^([^.]+)$", 0), "suffix": F.regexp_extract(host, r"([^.]+)$", 1)}
+    labels = F.split(host, r"\.")
+    last, before = F.element_at(labels, -1), F.get(labels, F.size(labels) - 2)
+    domain = F.when(F.size(labels) == 1, host).when((last != "") & (before != ""), F.concat_ws(".", before, last)).otherwise("")
+    return {"host": host, "domain": F.when(host.isNotNull(), domain), "suffix": last}
 
 
 def declared_language(page: Column) -> Column:
-    """The primary language that a page's html element declares, in lower case; null without one."""
-    found = F.lower(F.regexp_extract(page, r"""(?is)<html\b[^>]*?\slang\s*=\s*["']?([A-Za-z]{2,3})""", 1))
+    """The primary language that a page's first html tag declares, in lower case; null without one."""
+    tag = F.regexp_extract(page, r"(?is)<html\b[^>]*+", 0)
+    found = F.lower(F.regexp_extract(tag, r"""(?is)\slang\s*=\s*["']?([A-Za-z]{2,3})""", 1))
     return F.when(F.length(found) > 0, found)
 
 
