@@ -48,7 +48,7 @@ def features(text: str) -> list[float]:
     packed = zlib.compressobj(1)
     size = sum(len(packed.compress(raw[i : i + (1 << 20)])) for i in range(0, len(raw), 1 << 20)) + len(packed.flush())
     return [
-        np.log1p(n), (len(raw) - kind[8] * len(raw)) / n, min(200, max(map(len, counts))), len(counts) / n, max(counts.values()) / n,
+        np.log1p(n), (len(raw) - kind[8] * len(raw)) / n, np.log1p(max(map(len, counts))), len(counts) / n, max(counts.values()) / n,
         sum(map(str.__eq__, words, words[1:])) / n, len(joined) / n, kind[1], kind[2], kind[3], kind[4], kind[5], kind[6], kind[7], kind[8],
         len(lines) / n, 1 - len(set(lines)) / len(lines), size / len(raw), float(-(share * np.log2(share)).sum()), sum(map(str.isupper, counts)) / len(counts),
     ]
