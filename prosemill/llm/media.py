@@ -108,34 +108,73 @@ def mux(payload: bytes, unit: int = UNIT, rate: int = RATE) -> bytes:
     return b"".join(out)
 
 
+@dataclass
+class Unit:
+    """An elementary packet: its timestamp, the number of the packet in which it begins, and whether that is a random-access
+    point."""
+
+    time: int | None
+    packet: int
+    access: bool
+
+
 @dataclass
 class Stream:
     """What demux found."""
 
     payload: bytes = b""
-    times: list[int] = field(default_factory=list)  # a timestamp for each elementary packet
-    random_access: list[int] = field(default_factory=list)  # their packets' numbers in the stream
+    units: list[Unit] = field(default_factory=list)
     packets: int = 0
     lost: int = 0  # packets after which the continuity counter doesn't fit
+    repeated: int = 0  # packets that were sent twice, as the standard permits, and count once
     bad_tables: int = 0
     error: str = ""
 
+    @property
+    def times(self) -> list[int]:
+        return [u.time for u in self.units if u.time is not None]
+
+    @property
+    def random_access(self) -> list[int]:
+        return [u.packet for u in self.units if u.access]
+
+
+def _pids(packets: np.ndarray) -> np.ndarray:
+    return ((packets[:, 1].astype(np.int32) & 0x1F) << 8) | packets[:, 2]
+
 
 def _sections(packets: np.ndarray, pid: int, table_id: int) -> tuple[list[bytes], int]:
-    """Bodies of the sound sections of a pid that begin in a packet, and the number of others."""
-    found, bad = [], 0
-    pids = ((packets[:, 1].astype(np.int32) & 0x1F) << 8) | packets[:, 2]
-    for row in packets[(pids == pid) & ((packets[:, 1] & 0x40) > 0)]:
+    """Bodies of the sound sections of a pid, over as many packets as they take, and the number of others."""
+    found, bad, held, before = [], 0, None, b""
+
+    def take(whole: bytes) -> bytes:
+        """Takes the sections at the start, and returns what is left of one that isn't complete."""
+        nonlocal bad
+        while whole and whole[0] != 0xFF:
+            size = ((whole[1] & 0x0F) << 8 | whole[2]) + 3 if len(whole) >= 3 else 3
+            if len(whole) < size:
+                return whole
+            section, whole = whole[:size], whole[size:]
+            if size < 12 or section[0] != table_id or crc32_mpeg(section):
+                bad += 1
+            else:
+                found.append(section[8:-4])
+        return b""
+
+    for row in packets[(_pids(packets) == pid) & ((packets[:, 3] & 0x10) > 0)]:
         raw = row.tobytes()
-        at = 4 + (raw[4] + 1 if raw[3] & 0x20 else 0)
-        at += raw[at] + 1 if at < PACKET else 0
-        size = ((raw[at + 1] & 0x0F) << 8 | raw[at + 2]) + 3 if at + 3 <= PACKET else PACKET
-        section = raw[at : at + size]
-        if len(section) < size or size < 12 or section[0] != table_id or crc32_mpeg(section):
-            bad += 1
-        else:
-            found.append(section[8:-4])
-    return found, bad
+        if raw == before:
+            continue
+        before, at = raw, 4 + (raw[4] + 1 if raw[3] & 0x20 else 0)
+        body = raw[at:]
+        if raw[1] & 0x40 and body:
+            first = 1 + body[0]
+            if held is not None:
+                bad += bool(take(held + body[1:first]))
+            held = take(body[first:])
+        elif held:
+            held = take(held + body)
+    return found, bad + bool(held)
 
 
 def demux(data: bytes) -> Stream:
@@ -167,28 +206,34 @@ def demux(data: bytes) -> Stream:
     if not (pids := [pid for kind, pid in streams if kind == PRIVATE_TYPE]):
         out.error = "no data stream"
         return out
-    numbers = np.flatnonzero((((packets[:, 1].astype(np.int32) & 0x1F) << 8) | packets[:, 2]) == pids[0])
+    numbers = np.flatnonzero((_pids(packets) == pids[0]) & ((packets[:, 3] & 0x10) > 0))
     own = packets[numbers]
-    own, numbers = own[(own[:, 3] & 0x10) > 0], numbers[(own[:, 3] & 0x10) > 0]
-    counters = own[:, 3] & 15
-    out.lost = int((((counters[1:].astype(np.int32) - counters[:-1]) & 15) != 1).sum())
+    steps = (own[1:, 3].astype(np.int32) - own[:-1, 3]) & 15
+    twice = [i + 1 for i in np.flatnonzero(steps == 0) if _same(own[i], own[i + 1])]
+    if twice:
+        out.repeated, keep = len(twice), np.ones(len(own), bool)
+        keep[twice] = False
+        own, numbers = own[keep], numbers[keep]
+        steps = (own[1:, 3].astype(np.int32) - own[:-1, 3]) & 15
     adapted = (own[:, 3] & 0x20) > 0
     start = np.where(adapted, 5 + own[:, 4].astype(np.int32), 4)
-    flagged = adapted & (own[:, 4] > 0)
-    out.random_access = numbers[flagged & ((own[:, 5] & 0x40) > 0)].tolist()
+    flags = np.where(adapted & (own[:, 4] > 0), own[:, 5], 0)
+    out.lost = int(((steps != 1) & ((flags[1:] & 0x80) == 0)).sum())  # a counter may jump where the stream says so
     body = own[np.arange(PACKET)[None, :] >= start[:, None]].tobytes()
-    ends = np.cumsum(np.maximum(0, PACKET - start))
-    begins = (ends - np.maximum(0, PACKET - start))[(own[:, 1] & 0x40) > 0].tolist()
+    sizes = np.maximum(0, PACKET - start)
+    heads = np.flatnonzero((own[:, 1] & 0x40) > 0)
+    begins, access = (np.cumsum(sizes) - sizes)[heads].tolist(), (flags[heads] & 0x40) > 0
     parts = []
-    for a, b in zip(begins, [*begins[1:], len(body)]):
+    for a, b, number, point in zip(begins, [*begins[1:], len(body)], numbers[heads].tolist(), access.tolist()):
         pes = body[a:b]
         if len(pes) < 9 or pes[:3] != b"\x00\x00\x01":
             out.error = "no elementary packet"
             continue
-        length = int.from_bytes(pes[4:6], "big")
+        length, time = int.from_bytes(pes[4:6], "big"), None
         if pes[7] & 0x80 and len(pes) >= 14:
             t = pes[9:14]
-            out.times.append((t[0] >> 1 & 7) << 30 | t[1] << 22 | (t[2] >> 1) << 15 | t[3] << 7 | t[4] >> 1)
+            time = (t[0] >> 1 & 7) << 30 | t[1] << 22 | (t[2] >> 1) << 15 | t[3] << 7 | t[4] >> 1
+        out.units.append(Unit(time, number, point))
         part = pes[9 + pes[8] : 6 + length if length else None]
         if length and len(pes) < 6 + length:
             out.error = "elementary packet cut short"
@@ -197,6 +242,14 @@ def demux(data: bytes) -> Stream:
     return out
 
 
+def _same(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether a packet is sent twice: all bytes are equal but those of a clock, which may be another."""
+    equal = a == b
+    if a[3] & 0x20 and a[4] >= 7 and a[5] & 0x10:
+        equal[6:12] = True
+    return bool(equal.all())
+
+
 def add_streams(docs: DataFrame, text: str = "text", media: str = "media", n_bytes: str = "n_bytes") -> DataFrame:
     """docs with media, the whole text's UTF-8 as a transport stream, zero bytes up to a positive multiple of 64, and n_bytes
     without these. A null text is an empty one, of 64 zero bytes. Columns of those names are replaced, others stay."""
@@ -210,13 +263,14 @@ def add_streams(docs: DataFrame, text: str = "text", media: str = "media", n_byt
     return docs.withColumn("__made", made(F.col(text))).withColumn(media, F.col("__made.media")).withColumn(n_bytes, F.col("__made.n_bytes")).drop("__made")
 
 
-FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, times array<long>, access_packets array<long>"
 
 
 def stream_features(media: DataFrame, keys: list[str], column: str = "media") -> DataFrame:
     """keys and FEATURES, read back from the stored streams: digests of the payload and the stored form, and a line on its
     structure: packets, elementary packets, random-access points, first and last timestamp, faults, mean and deviation of the
-    samples. A null or broken stream has an empty payload and says so in the line."""
+    samples; and the timestamps and random-access points themselves, each of an elementary packet. A null or broken stream has
+    an empty payload and says so in the line."""
     workers(media.sparkSession)
     schema = ", ".join(f"`{k}` {media.schema[k].dataType.simpleString()}" for k in keys)
 
@@ -228,7 +282,7 @@ def stream_features(media: DataFrame, keys: list[str], column: str = "media") ->
                 s = demux(raw)
                 samples = np.frombuffer(s.payload, np.uint8)
                 line = f"packets={s.packets};units={len(s.times)};random={len(s.random_access)};first={s.times[0] if s.times else -1};last={s.times[-1] if s.times else -1};lost={s.lost};bad={s.bad_tables};mean={samples.mean() if len(samples) else 0:.4f};sd={samples.std() if len(samples) else 0:.4f};error={s.error}"
-                out.append((len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-64:]), len(raw), hashlib.sha256(raw).hexdigest(), line))
+                out.append((len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-64:]), len(raw), hashlib.sha256(raw).hexdigest(), line, s.times, s.random_access))
             made = pd.DataFrame(out, columns=[c.split()[0] for c in FEATURES.split(", ")])
             yield pd.concat([batch[keys].reset_index(drop=True), made], axis=1)
 
@@ -236,13 +290,18 @@ def stream_features(media: DataFrame, keys: list[str], column: str = "media") ->
 
 
 def stream_index(media: DataFrame, key: str, column: str = "media") -> DataFrame:
-    """A row for each elementary packet: (key, unit, time, packet): its 90 kHz timestamp and the random-access packet from
-    which a reader may start."""
+    """A row for each elementary packet: (key, unit, time, packet, random_access): its 90 kHz timestamp, null without one, the
+    packet in which it begins, and whether a reader may start there. A key of one of those names is called by it and _.
+    Null and broken streams have no rows; null and repeated keys stay."""
     workers(media.sparkSession)
+    names = ["unit", "time", "packet", "random_access"]
+    shown = key + "_" if key in names else key
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = [(k, i, t, p) for k, raw in zip(batch[key], batch[column]) for s in [demux(bytes(raw) if raw is not None else b"")] for i, (t, p) in enumerate(zip(s.times, s.random_access))]
-            yield pd.DataFrame(out, columns=[key, "unit", "time", "packet"])
+            out = [(k, i, u.time, u.packet, u.access) for k, raw in zip(batch["__key"].astype(object).where(batch["__key"].notna(), None), batch["__media"]) for i, u in enumerate(demux(bytes(raw) if raw is not None else b"").units)]
+            made = pd.DataFrame(out, columns=[shown, *names], dtype=object)
+            yield made.astype({"unit": "Int64", "time": "Int64", "packet": "Int64", "random_access": "boolean"})
 
-    return media.select(key, column).mapInPandas(read, f"`{key}` {media.schema[key].dataType.simpleString()}, unit long, time long, packet long")
+    kind = media.schema[key].dataType.simpleString()
+    return media.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{column}`").alias("__media")).mapInPandas(read, f"`{shown}` {kind}, unit long, time long, packet long, random_access boolean")
