@@ -16,6 +16,8 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -447,16 +449,59 @@ TEMPLATE = """{%- for m in messages -%}
 {%- if add_generation_prompt -%}<|im_start|>assistant{{ '\\n' }}{%- endif -%}"""
 
 
-def render_turns(conversations: DataFrame, template: str = TEMPLATE, key: str = "conv_id") -> DataFrame:
-    """Rows (conv_id, turn, place, role, segment, spans): each turn rendered by itself; a conversation's formatted text is its
-    segments in order. conversations: (conv_id, turn, role, text).
+def by_message(template: str) -> bool:
+    """Whether a template provably gives a conversation's text message by message: it is one loop over messages, and then at most
+    a generation prompt, and nothing in the loop looks at the loop, at other messages or at what another round has set."""
+    body = fold_body(parse(template))
+    if not body or not isinstance(body[0], For) or body[0].of != Name("messages"):
+        return False
+    rest = body[1:]
+    if rest and not (len(rest) == 1 and isinstance(rest[0], If) and not rest[0].other and [c for c, _ in rest[0].arms] == [Name("add_generation_prompt")]):
+        return False
+
+    def alone(node: object) -> bool:
+        if isinstance(node, Let) or node in (Name("loop"), Name("messages")):
+            return False
+        inner = node if isinstance(node, (list, tuple)) else [getattr(node, f) for f in getattr(node, "__dataclass_fields__", ())]
+        return all(alone(n) for n in inner if isinstance(n, (list, tuple)) or hasattr(n, "__dataclass_fields__"))
+
+    return alone(body[0].body)
+
+
+def _turns(conversations: DataFrame, key: str) -> DataFrame:
+    return conversations.select(F.col(key).cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
 
-    Templates that loop over messages give the same text turn by turn, so a conversation of any length needs no memory.
-    place breaks ties of turn by role, then text; null turns come last, null roles and texts count as empty, repeated rows
-    are each a turn. An empty table gives an empty result; other columns are ignored.
+
+def render_conversations(conversations: DataFrame, template: str = TEMPLATE, key: str = "conv_id") -> DataFrame:
+    """Rows (conv_id, turn, role, segment, spans); a conversation's formatted text is its segments in order of turn, role and
+    segment, and spans say what of each is under the loss mask. conversations: (conv_id, turn, role, text).
+
+    A template that works message by message gives a segment for each turn, so a conversation of any length needs no memory.
+    Any other is rendered on the whole list of a conversation's messages, which a task then holds, as one segment with turn 0
+    and an empty role. Messages go by turn, role, then escaped text; null turns come last, null roles and texts count as
+    empty, repeated rows are each a turn. An empty table gives an empty result; other columns are ignored.
     """
+    if by_message(template):
+        return render_turns(conversations, template, key)
+    workers(conversations.sparkSession)
+    order = ["conv_id", F.col("turn").asc_nulls_last(), "role", F.replace(F.replace("text", F.lit("\\"), F.lit("\\\\")), F.lit("<|"), F.lit("<\\|"))]
+    rows = _turns(conversations, key).repartition("conv_id").sortWithinPartitions(*order)
+
+    def render(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        run = compile_template(template)
+        turns = ((None if c is pd.NA else int(c), r, t) for b in batches for c, r, t in zip(b["conv_id"].astype("Int64"), b["role"], b["text"]))
+        for conv, group in groupby(turns, itemgetter(0)):
+            text, spans = run(messages=[{"role": r, "text": t} for _, r, t in group], add_generation_prompt=False)
+            yield pd.DataFrame({"conv_id": pd.array([conv], "Int64"), "turn": [0], "role": [""], "segment": [text], "spans": [[list(s) for s in spans]]})
+
+    return rows.mapInPandas(render, "conv_id long, turn long, role string, segment string, spans array<array<int>>")
+
+
+def render_turns(conversations: DataFrame, template: str = TEMPLATE, key: str = "conv_id") -> DataFrame:
+    """render_conversations for a template that works message by message; TemplateError for any other."""
+    if not by_message(template):
+        raise TemplateError("the template doesn't work message by message")
     workers(conversations.sparkSession)
-    rows = conversations.select(F.col(key).cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
 
     def render(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         run = compile_template(template)
@@ -464,7 +509,7 @@ def render_turns(conversations: DataFrame, template: str = TEMPLATE, key: str =
             made = [run(messages=[{"role": r, "text": t}], add_generation_prompt=False) for r, t in zip(batch["role"], batch["text"])]
             yield pd.DataFrame({"conv_id": batch["conv_id"].astype("Int64"), "turn": batch["turn"].astype("Int64"), "role": batch["role"], "segment": [m[0] for m in made], "spans": [[list(s) for s in m[1]] for m in made]})
 
-    return rows.mapInPandas(render, "conv_id long, turn long, role string, segment string, spans array<array<int>>")
+    return _turns(conversations, key).mapInPandas(render, "conv_id long, turn long, role string, segment string, spans array<array<int>>")
 
 
 def read_turns(segment: str) -> list[tuple[str, str]]:
@@ -480,7 +525,7 @@ def read_turns(segment: str) -> list[tuple[str, str]]:
 
 
 def conversation_report(turns: DataFrame) -> DataFrame:
-    """Per conversation, read back from render_turns' output: (conv_id, n_turns, turns_sha256, loss_chars, loss_sha256,
+    """Per conversation, read back from render_conversations' output: (conv_id, n_turns, turns_sha256, loss_chars, loss_sha256,
     formatted_chars). Segments stream by in order, so the hashes need no memory however long a conversation is."""
     workers(turns.sparkSession)
     order = ["conv_id", F.col("turn").asc_nulls_last(), "role", "segment"]
