@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import workers, written
+from .common import SMALL, joined_by_key, workers, written
 
 
 def canonical(text: str | None) -> str:
@@ -89,15 +89,23 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     least id among them and copies their number. The fingerprint is the digest, and where different forms share one, both
     digests. Null texts count as empty; an empty table gives an empty result; other columns are ignored."""
     rows = add_digests(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))).drop("text")
-    rows = resolved(rows, collisions(docs, text=text), {"fingerprint": ("digest", "second")})
-    groups = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("group_id"), F.count(F.lit(1)).alias("copies"))
-    return rows.select("doc_id", "fingerprint").join(groups, "fingerprint").select("doc_id", "fingerprint", "group_id", "copies")
+    rows = written(resolved(rows, collisions(docs, text=text), {"fingerprint": ("digest", "second")}).select("doc_id", "fingerprint"), "exact-rows")
+    groups = written(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("group_id"), F.count(F.lit(1)).alias("copies")), "exact-groups")
+    total = groups.agg(F.sum("copies")).first()[0] or 0
+    out = joined_by_key(rows, groups.withColumn("n", F.col("copies")), "fingerprint", "n", total)
+    return out.select("doc_id", "fingerprint", "group_id", "copies")
 
 
 def resolved(rows: DataFrame, clash: DataFrame, names: dict[str, tuple[str, str]]) -> DataFrame:
-    """rows with columns of fingerprints, each from a digest and a second one that counts where the digest is in clash."""
+    """rows with columns of fingerprints, each from a digest and a second one that counts where the digest is in clash. That
+    table is next to always empty, and then nothing is joined."""
+    clash = written(clash.select(F.col("digest").alias("__clash")), "clashes")
+    size = clash.count()
     for name, (first, other) in names.items():
-        mark = clash.select(F.col("digest").alias("__clash"))
+        if not size:
+            rows = rows.withColumn(name, F.col(first))
+            continue
+        mark = F.broadcast(clash) if size <= SMALL else clash
         rows = rows.join(mark, rows[first] == mark["__clash"], "left").withColumn(name, F.when(F.col("__clash").isNotNull(), F.concat_ws("-", first, other)).otherwise(F.col(first))).drop("__clash")
     return rows
 
@@ -152,22 +160,32 @@ def compare_neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text")
 
     done = written(rows.select("doc_id", "text").mapInPandas(walk, SCHEMA), "neighbours")
     ends, starts = done.filter("at = 2").select("doc_id", "text", "part"), done.filter("at = 1")
-    # Two rows a partition, so one task can line them up.
-    line = starts.select(F.col("part").alias("s_part"), F.col("text").alias("following"))
-    line = line.select(F.coalesce(F.lag("s_part").over(Window.orderBy("s_part")), F.max("s_part").over(Window.partitionBy())).alias("part"), "following")
+    # The numbers of partitions alone are lined up in one task; their texts are joined to them.
+    parts = starts.select(F.col("part").alias("s_part"))
+    line = parts.select("s_part", F.coalesce(F.lag("s_part").over(Window.orderBy("s_part")), F.max("s_part").over(Window.partitionBy())).alias("part"))
+    following = starts.select(F.col("part").alias("f_part"), F.col("text").alias("following"))
 
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             ids = [None if x is pd.NA else int(x) for x in batch["doc_id"].astype("Int64")]
             yield frame([compare(i, t, f) + (0, 0, None) for i, t, f in zip(ids, batch["text"], batch["following"])])
 
-    last = ends.join(line, "part").select("doc_id", "text", "following").mapInPandas(finish, SCHEMA)
+    last = ends.join(line, "part").join(following, F.col("s_part") == F.col("f_part")).select("doc_id", "text", "following").mapInPandas(finish, SCHEMA)
     return done.filter("at = 0").unionByName(last).select(*FIELDS)
 
 
+def crossed(rows: DataFrame) -> DataFrame:
+    """The digests that an edited text shares with another text, edited or not, while their second digests differ. Edited forms
+    are nowhere stored, so these 128 bits of another seed stand for their bytes."""
+    both = rows.select("digest", "second").unionByName(rows.select(F.col("edited_digest").alias("digest"), F.col("edited_second").alias("second")))
+    sums = both.groupBy("digest").agg(F.min("second").alias("least"), F.max("second").alias("greatest"))
+    return sums.filter(F.col("least") != F.col("greatest")).select("digest")
+
+
 def fingerprint_report(docs: DataFrame) -> DataFrame:
     """Documents (doc_id, text) with fingerprints of their texts and edited texts, and how like those of the neighbours are:
     1 if the canonical forms have the same bytes, else 0. Cases: see compare_neighbours and exact_groups."""
     rows = compare_neighbours(docs)
-    rows = resolved(rows, collisions(docs, rows.select("digest")), {"fingerprint": ("digest", "second"), "edited_fingerprint": ("edited_digest", "edited_second")})
+    clash = collisions(docs, rows.select("digest")).unionByName(crossed(rows)).distinct()
+    rows = resolved(rows, clash, {"fingerprint": ("digest", "second"), "edited_fingerprint": ("edited_digest", "edited_second")})
     return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
