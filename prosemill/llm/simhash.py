@@ -2,8 +2,9 @@
 
 A fingerprint is a row of positional bytes. If two fingerprints must share the bytes of at least m positions, then every
 family of position sets of which one lies in any m positions gives keys that meet: SimHash values of 64 bits that differ in
-at most 4 have at least 4 of 8 bytes in common, and among any 4 positions one of the 20 triples below is whole. Fingerprints
-that meet under a key have their shared bytes tallied; pairs with enough of them are verified.
+at most 4 have at least 4 of 8 bytes in common, and among any 4 positions one of the 20 triples below is whole. The index is
+dealt out by such keys, as lists of single bytes would each be a 256th of the table; under a key it has the posting lists of
+each position and byte, from which shared bytes are tallied. Pairs with enough of them are verified.
 
 Equal fingerprints are one entry. Within a key only a spanning forest of links is made, never all pairs, so a group of n
 near copies gives n - 1 links a key. A key with very many entries is cut into blocks that are compared two by two in tasks
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import workers, written
+from .common import joined_by_key, workers, written
 from .components import components
 
 #: Entries of a key that a task compares at once.
@@ -93,36 +94,62 @@ def covering_triples() -> list[tuple[int, ...]]:
     return out
 
 
+#: Fingerprints from which keys of four bytes, more of them and each more selective, cost less than those of three.
+WIDE = 1 << 26
+
+
+def covering_sets(entries: int) -> list[tuple[int, ...]]:
+    """Position sets of which any 4 of 8 positions hold one; which family it is changes what meets, not what is found."""
+    return covering_triples() if entries < WIDE else list(combinations(range(8), 4))
+
+
 def bands(positions: int, width: int, count: int) -> list[tuple[int, ...]]:
     """Disjoint runs of positions."""
     return [tuple(range(i * width, (i + 1) * width)) for i in range(min(count, positions // width))]
 
 
+class Postings:
+    """An inverted index of the signatures under one key: for each position and byte, the entries that have it there. What all
+    entries have in common is counted once."""
+
+    def __init__(self, signatures: np.ndarray):
+        self.signatures = signatures
+        varied = (signatures != signatures[0]).any(0)
+        self.common, self.lists = int((~varied).sum()), []
+        for p in np.flatnonzero(varied):
+            column = signatures[:, p]
+            order = np.argsort(column, kind="stable")
+            self.lists.append((p, order, np.searchsorted(column[order], np.arange(257))))
+
+    def tally(self, entry: int) -> np.ndarray:
+        """How many positional bytes each entry shares with this one."""
+        out, own = np.full(len(self.signatures), self.common, np.int32), self.signatures[entry]
+        for p, order, starts in self.lists:
+            out[order[starts[own[p]] : starts[own[p] + 1]]] += 1
+        return out
+
+
 def forest(signatures: np.ndarray, matches: int, bits: int | None) -> list[tuple[int, int]]:
     """Links of a spanning forest among signatures (rows of bytes) that share at least matches bytes and, with bits, differ in
-    at most so many bits. The closest come first (Prim), so a link is about the closest that its entry has."""
+    at most so many bits. Postings tally the shared bytes; pairs with enough of them are verified. Each entry is asked for
+    once, and links only to entries that no other has reached."""
     n = len(signatures)
     if n == 2:
         both = (signatures[0] == signatures[1]).sum() >= matches
         return [(0, 1)] if both and (bits is None or np.unpackbits(signatures[0] ^ signatures[1]).sum() <= bits) else []
-    best, via, out = np.full(n, -1, np.int32), np.zeros(n, np.int64), []
-    waiting = np.arange(1, n)
-    now = 0
-    while len(waiting):
-        rest = signatures[waiting]
-        score = (rest == signatures[now]).sum(1, dtype=np.int32)
-        fits = score >= matches
-        if bits is not None and fits.any():
-            apart = np.unpackbits(rest ^ signatures[now], axis=1).sum(1, dtype=np.int32)
-            fits &= apart <= bits
-            score = 8 * signatures.shape[1] - apart
-        better = fits & (score > best[waiting])
-        best[waiting[better]], via[waiting[better]] = score[better], now
-        at = int(best[waiting].argmax())
-        now = int(waiting[at])
-        if best[now] >= 0:
-            out.append((int(via[now]), now))
-        waiting = np.delete(waiting, at)
+    index, out, waiting, left = Postings(signatures), [], np.ones(n, bool), n
+    for first in range(n):
+        if not waiting[first]:
+            continue
+        waiting[first], left, reached = False, left - 1, [first]
+        while reached and left:
+            now = reached.pop()
+            near = np.flatnonzero(waiting & (index.tally(now) >= matches))
+            if bits is not None and len(near):
+                near = near[np.unpackbits(signatures[near] ^ signatures[now], axis=1).sum(1) <= bits]
+            waiting[near], left = False, left - len(near)
+            out.extend((now, int(i)) for i in near)
+            reached.extend(near.tolist())
     return out
 
 
@@ -226,14 +253,15 @@ def simhash_components(docs: DataFrame, n: int = 4, bits: int = 4, key: str = "d
     if not 0 <= bits <= 4:
         raise ValueError("bits: 0 to 4")
     rows = written(fingerprints(docs, n, key, text), "fingerprints")
-    entries = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "entries")
-    signature = F.unhex(F.lpad(F.hex("fp"), 16, "0"))
-    found = components(links(entries.select(F.col("fp").alias("node"), signature.alias("signature")), covering_triples(), 8 - bits, bits, 8))
+    entries = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "entries")
+    signature, size = F.unhex(F.lpad(F.hex("fp"), 16, "0")), entries.agg(F.count(F.lit(1)), F.sum("n")).first()
+    found = components(links(entries.select(F.col("fp").alias("node"), signature.alias("signature")), covering_sets(size[0]), 8 - bits, bits, 8))
     joined = entries.join(found, F.col("fp") == F.col("node")).select("fp", "root", "least")
     roots = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     own = joined.select("fp", "root").join(roots, "root").select(F.col("fp").alias("c_fp"), "component_id")
-    classes = entries.join(own, F.col("fp") == F.col("c_fp"), "left").select(F.col("fp").alias("e_fp"), F.when(F.col("c_fp").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
-    return rows.join(classes, F.col("fp") == F.col("e_fp")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    classes = entries.join(own, F.col("fp") == F.col("c_fp"), "left").select("fp", "n", F.when(F.col("c_fp").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+    out = joined_by_key(rows, written(classes, "fingerprint-classes"), "fp", "n", size[1] or 0)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 # --- similarity of shingle sets ------------------------------------------------------------------------------------
