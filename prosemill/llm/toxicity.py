@@ -2,7 +2,8 @@
 
 Categories are predicted one after another by linear models; each model sees, beside the features, the probabilities of the
 categories before it. It is trained on out-of-fold probabilities, those of models that didn't see the row, so that it meets
-in training what it meets later.
+in training what it meets later. Neither the row's vocabulary nor its categories come from rows of its own fold: each fold
+has the terms and marks that all others give.
 """
 
 from __future__ import annotations
@@ -15,10 +16,10 @@ from dataclasses import asdict, dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled, learnable, workers
+from .common import labelled, learnable, workers, written
 
 #: Most labelled rows that a chain is learnt from, the features it uses, the folds, and lengths of word beginnings.
 ROWS, TERMS, FOLDS, STEMS = 16_000, 256, 5, (4, 5, 6)
@@ -103,59 +104,85 @@ def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 25) ->
     return w
 
 
-def fit(rows: list[list[int]], y: np.ndarray, folds: np.ndarray, vocabulary: list[str], categories: list[str]) -> Chain:
-    """A chain on rows of term numbers; y has a column for each category, folds a number for each row."""
+def fit(rows: list[list[int]], y: np.ndarray, folds: np.ndarray, vocabulary: list[str], categories: list[str], views: dict[int, np.ndarray] | None = None) -> Chain:
+    """A chain on rows of term numbers; y has a column for each category, folds a number for each row. views: for each fold the
+    design of all rows by the terms that the other folds give; without it all folds see the same terms."""
     x, out, weights = design(rows, len(vocabulary)), np.empty((len(rows), 0)), []
     for k in range(len(categories)):
-        full = np.column_stack((x, odds(out)))
-        weights.append(logistic(full, y[:, k]).tolist())
+        weights.append(logistic(np.column_stack((x, odds(out))), y[:, k]).tolist())
         unseen = np.empty(len(rows))
         for f in np.unique(folds):
-            unseen[folds == f] = sigmoid(full[folds == f] @ logistic(full[folds != f], y[folds != f, k]))
+            seen = np.column_stack((views[f] if views else x, odds(out)))
+            unseen[folds == f] = sigmoid(seen[folds == f] @ logistic(seen[folds != f], y[folds != f, k]))
         out = np.column_stack((out, unseen))
     return Chain(categories, vocabulary, weights)
 
 
+#: A text is dense with marked words from this share of its words, and heavy from so many of them, repeats counted.
+DENSE, HEAVY = 0.02, 3
+CATEGORIES = ["dense", "heavy", "toxic"]
+
+
+def fold_of(doc_id: Column) -> Column:
+    """The fold of an id, by hash, so that folds don't follow the order of the ids."""
+    return F.pmod(F.xxhash64(doc_id), F.lit(FOLDS)).cast("int")
+
+
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = ROWS, width: int = TERMS) -> Chain:
     """A chain learnt from labels (doc_id, toxic) on at most rows texts of docs, none of them held out.
 
-    The table marks toxicity as a whole. The chain's earlier categories are made from it: open, toxic with at least one of
-    the terms that only toxic texts have, and heavy, toxic with at least three of them; the label itself is the last.
+    The table marks toxicity as a whole. The chain's earlier categories are made from it: dense, toxic and with at least DENSE
+    of its words marked, and heavy, toxic with at least HEAVY marked words; the label itself is the last. Marked are words that
+    only toxic texts have; how often they occur is no feature, which are the terms' presence alone.
     """
     workers(docs.sparkSession)
-    sample = labelled(docs, labels, label, rows).select("doc_id", "text", "label")
+    sample = labelled(docs, labels, label, rows).select("doc_id", "text", "label", fold_of(F.col("doc_id")).alias("fold"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            got = (Counter(), Counter())
-            for text, y in zip(batch["text"], batch["label"]):
-                got[int(y > 0)].update(terms(text))
-            yield pd.DataFrame([(t, got[1][t], got[0][t]) for t in got[0].keys() | got[1].keys()], columns=["term", "toxic", "clean"])
-
-    totals = sample.agg(F.count_if(F.col("label") > 0).alias("t"), F.count_if(F.col("label") <= 0).alias("c")).first()
-    sums = sample.mapInPandas(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    a, b = (F.col("toxic") + 0.5) / (totals["t"] + 1.0), (F.col("clean") + 0.5) / (totals["c"] + 1.0)
-    best = sums.filter("toxic + clean >= 5").withColumn("worth", (a - b) * F.log(a / b)).orderBy(F.desc("worth"), "term").limit(width).collect()
-    vocabulary = [r["term"] for r in best]
-    index = {t: i for i, t in enumerate(vocabulary)}
-    marks = {i for i, r in enumerate(best) if r["toxic"] >= 5 and r["clean"] * (totals["t"] + 1) * 20 <= r["toxic"] * (totals["c"] + 1)}
+            got: dict[int, tuple[Counter, Counter]] = {}
+            for text, y, f in zip(batch["text"], batch["label"], batch["fold"]):
+                got.setdefault(f, (Counter(), Counter()))[int(y > 0)].update(terms(text))
+            yield pd.DataFrame([(t, f, c[1][t], c[0][t]) for f, c in got.items() for t in c[0].keys() | c[1].keys()], columns=["term", "fold", "toxic", "clean"])
+
+    totals = {r["fold"]: (r["t"], r["c"]) for r in sample.groupBy("fold").agg(F.count_if(F.col("label") > 0).alias("t"), F.count_if(F.col("label") <= 0).alias("c")).collect()}
+    by_fold = [F.sum(F.when(F.col("fold") != f, F.col(c)).otherwise(0)).alias(f"{c}{f}") for f in range(FOLDS) for c in ("toxic", "clean")]
+    sums = sample.mapInPandas(count, "term string, fold int, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias(f"toxic{FOLDS}"), F.sum("clean").alias(f"clean{FOLDS}"), *by_fold)
+    sums = written(sums.filter(f"toxic{FOLDS} + clean{FOLDS} >= 5"), "term-sums")
+    chosen = {}
+    for f in range(FOLDS + 1):  # the last is that of all folds
+        n = [sum(v[k] for g, v in totals.items() if g != f) for k in (0, 1)]
+        a, b = (F.col(f"toxic{f}") + 0.5) / (n[0] + 1.0), (F.col(f"clean{f}") + 0.5) / (n[1] + 1.0)
+        best = sums.filter(f"toxic{f} + clean{f} >= 5").select("term", F.col(f"toxic{f}").alias("toxic"), F.col(f"clean{f}").alias("clean"), ((a - b) * F.log(a / b)).alias("worth")).orderBy(F.desc("worth"), "term").limit(width).collect()
+        chosen[f] = [r["term"] for r in best], {r["term"] for r in best if r["toxic"] >= 5 and r["clean"] * (n[0] + 1) * 20 <= r["toxic"] * (n[1] + 1)}
+    vocabulary = chosen[FOLDS][0]
+    every = sorted({t for words, _ in chosen.values() for t in words})
+    index, marked = {t: i for i, t in enumerate(every)}, {f: marks for f, (_, marks) in chosen.items()}
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["label"], "found": [present(t, index) for t in batch["text"]]})
+            out = []
+            for text, f in zip(batch["text"], batch["fold"]):
+                words = Counter(w if w.isalnum() else EDGES.sub("", w) for w in text.lower().split())
+                hits = sum(n for w, n in words.items() if w in marked[f] or any(w[:k] + "*" in marked[f] for k in STEMS if len(w) >= k))
+                out.append((present(text, index), hits, words.total()))
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "fold": batch["fold"], "label": batch["label"], "found": [o[0] for o in out], "hits": [o[1] for o in out], "words": [o[2] for o in out]})
+
+    got = sample.mapInPandas(read, "doc_id long, fold int, label int, found array<int>, hits long, words long").toPandas().sort_values("doc_id")
+    found, hits, words = [set(map(int, f)) for f in got["found"]], got["hits"].to_numpy(), got["words"].to_numpy()
+
+    def seen_as(terms: list[str]) -> list[list[int]]:
+        numbers = [(i, index[t]) for i, t in enumerate(terms)]
+        return [[i for i, n in numbers if n in f] for f in found]
 
-    got = sample.mapInPandas(read, "doc_id long, label int, found array<int>").toPandas().sort_values("doc_id")
-    found = [list(map(int, f)) for f in got["found"]]
     toxic = (got["label"].to_numpy() > 0).astype(float)
-    hits = np.array([sum(i in marks for i in f) for f in found])
-    y = np.column_stack((toxic * (hits >= 1), toxic * (hits >= 3), toxic))
-    # Folds by the id's place among the hashes, so that they don't follow the order of the ids.
-    folds = (got["doc_id"].to_numpy() * 2654435761 % 4294967296 >> 16) % FOLDS
-    return fit(found, y, folds, vocabulary, ["open", "heavy", "toxic"])
+    y = np.column_stack((toxic * (hits >= np.maximum(1, DENSE * words)), toxic * (hits >= HEAVY), toxic))
+    views = {f: design(seen_as(chosen[f][0]), len(chosen[f][0])) for f in range(FOLDS)}
+    return fit(seen_as(vocabulary), y, got["fold"].to_numpy(), vocabulary, CATEGORIES, views)
 
 
 def classify(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> DataFrame:
-    """Rows (doc_id, held_out, p_open, p_heavy, score, predicted) of docs (doc_id, text): score is the probability of the last
+    """Rows (doc_id, held_out, p_dense, p_heavy, score, predicted) of docs (doc_id, text): score is the probability of the last
     category, toxic, and predicted is 1 where it is at least 1/2.
 
     Null texts count as empty, a null id as the empty text for held_out. Repeated rows stay; an empty table gives an empty
@@ -168,4 +195,4 @@ def classify(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> DataFrame:
         return pd.Series(list(Chain.loads(chain).score([t or "" for t in texts])))
 
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), scores("text").alias("p"))
-    return out.select("doc_id", (~learnable(F.col("doc_id"))).alias("held_out"), F.col("p")[0].alias("p_open"), F.col("p")[1].alias("p_heavy"), F.col("p")[2].alias("score"), (F.col("p")[2] >= 0.5).cast("int").alias("predicted"))
+    return out.select("doc_id", (~learnable(F.col("doc_id"))).alias("held_out"), F.col("p")[0].alias("p_dense"), F.col("p")[1].alias("p_heavy"), F.col("p")[2].alias("score"), (F.col("p")[2] >= 0.5).cast("int").alias("predicted"))
