@@ -1,9 +1,10 @@
 """Best-fit decreasing packing of token sequences into windows.
 
-Documents are tokenised where they are read; what exceeds a window is cut into full windows. The pieces, with their ids
-where whole sequences are wanted, are dealt out by hash, sorted, and packed in blocks of bounded size. In a block the longest
-piece goes first, into the open window with the least room that still holds it. A segment tree over the possible remaining
-capacities, from 1 to the window, finds that window in as many steps as the window has bits.
+Documents are tokenised where they are read; what exceeds a window is cut into full windows. The pieces are packed where they
+are, in blocks of bounded size, so ids never move: a partition of a table gives a few sequences that aren't full, whatever
+the table's size. In a block the longest piece goes first, into the open window with the least room that still holds it. A
+segment tree over the possible remaining capacities, from 1 to the window, finds that window in as many steps as the window
+has bits.
 """
 
 from __future__ import annotations
@@ -25,57 +26,71 @@ from pyspark.sql import functions as F
 from .common import workers
 
 #: Pieces that are packed together; more go to a next block, so a task holds no more than these.
-BLOCK = 100_000
-#: The pre-token pattern of byte-level vocabularies (a fixed value).
-PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Texts of characters whose Unicode classes no library version disputes.
-PLAIN = re.compile("[\t-\r -~\u00a0-\u024f\u0391-\u03a1\u03a3-\u03ce\u0400-\u0481\u048a-\u052f\u2010-\u2027\u2030-\u205e\u20ac]*")
+BLOCK = 32_768
+#: A line break or a space between visible ASCII characters, letters or digits. Byte-level pre-tokenisation parts a text before
+#: and after such breaks, and before such spaces, whatever its tables of characters, so what lies between can be encoded by
+#: itself.
+BREAK, BEFORE_WORD = re.compile(r"(?<=[!-~\w])\n(?=[!-~\w])"), re.compile(r"(?<=[!-~\w]) (?=[!-~\w])")
+#: Words of letters alone, which are one pre-token; marks that are one beside them; words that are remembered, and their length.
+LETTERS, MARKS, WORDS, WORD_CHARS = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+"), ".,;:!?", 1 << 19, 32
+
+
+class Words(dict):
+    """The ids of words after a given string, each found by the tokenizer once while it is remembered."""
+
+    def __init__(self, after: str, encode: Callable[[str], bytes], model: Callable[[str], list]):
+        self.after, self.encode, self.model = after, encode, model
+        # Byte-level vocabularies write each byte as a printable character: printable Latin-1 as itself, the rest from 256 up.
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.shown = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
+        self.marks = {m: encode(m) for m in MARKS}
+
+    def __missing__(self, word: str) -> bytes:
+        if LETTERS.fullmatch(word):
+            ids = array("I", [t.id for t in self.model((self.after + word).encode().decode("latin-1").translate(self.shown))]).tobytes()
+        elif word[-1:] in self.marks and LETTERS.fullmatch(word, 0, len(word) - 1):
+            return self[word[:-1]] + self.marks[word[-1]]
+        else:
+            ids = self.encode(self.after + word)
+        if len(word) <= WORD_CHARS:
+            if len(self) >= WORDS:
+                self.clear()
+            self[word] = ids
+        return ids
 
 
 @cache
 def tokenizer(path: str) -> Callable[[str], bytes]:
     """Text to ids as little-endian unsigned 32-bit numbers, as the tokenizer file gives them without special tokens added.
 
-    Byte-level vocabularies in merge order run on the faster of the two public libraries, which gives the same ids. Texts
-    with characters outside PLAIN or with a special token's string, and other files, go through the file's own library.
+    With byte-level vocabularies a text is parted at BREAK and BEFORE_WORD, and the same library encodes each different word
+    once, words of letters by its model alone. Other files encode whole texts.
     """
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(path)
     spec = json.loads(whole.to_str())
-    pre = spec.get("pre_tokenizer") or {}
-    ours = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and spec["model"]["type"] == "BPE"
-    special = re.compile("|".join(re.escape(t["content"]) for t in spec.get("added_tokens", [])) or r"(?!)")
+    pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
 
     def library(text: str) -> bytes:
         return array("I", whole.encode(text, add_special_tokens=False).ids).tobytes()
 
-    pairs = byte_pairs(spec) if ours else None
-    if pairs is None:
+    plain = not any(spec.get(k) for k in ("normalizer", "truncation", "padding")) and model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
+    level = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+    # A special token must not reach over a space nor be a word of letters.
+    apart = all(not re.search(r"\s", t["content"]) and not LETTERS.fullmatch(t["content"]) and not any(t.get(k) for k in ("lstrip", "rstrip", "single_word")) for t in spec.get("added_tokens", []))
+    if not (plain and level and apart):
         return library
-    special_in = special.search
+    firsts, words, line_end = Words("", library, whole.model.tokenize), Words(" ", library, whole.model.tokenize), library("\n")
 
-    def fast(text: str) -> bytes:
-        if PLAIN.fullmatch(text) is None or special_in(text):
-            return library(text)
-        return array("I", pairs(text)).tobytes()
+    def by_line(line: str) -> bytes:
+        first, *rest = BEFORE_WORD.split(line)
+        return firsts[first] + b"".join(map(words.__getitem__, rest))
 
-    return fast
+    def by_word(text: str) -> bytes:
+        return line_end.join(map(by_line, BREAK.split(text)))
 
-
-def byte_pairs(spec: dict) -> Callable[[str], list[int]] | None:
-    """Ids of a text by ranks, where a vocabulary's ids are in the order of its merges; else None."""
-    import tiktoken
-
-    # Byte-level vocabularies write each byte as a printable character: printable Latin-1 as itself, the rest from 256 up.
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    letters = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
-    added = {t["content"] for t in spec.get("added_tokens", [])}
-    ranks = {bytes(letters[c] for c in word): i for word, i in spec["model"]["vocab"].items() if word not in added}
-    merged = [ranks[bytes(letters[c] for c in "".join(m if isinstance(m, list) else m.split(" ", 1)))] for m in spec["model"]["merges"]]
-    if merged != sorted(merged):
-        return None
-    return tiktoken.Encoding("byte-level", pat_str=PRETOKEN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    return by_word
 
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -160,22 +175,15 @@ PLACED = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 BATCH = 1000
 
 
-def _dealt(pieces: DataFrame, names: list[str]) -> DataFrame:
-    """The columns names of pieces and, if there, ids, dealt out and sorted by hash."""
-    kept = [*names, "ids"] if "ids" in pieces.columns else names
-    # The row's place spreads even equal rows; it is the same whenever the same files are read again.
-    dealt = pieces.select(*kept).withColumn("deal", F.xxhash64("doc_id", "start", F.monotonically_increasing_id()))
-    return dealt.repartition("deal").sortWithinPartitions("deal", *names).drop("deal")
-
-
 def pack(pieces: DataFrame, window: int = 1024, block: int = BLOCK) -> DataFrame:
     """pieces (doc_id, start, length up to window, ids_crc32, doc_tokens and, if there, ids) with sequence_id and offset.
 
-    Blocks are the next block pieces of a partition in sorted order, so a rerun packs alike and memory is bounded. Pieces of
-    one document may part. Repeated rows are packed each; an empty table gives an empty result; other columns are left out.
+    Blocks are the next block pieces of a partition, so memory is bounded and nothing moves; a partition that is read alike is
+    packed alike. Pieces of one document may part. Repeated rows are packed each; an empty table gives an empty result; other
+    columns are left out. Each partition leaves a few sequences that aren't full, so many tiny ones want coalesce first.
     """
     workers(pieces.sparkSession)
-    dealt, ids = _dealt(pieces, PLACED), "ids" in pieces.columns
+    ids = "ids" in pieces.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         first, held, n = TaskContext.get().partitionId() << 40, [], 0
@@ -197,7 +205,7 @@ def pack(pieces: DataFrame, window: int = 1024, block: int = BLOCK) -> DataFrame
         out = rows.assign(sequence_id=[first + s for s, _ in places], offset=[o for _, o in places]).astype({"doc_id": "Int64"})
         return out, 1 + max(s for s, _ in places)
 
-    return dealt.mapInPandas(run, PIECE + (", ids binary" if ids else "") + ", sequence_id long, offset long")
+    return pieces.select(*PLACED, *(["ids"] if ids else [])).mapInPandas(run, PIECE + (", ids binary" if ids else "") + ", sequence_id long, offset long")
 
 
 def sequences(pieces: DataFrame, window: int = 1024, block: int = BLOCK, pad_id: int = 0) -> DataFrame:
@@ -243,7 +251,7 @@ def sequences(pieces: DataFrame, window: int = 1024, block: int = BLOCK, pad_id:
         return pa.RecordBatch.from_arrays(arrays, names=["sequence_id", "ids", "used", "pieces"])
 
     schema = "sequence_id long, ids binary, used long, pieces array<struct<" + ", ".join(f"{n}: long" for n in [*names, "offset"]) + ">>"
-    return _dealt(pieces.select(*names, "ids"), names).mapInArrow(run, schema)
+    return pieces.select(*names, "ids").mapInArrow(run, schema)
 
 
 def digests(laid: DataFrame) -> DataFrame:
