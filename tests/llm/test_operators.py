@@ -110,6 +110,32 @@ def test_stream_round_trip(n):
         assert s.times == [i * unit * 90_000 // 8_000 for i in range(len(s.times))]
 
 
+def test_stream_tables_over_packets_and_repeated_packets():
+    good = media.mux(bytes(range(256)) * 8, 1000)
+    pat = good[:188]
+    body = media._section(media.PMT_TABLE, 1, b"\xe1\x00\xf0\x00" + bytes([0x1B, 0xE2, 0, 0xF0, 200]) + bytes(200) + bytes([media.PRIVATE_TYPE, 0xE1, 0, 0xF0, 0]))
+    head = lambda start, n: bytes([0x47, 0x50 if start else 0x10, 0, 0x10 | n])
+    long = head(1, 0) + b"\0" + body[:183] + (head(0, 1) + body[183:]).ljust(188, b"\xff")
+    s = media.demux(pat + long + good[376:])
+    assert s.payload == bytes(range(256)) * 8 and not s.bad_tables and not s.error
+    assert media.demux(pat + long[:188] + good[376:]).bad_tables == 1
+    packets = [good[i : i + 188] for i in range(0, len(good), 188)]
+    again = media.demux(b"".join(packets[:2] + [p for p in packets[2:] for _ in range(2)]))
+    assert again.payload == s.payload and again.repeated == len(packets) - 2 and not again.lost and len(again.units) == len(s.units)
+
+
+def test_stream_index_pairs_times_with_their_packets(spark):
+    good = bytearray(media.mux(bytes(3000), 1000))
+    starts = [i for i in range(376, len(good), 188) if good[i + 1] & 0x40]
+    good[starts[1] + 5] &= ~0x40  # no random access in the second
+    rows = spark.createDataFrame([("x", bytes(good)), (None, None), ("y", b"broken"), (None, bytes(good))], "unit string, media binary").withColumns({"time": F.lit(1), "packet": F.lit(2)})
+    got = media.stream_index(rows, "unit").collect()
+    wanted = [(i, i * 1000 * 90_000 // 8_000, s // 188, i != 1) for i, s in enumerate(starts)]
+    for key in ("x", None):
+        assert sorted(tuple(r)[1:] for r in got if r.unit_ == key) == wanted
+    assert len(got) == 6
+
+
 def test_stream_faults():
     good = bytearray(media.mux(bytes(5000), 1000))
     lost = good[: 188 * 4] + good[188 * 5 :]
@@ -157,6 +183,22 @@ def test_priors_lean_on_what_is_around(spark):
     assert p["a"] > p["b"] > p["z"] > p["c"]
 
 
+def test_hostile_pages():
+    import time
+
+    began = time.perf_counter()
+    for page in ("<script " * 120_000, "<!--" * 250_000, "<" * 1_000_000, "<style>x</style>" * 60_000, "<head><script>" * 70_000):
+        langid.visible(page)
+    assert time.perf_counter() - began < 20
+    assert langid.visible("a<SCRIPT>x</script >b<!-- c --><p>d<style>e").split() == ["a", "b", "d", "e"]
+
+
+def test_a_repeated_id_is_learnt_once(spark):
+    rows = [(1, "abc abc abc", "x", "s")] * 50 + [(2, "def def def", "y", "s")]
+    model = langid.learn_text(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    assert model.languages == ["x", "y"] and abs(np.exp(model.table).max(1)[0] - np.exp(model.table).max(1)[1]) < 1e-6
+
+
 def test_url_parts(spark):
     parts = langid.url_parts(F.col("u"))
     got = spark.createDataFrame([("https://u@Blog.A.co.uk:8/x?y",), ("nohost",), (None,)], "u string").select(*[c.alias(k) for k, c in parts.items()]).collect()
@@ -224,6 +266,31 @@ def test_escapes():
         assert chat.unescape(chat.escape_line(s)) == s and "\n" not in chat.escape_line(s)
 
 
+WHOLE = "{% set n = 'none' %}{% for m in messages %}{{ loop.index }}{{ n }}{{ '<|im_start|>' }}{{ m.role | escape_line }}{{ '\\n' }}{% if loop.last %}{% generation %}{{ m.text | escape }}{% endgeneration %}{% else %}{{ m.text | escape }}{% endif %}<|im_end|>{% set n = m.role %}{% endfor %}"
+
+
+def test_templates_that_see_other_messages(spark):
+    assert chat.by_message(chat.TEMPLATE) and chat.by_message("{% for m in messages %}{{ m.text }}{% endfor %}")
+    for other in (WHOLE, "a{% for m in messages %}{{ m.text }}{% endfor %}", "{% for m in messages %}{{ loop.index }}{% endfor %}", "{% for m in messages %}{{ messages[0].text }}{% endfor %}", "{% for m in messages %}{% set x = 1 %}{% endfor %}", "{{ x }}", ""):
+        assert not chat.by_message(other)
+    with pytest.raises(chat.TemplateError):
+        chat.render_turns(spark.createDataFrame([(1, 1, "a", "b")], "conv_id long, turn long, role string, text string"), WHOLE)
+    rows = [(1, 0, "user", "q<|im_end|>"), (1, 1, "assistant", "a"), (2, None, None, None), (1, 2, "user", "é"), (None, 1, "x", "y")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("segment", F.lit(1))
+    out = chat.render_conversations(df, WHOLE)
+    run = chat.compile_template(WHOLE)
+    for r in out.collect():
+        messages = [{"role": o or "", "text": t or ""} for c, n, o, t in sorted(rows, key=lambda x: (x[1] is None, x[1])) if c == r.conv_id]
+        assert (r.segment, [tuple(s) for s in r.spans]) == run(messages=messages, add_generation_prompt=False)
+    got = {r.conv_id: r for r in chat.conversation_report(out).collect()}
+    assert got[1].n_turns == 3 and got[1].loss_sha256 == hashlib.sha256("é".encode()).hexdigest() and len(got) == 3
+    assert chat.render_conversations(df.limit(0), WHOLE).count() == 0
+    # Message by message or whole, the usual template gives the same text.
+    by_turn = chat.render_conversations(df).orderBy(F.col("turn").asc_nulls_last()).collect()
+    whole = chat.compile_template(chat.TEMPLATE)
+    assert "".join(r.segment for r in by_turn if r.conv_id == 1) == whole(messages=[{"role": o, "text": t} for c, _, o, t in rows if c == 1], add_generation_prompt=False)[0]
+
+
 def test_conversations(spark):
     rows = [(1, 1, "assistant", "<|im_end|>\n"), (1, 0, "user", None), (1, None, "us\ner", "x"), (1, 0, "user", None), (None, 0, None, "é"), (2, 5, "assistant", ""), (2, 5, "assistant", "b\\")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("segment", F.lit(1))
@@ -269,6 +336,11 @@ def test_digests(spark, odd, none):
     assert groups[2].group_id == 1 and groups[1].copies == 2 and groups[3].copies == 1
 
 
+def test_edited_forms_that_share_a_digest_are_found(spark):
+    rows = spark.createDataFrame([("d1", "s1", "e1", "t1"), ("d2", "s2", "d1", "s1"), ("d3", "s3", "e1", "t2"), ("e1", "t1", "d2", "zz")], "digest string, second string, edited_digest string, edited_second string")
+    assert {r.digest for r in digest.crossed(rows).collect()} == {"e1", "d2"}
+
+
 def test_different_forms_in_one_bucket_are_told_apart(spark):
     rows = spark.createDataFrame([("x", "1"), ("x", "2"), ("y", "3")], "digest string, second string")
     got = digest.resolved(rows, spark.createDataFrame([("x",)], "digest string"), {"fingerprint": ("digest", "second")})
@@ -323,11 +395,20 @@ def test_slack_limits_movement(spark):
 # --- 8 near duplicates ---------------------------------------------------------------------------------------------
 
 
-def test_triples_meet_in_any_four_positions():
+def test_sets_meet_in_any_four_positions():
     from itertools import combinations
 
-    sets = simhash.covering_triples()
-    assert len(sets) == 20 and all(any(set(t) <= set(q) for t in sets) for q in combinations(range(8), 4))
+    for sets, n in ((simhash.covering_sets(10), 20), (simhash.covering_sets(1 << 40), 70)):
+        assert len(sets) == n and all(any(set(t) <= set(q) for t in sets) for q in combinations(range(8), 4))
+
+
+def test_postings_tally_shared_bytes():
+    rng = np.random.default_rng(3)
+    for size in (8, 20):
+        signatures = rng.integers(0, 4, (40, size), np.uint8)
+        signatures[:, 2] = 9
+        index = simhash.Postings(signatures)
+        assert index.common == 1 and all((index.tally(i) == (signatures == signatures[i]).sum(1)).all() for i in range(40))
 
 
 def classes(ids, linked):
@@ -353,6 +434,15 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_hubs_are_joined_where_their_links_are(spark, monkeypatch):
+    from prosemill.llm import common
+
+    monkeypatch.setattr(common, "SMALL", 10)
+    pairs = [(0, i) for i in range(1, 400)] + [(i, i + 1) for i in range(500, 540)] + [(399, 520)]
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == classes({x for p in pairs for x in p}, pairs)
+
+
 def plain_simhash(text):
     words = (text or "").encode().lower().split()
     runs = [b" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []
@@ -382,8 +472,8 @@ def test_crowded_keys_are_cut_into_blocks(spark):
     entries = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f, bytearray(f.to_bytes(8, "big"))) for f in fps], "node long, signature binary")
     signed = {f: f - (1 << 64) if f >> 63 else f for f in fps}
     wanted = classes(signed.values(), [(signed[a], signed[b]) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 4])
-    for block in (8192, 16):
-        found = {r.node: r.root for r in components.components(simhash.links(entries, simhash.covering_triples(), 4, 4, 8, block)).collect()}
+    for block, sets in ((8192, simhash.covering_sets(1)), (16, simhash.covering_sets(1)), (8192, simhash.covering_sets(1 << 40))):
+        found = {r.node: r.root for r in components.components(simhash.links(entries, sets, 4, 4, 8, block)).collect()}
         assert {n: found.get(n, n) for n in wanted} == wanted
 
 
@@ -431,16 +521,25 @@ def path():
     return pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
 
 
-def test_ids_are_the_tokenizer_s(path):
+def test_ids_are_the_tokenizer_s(path, monkeypatch):
+    import time
+
     from tokenizers import Tokenizer
 
+    monkeypatch.setattr(packing, "WORDS", 50)  # words are forgotten on the way
+
     whole, encode = Tokenizer.from_file(path), packing.tokenizer(path)
     random.seed(5)
     letters = list("ab'stre \n\t  .,!_-09½²é߀Ω中ー́\x1c\x85　​ªºµ") + ["'ll", "<|endoftext|>", "🙂"]
     texts = ["".join(random.choice(letters) for _ in range(random.randint(0, 14))) for _ in range(3000)]
     texts += [r[0] for r in duckdb.sql(f"select text from '{SF}/documents.parquet'").fetchall()]
+    texts += ["".join(random.choice([*letters, " a", " é,", ". Ab", "\nx", " ÿÿ!", " 12", " 'll"]) for _ in range(random.randint(0, 12))) for _ in range(6000)]
     for t in texts:
         assert encode(t) == np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+    began = time.perf_counter()
+    for t in (" " * 1_000_000, "\n" * 1_000_000, "a" * 1_000_000):
+        assert encode(t) == np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+    assert time.perf_counter() - began < 60
 
 
 def test_best_fit():
