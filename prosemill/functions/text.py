@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 LEX_TOKEN = r"[\p{L}\p{Nd}]+(?:(?:['’-][\p{L}\p{Nd}]|\.\p{Nd})[\p{L}\p{Nd}]*)*"
 STACK_SCAN = r"[—–;:]|[\p{L}\p{Nd}]+(?:['’-][\p{L}\p{Nd}]+)*"
 CORPUS_TOKEN = r"[\p{L}\p{Nd}](?:[\p{L}\p{Nd}'’-]*[\p{L}\p{Nd}])?"
+#: The first two for engines that backtrack: nothing is ever given back, so matches are the same, and Java needs no stack for
+#: each part of a token, however long it is.
+POSSESSIVE = {LEX_TOKEN: r"[\p{L}\p{Nd}]++(?:(?:['’-][\p{L}\p{Nd}]|\.\p{Nd})[\p{L}\p{Nd}]*+)*+", STACK_SCAN: r"[—–;:]|[\p{L}\p{Nd}]++(?:['’-][\p{L}\p{Nd}]++)*+"}
 IDENTIFIER = r"(?s).\p{Lu}|\p{Nd}"
 _WORD = "[0-9A-Za-z_]"
 ASCII_B = f"(?:(?<!{_WORD})(?={_WORD})|(?<={_WORD})(?!{_WORD}))"
@@ -30,27 +33,45 @@ def ascii_boundary(pattern: str) -> str:
 
 
 def tokens(text: Column, pattern: str = LEX_TOKEN) -> Column:
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(POSSESSIVE.get(pattern, pattern)), F.lit(0))
 
 
-def positions(text: Column, pattern: str) -> Column:
-    """Matches of a pattern that never matches the empty string, in order, as an array of structs: match, start and end in
-    bytes, col: the code points before it, prev: the character before it ('' at the start).
+def literal(text: str) -> str:
+    """A string as a literal of SQL."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-    The pieces between matches come from split, so one running sum over both gives every offset.
+
+def running(values: str, *fields: str) -> str:
+    """SQL for the sums of the int fields of an array of structs up to each element, itself included, as an array of structs of
+    those. values is the name of a lambda's variable.
+
+    Each round adds to every sum the one that lies twice as far back as in the round before, so n elements take n log n steps
+    and arrays are never grown one by one.
+    """
+    steps = f"filter(array({', '.join(str(1 << k) for k in range(31))}), d -> d < size({values}))"
+    first = ", ".join(f"'{f}', x.{f}" for f in fields)
+    added = ", ".join(f"'{f}', x.{f} + get(acc, i - d).{f}" for f in fields)
+    return f"aggregate({steps}, transform({values}, x -> named_struct({first})), (acc, d) -> transform(acc, (x, i) -> if(i < d, x, named_struct({added}))))"
+
+
+def bound_sql(value: str, name: str, body: str) -> str:
+    """bound in SQL: body, in which name stands for a value that is computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def positions(text: str, pattern: str) -> Column:
+    """Matches in the column text of a pattern that never matches the empty string, in order, as an array of structs: match, start
+    and end in bytes, col: the code points before it, prev: the character before it ('' at the start).
+
+    The pieces between matches come from split, so running sums over both give every offset. As SQL the expression is handed to
+    the JVM in one call; rules name hundreds of them.
     """
-    pairs = bound(tokens(text, pattern), lambda found: F.zip_with(found, F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), lambda m, p: F.struct(m.alias("m"), p.alias("p"))))
-    empty = F.array().cast("array<struct<match:string,start:int,end:int,col:int,prev:string>>")
-    start = F.struct(empty.alias("out"), F.lit(0).alias("byte"), F.lit(0).alias("col"), F.lit("").alias("last"))
-
-    def add(acc: Column, x: Column) -> Column:
-        before, match = x["p"], x["m"]
-        at, col = acc["byte"] + F.octet_length(before), acc["col"] + F.length(before)
-        prev = F.when(F.length(before) > 0, F.right(before, F.lit(1))).otherwise(acc["last"])
-        one = F.struct(match.alias("match"), at.alias("start"), (at + F.octet_length(match)).alias("end"), col.alias("col"), prev.alias("prev"))
-        return F.struct(F.concat(acc["out"], F.array(one)).alias("out"), (at + F.octet_length(match)).alias("byte"), (col + F.length(match)).alias("col"), F.right(match, F.lit(1)).alias("last"))
-
-    return F.aggregate(pairs, start, add, lambda acc: acc["out"])
+    p = literal(pattern)
+    pairs = bound_sql(f"regexp_extract_all(`{text}`, {p}, 0)", "f", f"zip_with(f, slice(split(`{text}`, {p}, -1), 1, size(f)), (m, s) -> named_struct('m', m, 's', s, 'byte', octet_length(s) + octet_length(m), 'col', length(s) + length(m)))")
+    both = bound_sql(pairs, "every", f"named_struct('every', every, 'ends', {running('every', 'byte', 'col')})")
+    one = """named_struct('match', x.m, 'start', get(b.ends, i).byte - octet_length(x.m), 'end', get(b.ends, i).byte, 'col', get(b.ends, i).col - length(x.m),
+        'prev', case when length(x.s) > 0 then right(x.s, 1) when i > 0 then right(get(b.every, i - 1).m, 1) else '' end)"""
+    return F.expr(bound_sql(both, "b", f"transform(b.every, (x, i) -> {one})"))
 
 
 def whole_term(terms: list[str]) -> str:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -202,14 +203,17 @@ def _typescript(source: str, path: str) -> list[Token]:
 LEXERS: dict[str, Callable[[str, str], list[Token]]] = {"go": _go, "ts": _typescript, "rust": _rust, "py": _python, "sh": _shell}
 
 
+REST, BREAK = re.compile(r"[ \t]*(?:[\r\n]|\Z)"), re.compile(r"(?:\r\n|\r|\n)[ \t]*")
+
+
 def coalesced(source: str, tokens: list[Token]) -> list[Token]:
     """Comments of one form that fill lines of the same indent, one right after the other, as one."""
-    out: list[Token] = []
+    out: list[tuple] = []
+    lines = [0, *(m.end() for m in re.finditer(r"[\r\n]", source))]
     for start, end, form in tokens:
-        line = re.split(r"[\r\n]", source[:start])[-1]
-        rest = re.match(r"[ \t]*(?:[\r\n]|\Z)", source[end:])
-        full = not line.strip(" \t") and rest is not None
-        if out and full and (last := out[-1])[2] == form and last[3] == line and re.fullmatch(r"(?:\r\n|\r|\n)[ \t]*", source[last[1] : start]):
+        line = source[lines[bisect_right(lines, start) - 1] : start]
+        full = not line.strip(" \t") and REST.match(source, end) is not None
+        if out and full and (last := out[-1])[2] == form and last[3] == line and BREAK.fullmatch(source, last[1], start):
             out[-1] = (last[0], end, form, line)
         else:
             out.append((start, end, form, line if full else None))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 #: Elements that aren't shown, those that begin and end lines, and those without content.
@@ -13,7 +14,7 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 #: Elements whose content is text up to their own end tag.
 RAW = {"script", "style", "title", "textarea", "xmp", "iframe", "noembed", "noframes", "noscript", "plaintext"}
 
-TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)", re.S)
+TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*(?:>|\Z)", re.S)
 ENTITY = re.compile(r"&[^;]*;")
 
 
@@ -31,6 +32,7 @@ def project(source: str) -> Shown:
     parts: list[str] = []
     runs: list[list] = []
     size, open_tags, at, raw_until = 0, [], 0, None
+    depth = Counter()  # of each open element
 
     def add(text: str, start: int, end: int, protected: bool, atomic: bool) -> None:
         nonlocal size
@@ -49,25 +51,27 @@ def project(source: str) -> Shown:
             add("\n", start, end, False, True)
 
     def text(start: int, end: int) -> None:
-        if start == end or HIDDEN & set(open_tags):
+        if start == end or any(depth[h] for h in HIDDEN):
             return
-        if "code" in open_tags or "pre" in open_tags:
+        if depth["code"] or depth["pre"]:
             # A separator keeps its neighbours apart; runs of it never join, as each stands for its own source.
             add(" ", start, end, True, False)
             return
-        protected, last = "a" in open_tags, start
-        for m in ENTITY.finditer(source, start, end):
-            # Of several ampersands before one semicolon the last that decodes counts.
-            for amp in (i for i in range(m.start(), m.end()) if source[i] == "&"):
-                decoded = html.unescape(source[amp : m.end()])
-                if decoded != source[amp : m.end()]:
-                    add(source[last:amp], last, amp, protected, False)
-                    add(decoded, amp, m.end(), protected, True)
-                    last = m.end()
-                    break
+        protected, last = depth["a"] > 0, start
+        for m in ENTITY.finditer(source, start, source.rfind(";", start, end) + 1):
+            decoded = html.unescape(m[0])
+            if decoded != m[0]:
+                add(source[last : m.start()], last, m.start(), protected, False)
+                add(decoded, m.start(), m.end(), protected, True)
+                last = m.end()
         add(source[last:end], last, end, protected, False)
 
+    last_end = source.rfind(">")
     while at < len(source):
+        if at > last_end:  # no tag ends any more; a remark or a broken tag hides the rest
+            cut = None if raw_until else re.compile("<[!?/]").search(source, at)
+            text(at, cut.start() if cut else len(source))
+            break
         m = (re.compile(rf"</(?P<name>{raw_until})(?=[\s/>])(?P<rest>[^>]*)>", re.I) if raw_until else TOKEN).search(source, at)
         if m is None:
             text(at, len(source))
@@ -79,8 +83,10 @@ def project(source: str) -> Shown:
             continue
         if raw_until or m["end"]:
             raw_until = None
-            if name in open_tags:
-                del open_tags[len(open_tags) - 1 - open_tags[::-1].index(name) :]
+            if depth[name]:
+                while (closed := open_tags.pop()) != name:
+                    depth[closed] -= 1
+                depth[name] -= 1
             if name in BLOCKS:
                 line(m.start(), m.end())
             continue
@@ -89,6 +95,7 @@ def project(source: str) -> Shown:
         closed = m["rest"].endswith("/")
         if not closed and name not in VOID:
             open_tags.append(name)
+            depth[name] += 1
         if name in RAW and not closed:
             raw_until = re.escape(name)
     return Shown("".join(parts), [tuple(r) for r in runs])

@@ -7,6 +7,7 @@ a document use windows by document.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Callable
 from functools import cached_property
 
@@ -77,7 +78,7 @@ def exploded(segments: DataFrame, matches: Column) -> DataFrame:
 
 def matched(segments: DataFrame, pattern: str) -> DataFrame:
     """exploded over a pattern; segments without a match go before any position is counted."""
-    return exploded(segments.filter(F.col("text").rlike(pattern)), T.positions(F.col("text"), pattern))
+    return exploded(segments.filter(F.col("text").rlike(pattern)), T.positions("text", pattern))
 
 
 def pattern_rule(name: str, pattern: str, label: str, message: str | Callable[[Context, Column], Column]) -> None:
@@ -137,7 +138,7 @@ def exclamation(ctx: Context) -> DataFrame:
 @rule("TIME_ANCHOR")
 def time_anchor(ctx: Context) -> DataFrame:
     rows = ctx.prose.filter(F.col("text").rlike(T.whole_term(TIME_ANCHORS)))
-    found = F.concat(*[T.positions(F.col("text"), T.whole_term([p])) for p in TIME_ANCHORS])
+    found = F.concat(*[T.positions("text", T.whole_term([p])) for p in TIME_ANCHORS])
     longer = lambda a, b: (a["start"] <= b["start"]) & (b["end"] <= a["end"]) & (a["end"] - a["start"] > b["end"] - b["start"])
     outer = F.filter("found", lambda m: ~F.exists("found", lambda o: longer(o, m)))
     return finding(exploded(rows.withColumn("found", found), outer), ctx, "CORE.TIME_ANCHOR", F.concat(F.lit("time anchor: "), quoted(F.col("match"))), ANCHOR_MESSAGE)
@@ -159,9 +160,9 @@ def term_discouraged(ctx: Context) -> DataFrame:
     rule_id = "CORE.TERM_DISCOURAGED"
     policy = ctx.profile.policy(rule_id, "enforced", "warning")
     if not entries:
-        return finding(exploded(ctx.prose.limit(0), T.positions(F.col("text"), "!")), ctx, rule_id, F.lit(""), "", policy=policy)
+        return finding(exploded(ctx.prose.limit(0), T.positions("text", "!")), ctx, rule_id, F.lit(""), "", policy=policy)
     rows = ctx.prose.filter(F.col("text").rlike(T.whole_term([e["term"] for e in entries])))
-    found = F.concat(*[numbered(T.positions(F.col("text"), T.whole_term([e["term"]])), i) for i, e in enumerate(entries)])
+    found = F.concat(*[numbered(T.positions("text", T.whole_term([e["term"]])), i) for i, e in enumerate(entries)])
     rows = rows.withColumn("m", F.explode(T.greedy(found)))
     out = exploded_with_entry(rows)
 
@@ -185,9 +186,9 @@ def exploded_with_entry(rows: DataFrame) -> DataFrame:
 def term_case(ctx: Context) -> DataFrame:
     rule_id, entries = "CORE.TERM_CASE", [e for e in ctx.profile.dictionary["entries"] if e.get("canonical_case")]
     if not entries:
-        return finding(exploded(ctx.prose.limit(0), T.positions(F.col("text"), "!")), ctx, rule_id, F.lit(""), "", policy=("enforced", "warning"))
+        return finding(exploded(ctx.prose.limit(0), T.positions("text", "!")), ctx, rule_id, F.lit(""), "", policy=("enforced", "warning"))
     rows = ctx.prose.filter(F.col("text").rlike(T.whole_term([e["term"] for e in entries])))
-    found = F.concat(*[F.filter(numbered(T.positions(F.col("text"), T.whole_term([e["term"]])), i), differs(e["canonical_case"])) for i, e in enumerate(entries)])
+    found = F.concat(*[F.filter(numbered(T.positions("text", T.whole_term([e["term"]])), i), differs(e["canonical_case"])) for i, e in enumerate(entries)])
     out = exploded_with_entry(rows.withColumn("m", F.explode(found)))
     right = F.element_at(F.array(*[F.lit(e["canonical_case"]) for e in entries]), F.col("entry") + 1)
     return finding(out, ctx, rule_id, F.concat(F.lit("canonical case is "), quoted(right)), "Term case does not match canonical form.", policy=("enforced", "warning"))
@@ -198,11 +199,11 @@ def term_unknown(ctx: Context) -> DataFrame:
     """Words that no dictionary term covers, where the profile's policy asks for them."""
     rule_id, policy = "CORE.TERM_UNKNOWN", ("candidate", "info")
     known = [e["term"] for e in ctx.profile.dictionary["entries"]]
-    rows = exploded(ctx.prose if ctx.profile.rules.get("unknown_term_policy") == "candidate" else ctx.prose.limit(0), T.positions(F.col("text"), r"\S+"))
+    rows = exploded(ctx.prose if ctx.profile.rules.get("unknown_term_policy") == "candidate" else ctx.prose.limit(0), T.positions("text", r"\S+"))
     clean = F.regexp_replace(F.regexp_replace("match", r"^[^\p{L}\p{Nd}]+", ""), r"[^\p{L}\p{Nd}]+$", "")
     rows = rows.withColumn("clean", clean).filter("clean <> ''")
     if known:
-        covered = exploded(ctx.prose.filter(F.col("text").rlike(T.whole_term(known))), T.positions(F.col("text"), T.whole_term(known)))
+        covered = exploded(ctx.prose.filter(F.col("text").rlike(T.whole_term(known))), T.positions("text", T.whole_term(known)))
         covered = covered.select(F.col("doc_id").alias("d"), F.col("start_byte").alias("cs"), F.col("end_byte").alias("ce"))
         lead = F.octet_length(F.regexp_extract("match", r"^[^\p{L}\p{Nd}]*", 0))
         rows = rows.withColumn("word_start", F.col("start_byte") + lead).withColumn("word_end", F.col("start_byte") + lead + F.octet_length("clean"))
@@ -233,27 +234,43 @@ def procedure_multi_action(ctx: Context) -> DataFrame:
 CAPS = r"(?<![\p{L}\p{Nd}_$])[A-Z]{2,5}(?![\p{L}\p{Nd}_$])"
 
 
+def expanded(t: str, stopwords: frozenset[str]) -> list[str]:
+    """Lower-case abbreviations that a text expands in parentheses, in either order: XY (x-words y-words), and the reverse.
+    Words are listed once, so time is in proportion to the text's length."""
+    counts = lambda w: w.lower() not in stopwords and len(w.encode()) >= 2
+    initial = lambda w: w[0].upper() if w[0].isascii() else w[0]
+    runs = [(m.start(), m[0]) for m in re.finditer(r"(?:-|[^\W_])+", t)]
+    # Words may begin with hyphens but not end with one before a parenthesis, and the other way round in it.
+    ahead = [(at + len(w), initial(w)) for at, run in runs if (w := run.rstrip("-")) and counts(w)]
+    inside = [(at + len(run) - len(run.lstrip("-")), initial(w)) for at, run in runs if (w := run.lstrip("-")) and counts(w)]
+    ends, starts = [at for at, _ in ahead], [at for at, _ in inside]
+    out, close = set(), -1
+    for m in re.finditer(r"\(", t):
+        at = m.start()
+        if close < at and (close := t.find(")", at)) < 0:
+            break
+        if short := re.compile(r"\(\s*([A-Z]{2,5})\s*\)").match(t, at):
+            n = bisect_right(ends, at)
+            if "".join(c for _, c in ahead[max(0, n - 16) : n])[-16:].endswith(short[1]):
+                out.add(short[1].lower())
+            continue
+        before = at
+        while before and t[before - 1].isspace():
+            before -= 1
+        if (w := re.search(r"(?:[-'’]|[^\W_])+$", t[max(0, before - 6) : before])) and re.fullmatch("[A-Z]{2,5}", w[0]):
+            n = bisect_right(starts, at)
+            if "".join(c for start, c in inside[n : n + 5] if start < close).startswith(w[0]):
+                out.add(w[0].lower())
+    return sorted(out)
+
+
 def expansions(text: Column, stopwords: list[str]) -> Column:
-    """Lower-case abbreviations that a text expands in parentheses, in either order."""
+    """expanded over a column."""
     small = frozenset(stopwords)
 
-    def initials(words: list[str]) -> str:
-        return "".join(w[0].upper() if w[0].isascii() else w[0] for w in words if w.lower() not in small and len(w.encode()) >= 2)
-
     @F.pandas_udf("array<string>")
     def found(texts: pd.Series) -> pd.Series:
-        return pd.Series([one(t) for t in texts])
-
-    def one(t: str) -> list[str]:
-        out = set()
-        for m in re.finditer(r"\((?=([^)]*)\))", t):
-            inner, before = m[1].strip(), t[: m.start()]
-            if re.fullmatch("[A-Z]{2,5}", inner):
-                if initials(re.findall(r"(?:-|[^\W_])*[^\W_]", before))[-16:].endswith(inner):
-                    out.add(inner.lower())
-            elif (w := re.search(r"(?:[-'’]|[^\W_])+$", before.rstrip())) and re.fullmatch("[A-Z]{2,5}", w[0]) and initials(re.findall(r"[^\W_](?:-|[^\W_])*", m[1])).startswith(w[0]):
-                out.add(w[0].lower())
-        return sorted(out)
+        return pd.Series([expanded(t, small) for t in texts])
 
     return found(text)
 
@@ -311,21 +328,24 @@ def gerund_opener(ctx: Context) -> DataFrame:
 def stack_runs(text: Column, stopwords: list[str]) -> Column:
     """Runs of words that aren't stopwords and cross no mark that ends a clause: structs of words and of the stopword before
     them ('' at a sentence's or clause's start)."""
-    kind = "array<struct<words:array<string>,before:string>>"
-    none = F.array().cast("array<string>")
+    mark = lambda t: t.isin("—", "–", ";", ":")
+
+    def runs(b: Column) -> Column:
+        words, cuts = b["words"], b["cuts"]
+
+        def one(at: Column, k: Column) -> Column:
+            last = F.get(cuts, k - 1)
+            head = F.get(words, last)
+            before = F.when((last < 0) | mark(head), "").otherwise(F.lower(head))
+            return F.when(k > 0, F.struct(F.slice(words, last + 2, at - last - 1).alias("words"), before.alias("before")))
 
-    def close(acc: Column) -> Column:
-        one = F.struct(acc["now"].alias("words"), acc["before"].alias("before"))
-        return F.when(F.size(acc["now"]) > 0, F.concat(acc["runs"], F.array(one))).otherwise(acc["runs"])
+        return F.filter(F.transform(cuts, one), lambda r: F.size(r["words"]) > 0)
 
-    def add(acc: Column, token: Column) -> Column:
-        mark, low = token.isin("—", "–", ";", ":"), F.lower(token)
-        stop = low.isin(stopwords)
-        return F.when(mark | stop, F.struct(close(acc).alias("runs"), none.alias("now"), F.when(mark, "").otherwise(low).alias("before"))).otherwise(
-            F.struct(acc["runs"].alias("runs"), F.concat(acc["now"], F.array(token)).alias("now"), acc["before"].alias("before"))
-        )
+    def cut(words: Column) -> Column:
+        at = F.filter(F.transform(words, lambda t, i: F.when(mark(t) | F.lower(t).isin(stopwords), i)), lambda i: i.isNotNull())
+        return F.struct(words.alias("words"), F.concat(F.array(F.lit(-1)), at, F.array(F.size(words))).alias("cuts"))
 
-    return F.aggregate(T.tokens(text, T.STACK_SCAN), F.struct(F.array().cast(kind).alias("runs"), none.alias("now"), F.lit("").alias("before")), add, close)
+    return T.bound(T.bound(T.tokens(text, T.STACK_SCAN), cut), runs)
 
 
 @rule("NOUN_STACK")
