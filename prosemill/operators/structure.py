@@ -11,14 +11,17 @@ from __future__ import annotations
 import os
 import re
 from bisect import bisect_right
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import cache, cached_property
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prosemill.functions import text as T
+
 from .htmltext import project
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -35,7 +38,6 @@ VERBATIM = {"code_block", "front_matter", "html_block"}
 
 FRONT_END = re.compile(r"^(?:---|\+\+\+)(?=[\r\n]|\Z)\r?\n?", re.M)
 HTML_OPEN = re.compile(r"<(?:!--|!\[cdata\[|!doctype|\?|/?(?:" + "|".join(sorted(BLOCK_TAGS, key=len, reverse=True)) + r")(?=[ \t>/]|\Z))", re.I)
-INLINE = re.compile(r"(?P<code>(`+)(?!`).+?(?<!`)\2(?!`))|(?P<angle><(?P<inner>[^>]*)>)|(?P<link>(?<=\])\()", re.S)
 LINE = re.compile(
     r"(?P<heading>#+(?:[ \t]|\Z))|(?P<normal>#)|(?P<quote>>)|(?P<row>\|(?:.*\|)?\Z)|(?P<empty>(?:-[ \t]*){3,}\Z|(?:\*[ \t]*){3,}\Z|(?:_[ \t]*){3,}\Z)"
     r"|(?P<item>[-*+][ \t]|[0-9]+[.)]\s*\S)", re.S
@@ -70,50 +72,109 @@ class Positions:
 # --- segments ------------------------------------------------------------------------------------------------------
 
 
-def inline_kind(inner: str) -> str:
-    """What <inner> is: a link target, a tag, or '' for neither."""
-    if inner and not re.search(r"\s", inner):
-        at = inner.find("@")
-        colon = inner.find(":")
-        if 0 < at < len(inner) - 1 or (2 <= colon <= 32 and inner[0].isalpha() and all(c.isalpha() or c.isdecimal() or c in "+.-" for c in inner[1:colon])):
-            return "link_destination"
-    name = inner.strip().removeprefix("/")
-    return "inline_html" if name[:1].isalpha() else ""
+class Ahead:
+    """Where something next stands in a text, asked for at places that never go back: what was found, or that nothing more
+    is there, is remembered, so all questions together read the text once for each thing asked for."""
+
+    def __init__(self, text: str):
+        self.text, self.found = text, {}
+
+    def find(self, what: str, at: int) -> int:
+        """The place of a string, or the text's length."""
+        known = self.found.get(what, -1)
+        if known < at:
+            known = self.text.find(what, at)
+            self.found[what] = known = len(self.text) if known < 0 else known
+        return known
+
+    def search(self, pattern: re.Pattern, at: int) -> re.Match | None:
+        known = self.found.get(pattern)
+        if pattern not in self.found or (known is not None and known.start() < at):
+            self.found[pattern] = known = pattern.search(self.text, at)
+        return known
+
+
+class Marks(Ahead):
+    """What an inline span of a line needs to know about the line."""
+
+    @cached_property
+    def ticks(self) -> dict[int, list[int]]:
+        """Where the runs of backticks of each length begin."""
+        out: dict[int, list[int]] = {}
+        for m in re.finditer("`+", self.text):
+            out.setdefault(m.end() - m.start(), []).append(m.start())
+        return out
+
+    @cached_property
+    def closers(self) -> dict[int, int]:
+        """The parenthesis that closes each one."""
+        out, waiting = {}, []
+        for m in re.finditer("[()]", self.text):
+            if m[0] == "(":
+                waiting.append(m.start())
+            elif waiting:
+                out[waiting.pop()] = m.end()
+        return out
+
+    def code(self, at: int) -> int:
+        """Where the code ends that a run of backticks opens: past the next run of just that length; 0 without one."""
+        n = TICKS.match(self.text, at).end() - at
+        starts = self.ticks.get(n, [])
+        i = bisect_right(starts, at + n)
+        return starts[i] + n if i < len(starts) else 0
+
+    def angle(self, at: int) -> tuple[str, int]:
+        """What <...> is, a link target, a tag, or '' for neither, and where it ends."""
+        begin, end = at + 1, self.find(">", at)
+        if end == len(self.text):
+            return "", end
+        space = self.search(SPACE, begin)
+        if end > begin and (space is None or space.start() >= end):
+            mail, colon = self.find("@", begin), self.find(":", begin)
+            scheme = self.text[begin:colon] if begin + 2 <= colon <= min(begin + 32, end - 1) else ""
+            if begin < mail < end - 1 or (scheme and scheme[0].isalpha() and all(c.isalpha() or c.isdecimal() or c in "+.-" for c in scheme[1:])):
+                return "link_destination", end + 1
+        name = SPACES.match(self.text, begin).end()
+        name += self.text.startswith("/", name)
+        return ("inline_html" if name < end and self.text[name].isalpha() else ""), end + 1
+
+
+TICKS, SPACE, SPACES, OPENER = re.compile("`+"), re.compile(r"\s"), re.compile(r"\s*"), re.compile(r"`|<|(?<=\])\(")
 
 
 def inline_spans(line: str) -> Iterator[tuple[str, int, int]]:
-    """The spans of a line that aren't prose, in order: kind, start, end."""
-    at = 0
-    while m := INLINE.search(line, at):
-        start, end, kind = m.start(), m.end(), m.lastgroup
-        if m["code"]:
-            kind = "inline_code"
-        elif m["angle"]:
-            kind = inline_kind(m["inner"])
+    """The spans of a line that aren't prose, in order: kind, start, end. Time is in proportion to the line's length."""
+    at, marks = 0, Marks(line)
+    while m := OPENER.search(line, at):
+        start = m.start()
+        if m[0] == "`":
+            end = marks.code(start)
+            kind = "inline_code" if end else ""
+        elif m[0] == "<":
+            kind, end = marks.angle(start)
         else:
-            depth, kind = 1, "link_destination"
-            while end < len(line) and depth:
-                depth += {"(": 1, ")": -1}.get(line[end], 0)
-                end += 1
-            if depth:
-                kind = ""
+            end = marks.closers.get(start, 0)
+            kind = "link_destination" if end else ""
         if kind:
             yield kind, start, end
-            at = end
-        else:
-            at = start + 1
+        at = end if kind else start + 1
 
 
-def html_block_end(text: str, start: int, line_end: int, line: str) -> int:
+@cache
+def closing_mark(mark: str) -> re.Pattern:
+    return re.compile(re.escape(mark), re.I | re.A)
+
+
+def html_block_end(ahead: Ahead, start: int, line_end: int, line: str) -> int:
     """Where an HTML block that begins with line ends: at its closing mark, at its line, at a blank line, or at the end."""
-    head = line.strip().lower()
+    text, head = ahead.text, line.strip().lower()
     for opening, closing in (("<!--", "-->"), ("<?", "?>"), ("<![cdata[", "]]>"), ("<script", "</script>"), ("<style", "</style>"), ("<pre", "</pre>")):
         if head.startswith(opening):
-            m = re.compile(re.escape(closing), re.I | re.A).search(text, start)
+            m = ahead.search(closing_mark(closing), start)
             return m.end() if m else len(text)
     # The first listed name that begins the tag's name decides, so <header> looks for </head>.
     if name := next((n for n in BLOCK_TAGS if head.startswith("<" + n)), None):
-        if m := re.compile(re.escape(f"</{name}>"), re.I | re.A).search(text, start):
+        if m := ahead.search(closing_mark(f"</{name}>"), start):
             return m.end()
         if "/>" in head:
             return line_end
@@ -126,7 +187,7 @@ def html_block_end(text: str, start: int, line_end: int, line: str) -> int:
 def segments_of(text: str) -> list[tuple[str, int, int]]:
     """(type, start, end) of a Markdown text's segments, in code points."""
     out: list[tuple[str, int, int]] = []
-    at = 0
+    at, ahead = 0, Ahead(text)
     while at <= len(text) and text:
         end = text.find("\n", at)
         end = len(text) if end < 0 else end
@@ -143,7 +204,7 @@ def segments_of(text: str) -> list[tuple[str, int, int]]:
             if at == len(text):
                 break
         elif HTML_OPEN.match(stripped):
-            close = html_block_end(text, at, end, line)
+            close = html_block_end(ahead, at, end, line)
             out.append(("html_block", at, close))
             if close == at:  # a block that ends where it begins can't go on
                 close = end + 1
@@ -273,7 +334,8 @@ def _abbreviated(text: str, at: int) -> bool:
         begin -= 1
     token = text[begin : at + 1].lower()
     if token == "etc.":
-        return not text[at + 1 :].lstrip()[:1].isupper()
+        after = SPACES.match(text, at + 1).end()
+        return not text[after : after + 1].isupper()
     return token in ABBREVIATIONS or (len(token) == 2 and token.isascii() and token[0].isalpha())
 
 
@@ -306,23 +368,37 @@ def ready(spark: SparkSession) -> None:
         env["PYTHONPATH"] = ":".join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
 
 
-def _parsed(docs: DataFrame, read: Callable[[str, str], list[tuple]], schema: str) -> DataFrame:
-    """A row for each that read(content, format) gives, after doc_id, source and kind."""
+#: Rows of an Arrow batch that a parser gives, and the types of its fields.
+BATCH_ROWS, _ARROW = 20_000, {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
+
+
+def _parsed(docs: DataFrame, read: Callable[[str, str], Iterable[tuple]], schema: str) -> DataFrame:
+    """A row for each that read(content, format) gives, after doc_id, source and kind. However many a document gives, they leave in
+    batches of bounded size."""
     ready(docs.sparkSession)
-    names = [c.split()[0] for c in schema.split(", ")]
+    schema = f"doc_id long, source string, kind string, {schema}"
+    fields = [c.split() for c in schema.split(", ")]
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows) if rows else [()] * len(fields)
+        return pa.RecordBatch.from_arrays([pa.array(c, _ARROW[t]) for c, (_, t) in zip(columns, fields)], names=[n for n, _ in fields])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = []
         for batch in batches:
-            out = [(d, s, k, *row) for d, s, k, f, c in zip(batch["doc_id"], batch["source"], batch["kind"], batch["format"], batch["content"]) for row in read(c, f)]
-            yield pd.DataFrame(out, columns=["doc_id", "source", "kind", *names])
+            for doc_id, source, kind, fmt, content in zip(*(c.to_pylist() for c in batch.columns)):
+                for row in read(content, fmt):
+                    out.append((doc_id, source, kind, *row))
+                    if len(out) >= BATCH_ROWS:
+                        yield made(out)
+                        out = []
+        yield made(out)
 
-    return docs.select("doc_id", "source", "kind", "format", "content").mapInPandas(run, f"doc_id long, source string, kind string, {schema}")
+    return docs.select("doc_id", "source", "kind", "format", "content").mapInArrow(run, schema)
 
 
 #: A text that matches has, or may have, segments other than lines of prose.
 STRUCTURED = r"[`<]|\]\(|\A\s*(?:---|\+\+\+)"
-#: Lines from which a text is parsed in any case: adding up arrays of so many lines costs more than leaving the JVM.
-MANY_LINES = 2000
 SEGMENT = f"seg_no int, type string, {SPAN}, text string"
 
 
@@ -339,18 +415,13 @@ def segments(docs: DataFrame) -> DataFrame:
     Texts without backticks, <, ]( or front matter are lines of prose alone and never leave the JVM.
     """
     docs = docs.filter("format <> 'html'")
-    parsed = F.col("content").rlike(STRUCTURED) | (F.length("content") - F.length(F.replace("content", F.lit("\n"), F.lit(""))) >= MANY_LINES)
+    parsed = F.col("content").rlike(STRUCTURED)
     plain, rest = docs.filter(~parsed), docs.filter(parsed)
-    kind = "array<struct<line:int,byte:int,seg:int,text:string>>"
-
-    def add(acc: Column, line: Column) -> Column:
-        some = F.length(line) > 0
-        one = F.struct((acc["line"] + 1).alias("line"), acc["byte"].alias("byte"), acc["seg"].alias("seg"), line.alias("text"))
-        return F.struct(F.when(some, F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"), (acc["line"] + 1).alias("line"), (acc["byte"] + F.octet_length(line) + 1).alias("byte"), (acc["seg"] + some.cast("int")).alias("seg"))
-
-    start = F.struct(F.array().cast(kind).alias("out"), F.lit(0).alias("line"), F.lit(0).alias("byte"), F.lit(0).alias("seg"))
-    lines = F.aggregate(F.split("content", "\n", -1), start, add, lambda acc: acc["out"])
-    native = plain.select("doc_id", "source", "kind", F.inline(lines)).select(
+    lines = T.bound_sql("split(content, '\\n', -1)", "ls", "transform(ls, t -> named_struct('text', t, 'byte', octet_length(t) + 1, 'seg', int(length(t) > 0)))")
+    both = T.bound_sql(lines, "every", f"named_struct('every', every, 'ends', {T.running('every', 'byte', 'seg')})")
+    one = "named_struct('line', i + 1, 'byte', get(b.ends, i).byte - x.byte, 'seg', get(b.ends, i).seg - 1, 'text', x.text)"
+    placed = F.expr(T.bound_sql(both, "b", f"filter(transform(b.every, (x, i) -> {one}), y -> length(y.text) > 0)"))
+    native = plain.select("doc_id", "source", "kind", F.inline(placed)).select(
         "doc_id", "source", "kind", F.col("seg").alias("seg_no"), F.lit("prose").alias("type"), F.col("byte").alias("start_byte"), (F.col("byte") + F.octet_length("text")).alias("end_byte"),
         F.col("line").alias("start_line"), F.lit(1).alias("start_column"), F.col("line").alias("end_line"), (F.length("text") + 1).alias("end_column"), "text",
     )
@@ -387,8 +458,9 @@ def blocks(docs: DataFrame) -> DataFrame:
 def _read_sentences(text: str, fmt: str) -> list[tuple]:
     at, out = Positions(text), []
     for i, b in enumerate(_blocks(text, fmt)):
+        block = (i, b.marker, *at.span(b.start, b.end))
         for j, (s, e) in enumerate(sentences_of(b.text)):
-            out.append((i, b.marker, *at.span(b.start, b.end), j, *at.span(b.source(s), b.source(e)), b.text[s:e]))
+            out.append((*block, j, *at.span(b.source(s), b.source(e)), b.text[s:e]))
     return out
 
 
@@ -414,6 +486,27 @@ def projection(docs: DataFrame) -> DataFrame:
     return _parsed(docs, _read_projection, "run_no int, start_byte int, end_byte int, source_start int, source_end int, protected boolean, atomic boolean, text string")
 
 
+def source_spans(ranges: DataFrame, runs: DataFrame) -> DataFrame:
+    """ranges (doc_id, start_byte, end_byte, ...) of visible text with source_start and source_end, a row for each run of projection
+    that they touch: plain text is cut to the range, entities and separators stand whole. A range that touches none has a row
+    with nulls."""
+    r = runs.select(F.col("doc_id").alias("r_doc"), F.col("run_no").alias("run_no"), F.col("start_byte").alias("r_start"), F.col("end_byte").alias("r_end"), F.col("source_start").alias("s_start"), F.col("source_end").alias("s_end"), F.col("atomic").alias("r_atomic"))
+    hit = ranges.join(r, (F.col("doc_id") == F.col("r_doc")) & (F.col("r_start") < F.col("end_byte")) & (F.col("r_end") > F.col("start_byte")) & (F.col("start_byte") < F.col("end_byte")), "left")
+    literal = ~F.col("r_atomic") & (F.col("s_end") - F.col("s_start") == F.col("r_end") - F.col("r_start"))
+    begin, end = F.greatest("start_byte", "r_start"), F.least("end_byte", "r_end")
+    start = F.when(literal, F.col("s_start") + begin - F.col("r_start")).otherwise(F.col("s_start"))
+    stop = F.when(literal, F.col("s_start") + end - F.col("r_start")).otherwise(F.col("s_end"))
+    return hit.select(*ranges.columns, "run_no", start.alias("source_start"), stop.alias("source_end"))
+
+
+def with_protected(ranges: DataFrame, runs: DataFrame) -> DataFrame:
+    """ranges (doc_id, start_byte, end_byte, ...) of visible text with protected: whether they touch a run that must not be changed."""
+    r = runs.filter("protected").select(F.col("doc_id").alias("r_doc"), F.col("start_byte").alias("r_start"), F.col("end_byte").alias("r_end"))
+    own = ranges.withColumn("__row", F.monotonically_increasing_id())
+    hit = own.join(r, (F.col("doc_id") == F.col("r_doc")) & (F.col("r_start") < F.col("end_byte")) & (F.col("r_end") > F.col("start_byte")), "left")
+    return hit.groupBy("__row", *[F.col(f"`{c}`") for c in ranges.columns]).agg(F.max(F.col("r_doc").isNotNull()).alias("protected")).drop("__row")
+
+
 def visible_text(docs: DataFrame) -> DataFrame:
     """(doc_id, text): what rules read of a document: an HTML document's visible text, any other's content."""
     return _parsed(docs, lambda text, fmt: [(project(text).text if fmt == "html" else text,)], "text string").select("doc_id", "text")

@@ -25,8 +25,18 @@ def chosen(profile: Profile, with_comparison: bool = False) -> list[str]:
     return ids + ["CORE.CORPUS_NOVELTY"] if with_comparison and "CORE.CORPUS_NOVELTY" not in ids else ids
 
 
+_KEPT: list[DataFrame] = []
+
+
+def release() -> None:
+    """Lets go of the parsed tables that lint has kept so far."""
+    while _KEPT:
+        _KEPT.pop().unpersist()
+
+
 def lint(docs: DataFrame, profile: Profile, base: DataFrame | None = None, revision: str = "", only: list[str] | None = None, keep: bool = True) -> DataFrame:
-    """The findings of the enabled rules. With keep the parsed tables are persisted on disk where several rules read them."""
+    """The findings of the enabled rules. With keep the parsed tables that several of them read are persisted on disk until release;
+    one that is lost with its executor is parsed again."""
     ids = only if only is not None else chosen(profile, base is not None)
     comparison_tables = compared(docs, base, revision) if base is not None and "CORE.CORPUS_NOVELTY" in ids else None
     ctx = Context(docs, profile, comparison_tables)
@@ -34,6 +44,7 @@ def lint(docs: DataFrame, profile: Profile, base: DataFrame | None = None, revis
         from pyspark import StorageLevel
 
         ctx.tables = {n: getattr(structure, n)(docs).persist(StorageLevel.DISK_ONLY) for n in ("prose", "blocks", "sentences")}
+        _KEPT.extend(ctx.tables.values())
     found = [RULES[i](ctx) for i in ids]
     return reduce(DataFrame.unionByName, found) if found else rules.RULES["CORE.EXCLAMATION"](ctx).limit(0)
 
