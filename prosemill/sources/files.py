@@ -1,11 +1,13 @@
 """Files as documents, references with secret screening, and snapshots.
 
-Files are read by Spark's binaryFile source, so any file system works and nothing is listed on the driver but by Spark.
+Files are listed by Hadoop and read by Spark's binaryFile source, so any file system works. That source passes over names
+that begin with a dot or an underscore; those are listed too, judged by name, and what may be read of them is read by tasks.
 What is refused is a row with its reason, not an exception, unless the caller asks for strictness.
 """
 
 from __future__ import annotations
 
+import re
 import subprocess
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,8 +34,63 @@ def base_name(path: Column) -> Column:
 
 
 def hidden(path: Column) -> Column:
-    """Paths under a folder whose name begins with a dot."""
-    return path.rlike(r"/\.[^/]+/")
+    """Paths, from the root on, under a folder whose name begins with a dot."""
+    return path.rlike(r"(?:^|/)\.[^/]+/")
+
+
+#: A name, or one of a folder below the root, that Spark's file sources pass over.
+PASSED_OVER = r"(?:^|/)(?:\.|_(?![^/]*=))|\._COPYING_(?:/|$)"
+
+
+FILE = "path string, relative string, size long, symlink boolean"
+
+
+def listed(spark: SparkSession, path: str) -> list[tuple[str, str, int, bool]]:
+    """FILE rows of all files at or below a path, hidden ones too, in order of path; relative is the path from the root on.
+    Names and sizes come to the driver, as they do when Spark lists files. Links aren't followed; a root that is one is an
+    error."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    root = fs.makeQualified(hadoop.Path(path))
+    java = spark._jvm.java
+    linked = lambda at: fs.getScheme() == "file" and java.nio.file.Files.isSymbolicLink(java.io.File(at.toUri().getPath()).toPath())
+    if linked(root):
+        raise ProfileError(f"{path} is a symbolic link")
+    top, out = root.toString().rstrip("/"), []
+    single, waiting = fs.getFileStatus(root).isFile(), [root]
+    while waiting:
+        for status in fs.listStatus(waiting.pop()):
+            at = status.getPath()
+            link = linked(at)
+            if status.isDirectory() and not link:
+                waiting.append(at)
+            else:
+                name = at.toString()
+                out.append((name, at.getName() if single else name[len(top) + 1 :], status.getLen(), link))
+    return sorted(out)
+
+
+def contents(spark: SparkSession, path: str) -> DataFrame:
+    """FILE and content binary of all files at or below a path. What Spark's source passes over is read by tasks, a file at a
+    time. Links, and files that their name or size has refused in any case, aren't read; their content is null."""
+    found = listed(spark, path)
+    rows = spark.createDataFrame(found, FILE)
+    passed, wanted = F.col("relative").rlike(PASSED_OVER), ~secret_name(F.col("path")) & ~F.col("symlink") & (F.col("size") <= FILE_BYTES)
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("b_path"), "content") if found else spark.createDataFrame([], "b_path string, content binary")
+    usual = rows.filter(~passed).join(raw, (F.col("path") == F.col("b_path")) & wanted, "left").drop("b_path")
+
+    def read(batches):
+        from pyarrow import fs
+
+        for batch in batches:
+            for i, row in batch.iterrows():
+                # Hadoop writes file:/x where others write file:///x.
+                system, at = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", row["path"]))
+                with system.open_input_stream(at) as stream:
+                    yield batch.loc[[i]].assign(content=[stream.read()])
+
+    rest = rows.filter(passed & wanted).mapInPandas(read, FILE + ", content binary")
+    return usual.unionByName(rest).unionByName(rows.filter(passed & ~wanted).withColumn("content", F.lit(None).cast("binary")))
 
 
 def secret_name(path: Column) -> Column:
@@ -52,29 +109,40 @@ def admitted(files: DataFrame, allowed: list[str] | None, limit: int = FILE_BYTE
     """files (path, content binary) with status (ok or refused) and reason. allowed: extensions, or None for any; secrets: also
     refuse names and contents that look like secrets and contents with NUL."""
     c = F.col("content")
-    reason = F.lit(None).cast("string")
+    size = F.coalesce(F.octet_length(c), F.col("size") if "size" in files.columns else F.lit(None))
+    reason = F.when(c.isNull(), "can't be read")
     # The last test that is written here is the first that counts.
     if secrets:
         reason = F.when(secret_content(F.try_validate_utf8(c.cast("string"))), "content looks like a secret").otherwise(reason)
     reason = F.when(~F.is_valid_utf8(c.cast("string")), "not UTF-8").otherwise(reason)
     if secrets:
         reason = F.when(F.contains(c.cast("string"), F.lit("\0")), "binary").otherwise(reason)
-    reason = F.when(F.octet_length(c) > limit, f"over {limit} bytes").otherwise(reason)
+    reason = F.when(size > limit, f"over {limit} bytes").otherwise(reason)
     if allowed is not None:
         reason = F.when(~extension(F.col("path")).isin(allowed), "extension isn't allowed").otherwise(reason)
     if secrets:
         reason = F.when(secret_name(F.col("path")), "name looks like a secret").otherwise(reason)
+    if "symlink" in files.columns:
+        reason = F.when(F.col("symlink"), "is a symbolic link").otherwise(reason)
     return files.withColumn("reason", reason).withColumn("status", F.when(F.col("reason").isNull(), "ok").otherwise("refused"))
 
 
 def scan(spark: SparkSession, path: str, kind: str = "description", allowed: list[str] | None = PROSE) -> tuple[DataFrame, DataFrame]:
-    """The documents of a file or folder, and (path, reason) of what is refused. Hidden folders are passed over."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content").filter(~hidden(F.substring("path", len(path) + 1, 1 << 30)))
+    """The documents of a file or folder, and (path, reason) of what is refused. Hidden folders and links are passed over."""
+    files = contents(spark, path).filter(~hidden(F.col("relative")) & ~F.col("symlink"))
     rows = admitted(files, allowed)
     good = rows.filter("status = 'ok'").select(F.xxhash64("path").alias("doc_id"), "path", F.col("content").cast("string").alias("text"))
     return structure.as_documents(good, "doc_id", "text", "path", kind), rows.filter("status <> 'ok'").select("path", "reason")
 
 
+def reference_files(spark: SparkSession, path: str) -> DataFrame:
+    """contents and explicit: a file that is named itself is explicit; below a folder, hidden folders are passed over."""
+    files = contents(spark, path)
+    single = spark._jvm.org.apache.hadoop.fs.Path(path)
+    single = single.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(single).isFile()
+    return files.filter(~hidden(F.col("relative"))).withColumn("explicit", F.lit(single))
+
+
 def from_texts(spark: SparkSession, texts: list[tuple[str, str]], kind: str = "description", fmt: str | None = None) -> DataFrame:
     """Documents of (source, text) pairs; fmt text forces plain text."""
     rows = spark.createDataFrame([(i, s, t) for i, (s, t) in enumerate(texts)], "i long, source string, text string")
@@ -88,11 +156,22 @@ def checked_total(files: DataFrame, limit: int = 25 * 1024 * 1024) -> None:
         raise ProfileError(f"{total} bytes are over the limit of {limit}")
 
 
+def canonical(path: Column) -> Column:
+    """A path without . parts, and without .. parts and what each of them undoes."""
+    head = F.regexp_extract(path, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?)?/*", 0)
+
+    def add(acc: Column, part: Column) -> Column:
+        up = (part == "..") & (F.coalesce(F.get(acc, F.size(acc) - 1), F.lit("..")) != "..")
+        return F.when(part.isin("", "."), acc).when(up, F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).when((part == "..") & head.endswith("/"), acc).otherwise(F.concat(acc, F.array(part)))
+
+    parts = F.split(F.substring(path, F.length(head) + 1, F.length(path)), "/")
+    return F.concat(head, F.array_join(F.aggregate(parts, F.array().cast("array<string>"), add), "/"))
+
+
 def references(files: DataFrame, sources: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """files (path, content binary, explicit boolean) to entries (path, content, input_bytes, included_bytes), each canonical path
     once, without those of sources (path), and refusals (path, reason, level): of named files an error, of others a warning."""
-    canon = F.regexp_replace(F.regexp_replace("path", r"/(?:\./)+", "/"), r"/[^/]+/\.\./", "/")
-    rows = admitted(files.withColumn("path", canon), None, secrets=True)
+    rows = admitted(files.withColumn("path", canonical(F.col("path"))), None, secrets=True)
     named = ~extension(F.col("path")).isin(REFERENCES) & ~F.col("explicit") & (F.col("status") == "ok")
     rows = rows.withColumn("reason", F.when(named, "extension isn't allowed").otherwise(F.col("reason"))).withColumn("status", F.when(named, "refused").otherwise(F.col("status")))
     if sources is not None:

@@ -3,6 +3,8 @@ import shutil
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from prosemill.operators import comments, reports, revision
 from prosemill.plans import profile
 from prosemill.sources import files
@@ -109,12 +111,36 @@ def test_client_is_injected(spark):
 def test_references(spark, tmp_path):
     for name, body in {"a.md": b"hi", ".env.local": b"x", "k.md": b"-----BEGIN X", "bin.txt": b"a\0b", "bad.txt": b"\xff", "x.zig": b"x", "p.html": b"<p>a&amp;b</p>"}.items():
         (tmp_path / name).write_bytes(body)
-    raw = spark.read.format("binaryFile").load(str(tmp_path)).selectExpr("path", "content", "path like '%bad.txt' as explicit")
+    raw = files.reference_files(spark, str(tmp_path)).withColumn("explicit", F.col("path").endswith("bad.txt"))
     entries, refused = files.references(raw)
     assert {(r.path.rpartition("/")[2], r.content) for r in entries.collect()} == {("a.md", "hi"), ("p.html", "a&b\n")}
     assert {(r.path.rpartition("/")[2], r.level) for r in refused.collect()} == {(".env.local", "warning"), ("k.md", "warning"), ("bin.txt", "warning"), ("bad.txt", "error"), ("x.zig", "warning")}
 
 
+def test_reference_folders(spark, tmp_path):
+    root = tmp_path / ".d"
+    (root / ".git").mkdir(parents=True)
+    (root / "_notes").mkdir()
+    for name, body in {".npmrc": "token", ".lint.json": "{}", ".git/a.md": "x", "_notes/b.md": "y", "c.md": "z"}.items():
+        (root / name).write_text(body)
+    (root / "link.md").symlink_to(root / "c.md")
+    entries, refused = files.references(files.reference_files(spark, str(root)))
+    assert {(r.path.rpartition("/")[2], r.content) for r in entries.collect()} == {(".lint.json", "{}"), ("b.md", "y"), ("c.md", "z")}
+    assert {(r.path.rpartition("/")[2], r.reason) for r in refused.collect()} == {(".npmrc", "name looks like a secret"), ("link.md", "is a symbolic link")}
+    docs, _ = files.scan(spark, str(root))
+    assert sorted(r.source.rpartition("/")[2] for r in docs.collect()) == ["b.md", "c.md"]
+    one, _ = files.references(files.reference_files(spark, str(root / "c.md")))
+    assert one.count() == 1 and files.scan(spark, str(tmp_path / ".d" / "_notes"))[0].count() == 1
+    with pytest.raises(profile.ProfileError):
+        files.scan(spark, str(root / "link.md"))
+
+
+def test_canonical_paths(spark):
+    given = ["/a/./b/../../c", "file:/a/../../b", "s3://x/a//b/./c/..", "a/../../b", "/", "x"]
+    rows = spark.createDataFrame([(p,) for p in given], "p string").select(files.canonical(F.col("p")).alias("c")).collect()
+    assert [r.c for r in rows] == ["/c", "file:/b", "s3://x/a/b", "../b", "/", "x"]
+
+
 def test_scan(spark, tmp_path):
     (tmp_path / ".git").mkdir()
     for name in ("a.md", "b.html", "c.bin", ".git/d.md"):
