@@ -24,6 +24,13 @@ PROTECTED = (
     r"|(?:\.\.?/|/)[A-Za-z0-9._~!$&()*+,;=:@%/-]+|--[A-Za-z0-9][A-Za-z0-9_-]*|\bv?\d+(?:\.\d+)*(?:[-+][A-Za-z0-9.-]+)?\b|\b[A-Za-z][A-Za-z0-9]*_[A-Za-z0-9_]+\b"
     r"|\b[A-Za-z0-9]*[a-z][A-Za-z0-9]*[A-Z][A-Za-z0-9]*\b|\b[A-Z]{2,}[A-Za-z0-9]*\b"
 )
+#: Parts of these patterns that take time by the square of a long run of their characters, and the same for Java without that:
+#: an address begins where its run does or where another one ends (whose domain has at most 255 characters, as names have),
+#: a version's parts end before a letter, and the first small letter and then the first capital are found without going back.
+_LINEAR = [
+    (r"[A-Za-z0-9._%+-]+@", r"(?:(?<![A-Za-z0-9._%+-])|\G(?<=@[A-Za-z0-9.-]{1,255}\.[A-Za-z]{2,63}))[A-Za-z0-9._%+-]++@"), (r"\bv?\d+(?:\.\d+)*(?:[-+]", r"\bv?\d++(?:\.\d++(?![A-Za-z_]))*+(?:[-+]"),
+    (r"\b[A-Za-z0-9]*[a-z][A-Za-z0-9]*[A-Z][A-Za-z0-9]*\b", r"\b[A-Z0-9]*+[a-z][a-z0-9]*+[A-Z][A-Za-z0-9]*+\b"),
+]
 INJECTED = r"https?://[^\s<>\"']+|[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}|\b(?:\d{1,3}\.){3}\d{1,3}\b"
 TRAILING = ".,;:!?)]}"
 MOST_ITEMS, MOST_BYTES, MOST_COMMENT_FINDINGS, LEAST_CONFIDENCE = 20, 10_000, 5, 0.8
@@ -37,8 +44,15 @@ STANDS_FOR = {"CORE." + k: "CORE." + v for k, v in (
 CLAIMS = ("certif", "compliance", "guarantee")
 
 
+def linear(pattern: str) -> str:
+    """The same pattern for Java, which backtracks."""
+    for plain, other in _LINEAR:
+        pattern = pattern.replace(plain, other)
+    return pattern
+
+
 def _found(text: Column, pattern: str) -> Column:
-    return F.regexp_extract_all(text, F.lit(ascii_boundary(pattern)), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(ascii_boundary(linear(pattern))), F.lit(0))
 
 
 def protected_tokens(text: Column, terms: list[str] = ()) -> Column:
@@ -154,7 +168,7 @@ def validated(responses: DataFrame) -> DataFrame:
     the error that rejects the response. Rewrites that lose protected tokens and items that can't be placed are dropped and
     counted in discarded."""
     ready(responses.sparkSession)
-    pattern = re.compile(PROTECTED)
+    pattern = re.compile(PROTECTED, re.A)  # on parts of a response, which is bounded
 
     def keeps(source: str, replacement: str | None) -> bool:
         return replacement is None or all(t in replacement for m in pattern.finditer(source) if (t := m[0].rstrip(TRAILING)))
