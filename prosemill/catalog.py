@@ -429,3 +429,102 @@ register("planned_requests", lambda s, d: prompts.planned(documents(s, d), profi
 register("dictionary_guidance", lambda s, d: notes(s, d).select("doc_id", F.explode(prompts.dictionary_guidance(F.col("content"), profile.resolve())).alias("line")),
          " union all ".join(f"select o_orderkey as doc_id, '{_sql(line)}' as line from orders" for line in (
              "Avoid 'utilize'; use use. Write 'use'.", "Avoid 'in order to'; use to. Write 'to'.", "Keep 'to' (preposition).", "Avoid 'data base'; use database. Write it as one word.", "Keep 'JavaScript' (proper noun).", "Keep 'the' (article).")))
+
+# --- texts of typed pieces: what each piece is, is known from how the text is put together ---------------------------
+
+_NL = (None, "chr(10)")
+#: (segment type or null, SQL) of a Markdown text on an order, {k} being its key: every kind of segment.
+MARKDOWN = [
+    ("front_matter", "concat('---', chr(10), 'id: ', {k}, chr(10), '---', chr(10))"), ("prose", "concat('# Order ', {k})"), _NL, _NL, ("prose", "'Use '"), ("inline_code", "concat('`a', {k}, '`')"), ("prose", "' or '"),
+    ("inline_code", "'``b ` c``'"), ("prose", "', ``` and [link]'"), ("link_destination", "'(http://x.y/(z))'"), ("prose", "' '"), ("inline_html", "'<b>'"), ("prose", "'now'"), ("inline_html", "'</b>'"), ("prose", "'. 1 < 2 é'"), _NL,
+    ("code_block", "concat('```sql', chr(10), 'select <b>', {k}, '`', chr(10), '```')"), _NL, ("html_block", "concat('<div class=x>', chr(10), 'in ', {k}, chr(10), '</div>')"), _NL, ("html_block", "concat('<!-- ', {k}, ' `x` -->')"), _NL,
+    ("prose", "'End '"), ("link_destination", "'<http://a.b>'"), ("prose", "case when {k} % 2 = 0 then '!' else ' 世]( open' end"),
+]
+_Q, _QQ = "chr(39)", "chr(34)"
+#: (comment form or null, SQL) of a source file in each language; code stands between comments, so none are joined.
+SOURCES = {
+    "go": [("line", "concat('// order ', {k})"), (None, f"concat(chr(10), 'var s = ', {_QQ}, '// no', {_QQ}, ' + `/* no` + ', {{k}}, chr(10))"), ("block", "'/* a * / é */'"), (None, f"concat(' var r = ', {_Q}, chr(92), {_Q}, {_Q}, chr(10), chr(9), 'x ')"), ("line", "'// end'"), _NL],
+    "ts": [("block", "concat('/* ', {k}, chr(10), ' */')"), (None, f"concat(chr(10), 'const t = `// ${{{{a /', {{k}}, '}}}}`, u = /[/', {_QQ}, ']/; ')"), ("line", "'// c'"), (None, f"concat(chr(10), 'f(', {_Q}, '/* no', {_Q}, ')')")],
+    "rs": [("block", "concat('/* a /* ', {k}, ' */ b */')"), (None, f"concat(chr(10), 'let s = r#', {_QQ}, '// ', {_QQ}, 'no', {_QQ}, '#; let c: &', {_Q}, 'a str = x; ')"), ("line", "'/// doc'"), _NL],
+    "py": [(None, f"concat('x = ', {_QQ}, '# no', {_QQ}, chr(10), 'y = ', repeat({_Q}, 3), '# ', {{k}}, chr(10), repeat({_Q}, 3), ' ')"), ("line", "'# yes'"), (None, "concat(chr(10), 'z = 1', chr(10))"), ("line", "concat('# ', {k})"), _NL],
+    "sh": [(None, f"concat('#!/bin/sh', chr(10), 'echo ', {_QQ}, '# no', {_QQ}, ' ', {_Q}, '# no', {_Q}, ' a#b ')"), ("line", "concat('# yes ', {k})"), (None, "concat(chr(10), 'cat <<END', chr(10), '# no', chr(10), 'END', chr(10))"), ("line", "'# end'")],
+}
+
+
+def pieced(pieces: list[tuple[str | None, str]], key: str = "o_orderkey") -> str:
+    """The whole text of pieces, in SQL that both engines read."""
+    return "concat(" + ", ".join(e.format(k=key) for _, e in pieces) + ")"
+
+
+def pieces_sql(pieces: list[tuple[str | None, str]]) -> str:
+    """pieces(k, ord, type, text, byte, line, col): where each piece of each order's text begins."""
+    listed = " union all ".join(f"select o_orderkey as k, {n} as ord, {repr(t) if t else 'null'} as type, {e.format(k='o_orderkey')}::varchar as text from orders" for n, (t, e) in enumerate(pieces))
+    return f"""p0 as ({listed}), p1 as (select *, coalesce(string_agg(text, '') over (partition by k order by ord rows between unbounded preceding and 1 preceding), '') as before from p0),
+    pieces as (select *, strlen(before) as byte, len(string_split(before, chr(10))) as line, 1 + length(string_split(before, chr(10))[-1]) as col from p1)"""
+
+
+def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.as_documents(table(spark, sf_dir, "orders").select("o_orderkey", F.expr(pieced(MARKDOWN)).alias("t")), "o_orderkey", "t", fmt="markdown")
+
+
+_PLACED = "byte::bigint as start_byte, (byte + strlen(text))::bigint as end_byte, line::bigint as start_line, col::bigint as start_column, text from pieces where type is not null"
+_LONGS = ("start_byte", "end_byte", "start_line", "start_column")
+register("segments_markdown", lambda s, d: structure.segments(markdown(s, d)).select("doc_id", F.col("seg_no").cast("long").alias("seg_no"), "type", *[F.col(c).cast("long").alias(c) for c in _LONGS], "text"),
+         f"with {pieces_sql(MARKDOWN)} select k as doc_id, (row_number() over (partition by k order by ord) - 1)::bigint as seg_no, type, {_PLACED}")
+
+
+def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    return o.select("o_orderkey", F.explode(F.create_map(*[x for ext, p in SOURCES.items() for x in (F.lit(ext), F.expr(pieced(p)))])).alias("ext", "content")).select(F.concat(F.lit("f"), "o_orderkey", F.lit("."), "ext").alias("path"), "content")
+
+
+register("source_comments_languages", lambda s, d: source_comments.comments(_sources(s, d)).select("path", "language", "comment_id", "form", *[F.col(c).cast("long").alias(c) for c in _LONGS], "text"),
+         " union all ".join(f"select * from (with {pieces_sql(p)} select concat('f', k, '.{ext}') as path, '{source_comments.EXTENSIONS[ext]}' as language, concat('c', lpad((row_number() over (partition by k order by ord))::varchar, 4, '0')) as comment_id, type as form, {_PLACED})" for ext, p in SOURCES.items()))
+
+# --- runs of a reviser, as recorded answers ------------------------------------------------------------------------
+
+from prosemill.operators import evaluation, review  # noqa: E402
+
+_FILE = "concat('x = ', {k}, chr(10), '# old ', {k}, chr(10), 'y = 2', chr(10), '# other', chr(10))"
+
+
+def _answers_on_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A recorded answer on the comments of each order's file, of eight kinds by key: sound, unsure, of an unknown id, with code, with a
+    needless question, a question, broken, and two findings on one comment."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.expr(_FILE.format(k="o_orderkey")).alias("content"))
+    kind = F.col("k") % 8
+    item = F.struct(
+        F.when(kind == 2, "c0009").otherwise("c0001").alias("comment_id"), F.when(kind == 5, "clarification").otherwise("rewrite").alias("action"), F.array(F.lit("CORE.TIMELESS_PROSE")).alias("principle_ids"), F.lit("stale").alias("reason"),
+        F.when(kind == 3, F.concat(F.lit("# new\nz = "), F.col("k"))).when(kind != 5, F.concat(F.lit("# new "), F.col("k"))).alias("replacement"), F.when(kind.isin(4, 5), "why?").alias("question"), F.when(kind == 1, 0.5).otherwise(0.9).alias("confidence"),
+    )
+    raw = F.to_json(F.struct(F.when(kind == 7, F.array(item, item)).otherwise(F.array(item)).alias("findings")), {"ignoreNullFields": "false"})
+    return o.select(F.concat(F.lit("f"), F.col("k"), F.lit(".py")).alias("path"), "content", F.when(kind == 6, "[]").otherwise(raw).alias("raw"))
+
+
+register("comment_revisions", lambda s, d: review.validated_comments(_answers_on_comments(s, d)).select("path", "status", F.col("discarded").cast("long").alias("discarded"), F.col("unsafe").cast("long").alias("unsafe"), "comment_id", "kind", F.coalesce("start_byte", F.lit(-1)).cast("long").alias("start_byte"), "source_text", "replacement", "question"),
+         f"""with f as (select o_orderkey as k, o_orderkey % 8 as kind from orders), g as (select *, {_FILE.format(k='k')} as content, kind in (0, 5) as good from f)
+         select concat('f', k, '.py') as path, case when kind = 6 then 'failed' else 'ok' end as status, (case when kind in (1, 2, 3, 4) then 1 when kind = 7 then 2 else 0 end)::bigint as discarded, (kind = 3)::bigint as unsafe, case when good then 'c0001' end as comment_id,
+         case when kind = 0 then 'rewrite' when kind = 5 then 'clarification' end as kind, case when good then strpos(content, '# old') - 1 else -1 end::bigint as start_byte, case when good then concat('# old ', k) end as source_text,
+         case when kind = 0 then concat('# new ', k) end as replacement, case when kind = 5 then 'why?' end as question from g""")
+register("discarded_sums", lambda s, d: review.discards(review.validated_comments(_answers_on_comments(s, d))),
+         "select (count(*) filter (o_orderkey % 8 in (1, 2, 3, 4)) + 2 * count(*) filter (o_orderkey % 8 = 7))::bigint as discarded_findings, (count(*) filter (o_orderkey % 8 = 3))::bigint as discarded_rewrites from orders")
+
+
+def _run(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents and recorded answers on their chunks: each chunk of every seventh document failed, the second of a document was asked
+    for twice."""
+    docs = documents(spark, sf_dir)
+    found = structure.chunks(docs, 2048).withColumn("path", F.col("doc_id").cast("string")).withColumn("error", F.when(F.col("doc_id") % 7 == 0, "no answer")).withColumn("requests", F.when(F.col("chunk_no") == 1, 2).otherwise(1))
+    return docs.select(F.col("doc_id").cast("string").alias("path"), F.octet_length("content").alias("input_bytes"), F.octet_length("content").alias("analysis_bytes")), found
+
+
+register("source_analysis", lambda s, d: review.source_analysis(*_run(s, d)).select("path", "input_bytes", "analyzed_bytes", "complete", (F.col("requests") - F.col("chunks")).alias("repeats")),
+         "select doc_id::varchar as path, strlen(text)::bigint as input_bytes, case when doc_id % 7 = 0 then 0 else strlen(text) end::bigint as analyzed_bytes, doc_id % 7 <> 0 or strlen(text) = 0 as complete, (strlen(text) > 2048)::bigint as repeats from documents")
+register("run_status", lambda s, d: review.run_status(_run(s, d)[1]), "select case when count(*) filter (doc_id % 7 = 0) = 0 then 'ok' when count(*) filter (doc_id % 7 <> 0) = 0 then 'failed' else 'partial' end as status from documents where text <> ''")
+_PATH = "concat(case o_orderkey % 6 when 0 then 'src/' when 1 then 'vendor/' when 2 then 'gen/' when 3 then 'a/node_modules/' when 4 then 'generated/' else '' end, 'f', o_orderkey, case o_orderkey % 5 when 0 then '.go' when 1 then '.RS' when 2 then '.py' when 3 then '.md' else '.ts' end)"
+register("corpus_listing", lambda s, d: evaluation.corpus_files(table(s, d, "orders").select(F.expr(_PATH).alias("path")), ["gen"]).select("path", "language"),
+         f"select path, case lower(split_part(path, '.', 2)) when 'go' then 'go' when 'rs' then 'rust' when 'py' then 'py' else 'ts' end as language from (select {_PATH} as path from orders) where not (path like 'vendor/%' or path like 'gen/%' or path like '%/node_modules/%' or path like '%.md')")
+register("resolved_targets", lambda s, d: notes(s, d).select("doc_id", evaluation.resolved(F.col("content"), F.lit("it"), F.lit(3)).alias("at")).select("doc_id", F.col("at.start_byte").cast("long").alias("start_byte"), F.col("at.line").cast("long").alias("line")),
+         f"""with t as (select o_orderkey as doc_id, {NOTE} as text from orders), l as (select *, length(array_to_string(string_split(text, chr(10))[1:2], chr(10))) + 1 as near from t),
+         i as (select *, unnest(range(1, length(text))) as i from l), h as (select *, row_number() over (partition by doc_id order by abs(i - 1 - near), i) as k from i where substr(text, i, 2) = 'it')
+         select doc_id, strlen(left(text, i - 1))::bigint as start_byte, (1 + length(left(text, i - 1)) - length(replace(left(text, i - 1), chr(10), '')))::bigint as line from h where k = 1""")

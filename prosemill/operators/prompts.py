@@ -23,7 +23,7 @@ def word_present(text: Column, term: str) -> Column:
 
 
 def dictionary_guidance(text: Column, profile: Profile) -> Column:
-    """Lines on the dictionary's and the project's terms that stand in a text, at most MOST_TERMS."""
+    """Lines on the dictionary's terms that stand in a text, at most MOST_TERMS."""
     lines = []
     for e in profile.dictionary["entries"]:
         if e["status"] == "discouraged":
@@ -33,17 +33,35 @@ def dictionary_guidance(text: Column, profile: Profile) -> Column:
         else:
             continue
         lines.append(F.when(word_present(text, e["term"]), F.lit(line)))
-    lines += [F.when(word_present(text, t["term"]), F.lit(f"Project term '{t['term']}': {t.get('definition', '')}")) for t in profile.terms]
+    return _present(lines)
+
+
+def _present(lines: list[Column]) -> Column:
     found = F.filter(F.array(*lines), lambda x: x.isNotNull()) if lines else F.array().cast("array<string>")
     return F.slice(found, 1, MOST_TERMS)
 
 
+def glossary(text: Column, profile: Profile) -> Column:
+    """Lines on the project's own terms that stand in a text, in the project's order, at most MOST_TERMS."""
+    lines = []
+    for t in profile.terms:
+        line = t["term"] + (f" (override: {t['reason']})" if t.get("override") and t.get("reason") else "") + (f": {t['definition']}" if t.get("definition") else "")
+        lines.append(F.when(word_present(text, t["term"]), F.lit(line)))
+    return _present(lines)
+
+
 def system_text(kind: str) -> str:
     """What every request for a kind of text begins with."""
     told = reports.GUIDANCE[""] + reports.GUIDANCE[kind]
     return "\n".join([*told, "Name one or more of these principles for each proposal: " + ", ".join(PRINCIPLES), 'Answer with JSON: {"findings": [...]}'])
 
 
+def rewrite_text(kind: str) -> str:
+    """What a request for a whole rewrite begins with."""
+    told = [t for t in reports.GUIDANCE[""] if not t.startswith("Ask")] + reports.GUIDANCE[kind]
+    return "\n".join([*told, "Rewrite the text that follows so that it is shorter and more exact. Keep a part as it is where it doesn't say enough.", "Answer with the new text alone: no remarks, labels or fences."])
+
+
 def with_prompts(chunks: DataFrame, profile: Profile, kind: str = "description", findings: DataFrame | None = None) -> DataFrame:
     """chunks (doc_id, chunk_no, start_byte, end_byte, text) with prompt and tokens. findings (doc_id, start_byte, rule_id,
     evidence) that begin in a chunk are named in it, in order."""
@@ -56,7 +74,8 @@ def with_prompts(chunks: DataFrame, profile: Profile, kind: str = "description",
     else:
         out = out.withColumn("found", F.lit(None).cast("array<string>"))
     terms = F.array_join(dictionary_guidance(F.col("text"), profile), "\n")
-    prompt = F.concat_ws("\n\n", F.lit(system_text(kind)), F.when(terms != "", terms), F.when(F.size("found") > 0, F.concat(F.lit("Findings:\n"), F.array_join("found", "\n"))), F.concat(F.lit("Text:\n"), F.col("text")))
+    own = F.array_join(glossary(F.col("text"), profile), "\n")
+    prompt = F.concat_ws("\n\n", F.lit(system_text(kind)), F.when(terms != "", terms), F.when(own != "", F.concat(F.lit("Project terms:\n"), own)), F.when(F.size("found") > 0, F.concat(F.lit("Findings:\n"), F.array_join("found", "\n"))), F.concat(F.lit("Text:\n"), F.col("text")))
     return out.withColumn("prompt", prompt).withColumn("tokens", F.ceil(F.octet_length(F.to_json(F.struct("prompt"))) / BYTES).cast("long")).drop("found")
 
 

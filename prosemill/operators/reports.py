@@ -73,12 +73,13 @@ def scores(judged: DataFrame) -> DataFrame:
 
 
 #: The thresholds that a run is held against.
-TARGETS = [("invalid", "<=", 2), ("non_comment", "=", 0), ("recall", ">=", 0.6), ("precision", ">=", 0.6)]
+TARGETS = [("invalid", "<=", 2), ("non_comment", "=", 0), ("recall", ">=", 0.6), ("precision", ">=", 0.6), ("replacement_safety", ">=", 85), ("overall_quality", ">=", 70)]
 
 
 def missed_targets(scored: DataFrame) -> DataFrame:
-    """(run, missed array): the targets that a run of scores doesn't reach."""
-    return scored.select("run", F.filter(F.array(*[F.when(~F.expr(f"{k} {op} {v}"), k) for k, op, v in TARGETS]), lambda x: x.isNotNull()).alias("missed"))
+    """(run, missed array): the targets that a run of scores doesn't reach. replacement_safety and overall_quality, which a judge
+    gives from 0 to 100, are looked at where scored has them."""
+    return scored.select("run", F.filter(F.array(*[F.when(~F.expr(f"{k} {op} {v}"), k) for k, op, v in TARGETS if k in scored.columns]), lambda x: x.isNotNull()).alias("missed"))
 
 
 def drift(locked: DataFrame, current: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 import shutil
 import tomllib
@@ -218,3 +219,45 @@ def with_terms(profile: Profile, terms: list[dict]) -> Profile:
     if wrong := [t["term"] for t in terms if not t.get("override") and (profile.entry(t["term"]) or {}).get("status") == "discouraged"]:
         raise ProfileError(f"discouraged by the profile and not overridden: {', '.join(wrong)}")
     return Profile(profile.manifest, profile.rules, profile.dictionary, profile.sha256, profile.source, terms)
+
+
+# --- the user's configuration --------------------------------------------------------------------------------------
+
+#: What a user's configuration holds: a profile, and how the model is reached.
+USER_KEYS = {"profile": str, "base_url": str, "model": str, "code_model": str, "api_key": str, "api_key_env": str, "timeout": float, "response_mode": str, "max_requests": int, "context_tokens": int}
+
+
+def user_config_path() -> Path:
+    base = os.environ.get("XDG_CONFIG_HOME")
+    return (Path(base) if base else Path.home() / ".config") / "prosemill" / "config.toml"
+
+
+def user_config(path: str | Path | None = None) -> dict:
+    """The user's configuration, empty without a file; other keys are passed over, wrong kinds of values are faults."""
+    path = Path(path) if path else user_config_path()
+    if not path.is_file():
+        return {}
+    raw = tomllib.loads(path.read_text())
+    kinds = {float: (int, float), int: int, str: str}
+    if wrong := [k for k, t in USER_KEYS.items() if k in raw and (not isinstance(raw[k], kinds[t]) or isinstance(raw[k], bool))]:
+        raise ProfileError(f"{path}: {', '.join(wrong)}")
+    if raw.get("api_key") and raw.get("api_key_env"):
+        raise ProfileError(f"{path}: give api_key or api_key_env, not both")
+    return {k: raw[k] for k in USER_KEYS if k in raw}
+
+
+def write_user_config(values: dict, path: str | Path | None = None) -> Path:
+    """Writes a user's configuration whole or not at all, readable by the user alone."""
+    path = Path(path) if path else user_config_path()
+    if unknown := sorted(set(values) - set(USER_KEYS)):
+        raise ProfileError(f"unknown: {', '.join(unknown)}")
+    path.parent.mkdir(parents=True, exist_ok=True, mode=0o700)
+    part = path.with_name(f".{path.name}.{os.getpid()}")
+    try:
+        with open(os.open(part, os.O_WRONLY | os.O_CREAT | os.O_TRUNC, 0o600), "w") as f:
+            f.write("".join(f"{k} = {json.dumps(v)}\n" for k, v in values.items()))
+        user_config(part)  # what was written can be read
+        part.replace(path)
+    finally:
+        part.unlink(missing_ok=True)
+    return path
