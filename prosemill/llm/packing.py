@@ -15,7 +15,7 @@ import zlib
 from array import array
 from collections.abc import Callable, Iterator
 from functools import cache
-from itertools import groupby
+from itertools import groupby, islice
 
 import pandas as pd
 import pyarrow as pa
@@ -26,15 +26,19 @@ from pyspark.sql import functions as F
 from .common import workers
 
 #: Pieces that are packed together; more go to a next block, so a task holds no more than these.
-BLOCK = 32_768
+BLOCK = 8192
 #: A line break or a space between visible ASCII characters, letters or digits. Byte-level pre-tokenisation parts a text before
 #: and after such breaks, and before such spaces, whatever its tables of characters, so what lies between can be encoded by
 #: itself.
-BREAK, BEFORE_WORD = re.compile(r"(?<=[!-~\w])\n(?=[!-~\w])"), re.compile(r"(?<=[!-~\w]) (?=[!-~\w])")
+BREAK, BEFORE_WORD, EDGE = re.compile(r"(?<=[!-~\w])\n(?=[!-~\w])"), re.compile(r"(?<=[!-~\w]) (?=[!-~\w])"), re.compile(r"[!-~\w]")
 #: Words of letters alone, which are one pre-token; marks that are one beside them; words that are remembered, and their length.
 LETTERS, MARKS, WORDS, WORD_CHARS = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+"), ".,;:!?", 1 << 19, 32
 
 
+class OtherEdge(ValueError):
+    """A word doesn't begin and end as those between the spaces of BEFORE_WORD do."""
+
+
 class Words(dict):
     """The ids of words after a given string, each found by the tokenizer once while it is remembered."""
 
@@ -46,6 +50,11 @@ class Words(dict):
         self.marks = {m: encode(m) for m in MARKS}
 
     def __missing__(self, word: str) -> bytes:
+        if not word or not EDGE.match(word[0]) or not EDGE.match(word[-1]):
+            raise OtherEdge
+        return self.found(word)
+
+    def found(self, word: str) -> bytes:
         if LETTERS.fullmatch(word):
             ids = array("I", [t.id for t in self.model((self.after + word).encode().decode("latin-1").translate(self.shown))]).tobytes()
         elif word[-1:] in self.marks and LETTERS.fullmatch(word, 0, len(word) - 1):
@@ -84,8 +93,12 @@ def tokenizer(path: str) -> Callable[[str], bytes]:
     firsts, words, line_end = Words("", library, whole.model.tokenize), Words(" ", library, whole.model.tokenize), library("\n")
 
     def by_line(line: str) -> bytes:
-        first, *rest = BEFORE_WORD.split(line)
-        return firsts[first] + b"".join(map(words.__getitem__, rest))
+        try:
+            first, *rest = line.split(" ")
+            return firsts[first] + b"".join(map(words.__getitem__, rest))
+        except OtherEdge:  # some space isn't one to part at
+            first, *rest = BEFORE_WORD.split(line)
+            return library(first) + b"".join(words[w] if EDGE.match(w[-1]) else library(" " + w) for w in rest)
 
     def by_word(text: str) -> bytes:
         return line_end.join(map(by_line, BREAK.split(text)))
@@ -94,6 +107,9 @@ def tokenizer(path: str) -> Callable[[str], bytes]:
 
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+PLACED = [c.split()[0] for c in PIECE.split(", ")]
+#: Windows of an Arrow batch.
+BATCH = 1000
 
 
 def token_pieces(docs: DataFrame, path: str, window: int = 1024, end_id: int | None = 0, key: str = "doc_id", text: str = "text", ids: bool = True) -> DataFrame:
@@ -103,19 +119,24 @@ def token_pieces(docs: DataFrame, path: str, window: int = 1024, end_id: int | N
     workers(docs.sparkSession)
     end = b"" if end_id is None else end_id.to_bytes(4, "little")
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = tokenizer(path)
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for doc_id, body in zip(batch["doc_id"].astype("Int64"), batch["text"]):
-                made = encode(body or "") + end
-                n = len(made) // 4
-                for at in range(0, n, window):
-                    piece = made[4 * at : 4 * (at + window)]
-                    out.append((doc_id, at, len(piece) // 4, zlib.crc32(piece), n) + ((piece,) if ids else ()))
-            yield pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if ids else [])]).astype({"doc_id": "Int64"})
+            out = [(d, s, n, zlib.crc32(i), t, *((i,) if ids else ())) for d, s, n, t, i in tokenised(iter([batch]), tokenizer(path), window, end)]
+            arrays = [pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 6, [pa.int64()] * 5 + [pa.binary()] * ids)]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*PLACED, *(["ids"] if ids else [])])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(cut, PIECE + (", ids binary" if ids else ""))
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut, PIECE + (", ids binary" if ids else ""))
+
+
+def tokenised(batches: Iterator[pa.RecordBatch], encode: Callable[[str], bytes], window: int, end: bytes) -> Iterator[tuple]:
+    """(doc_id, start, length, doc_tokens, ids) of the pieces of batches of (doc_id, text)."""
+    for batch in batches:
+        for doc_id, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            made = encode(body or "") + end
+            n = len(made) // 4
+            for at in range(0, n, window):
+                piece = made[4 * at : 4 * (at + window)]
+                yield doc_id, at, len(piece) // 4, n, piece
 
 
 class Room:
@@ -170,11 +191,6 @@ def best_fit(lengths: list[int], window: int) -> list[tuple[int, int]]:
     return out
 
 
-PLACED = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-#: Windows of an Arrow batch.
-BATCH = 1000
-
-
 def pack(pieces: DataFrame, window: int = 1024, block: int = BLOCK) -> DataFrame:
     """pieces (doc_id, start, length up to window, ids_crc32, doc_tokens and, if there, ids) with sequence_id and offset.
 
@@ -208,50 +224,54 @@ def pack(pieces: DataFrame, window: int = 1024, block: int = BLOCK) -> DataFrame
     return pieces.select(*PLACED, *(["ids"] if ids else [])).mapInPandas(run, PIECE + (", ids binary" if ids else "") + ", sequence_id long, offset long")
 
 
-def sequences(pieces: DataFrame, window: int = 1024, block: int = BLOCK, pad_id: int = 0) -> DataFrame:
-    """pieces with ids to rows (sequence_id, ids, used, pieces): the ids of each window, little-endian unsigned 32-bit and
-    padded to its whole length, how many of them are no padding, and what lies where: an array of (doc_id, start, length,
-    doc_tokens, offset). Blocks are those of pack."""
-    workers(pieces.sparkSession)
-    names = [n for n in PLACED if n != "ids_crc32"]
-    pad = pad_id.to_bytes(4, "little")
-    parts = pa.list_(pa.struct([(n, pa.int64()) for n in [*names, "offset"]]))
+LAID = "sequence_id long, ids binary, used long, pieces array<struct<doc_id: long, start: long, length: long, doc_tokens: long, offset: long>>"
+_PARTS = pa.list_(pa.struct([(n, pa.int64()) for n in ("doc_id", "start", "length", "doc_tokens", "offset")]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, held, n = TaskContext.get().partitionId() << 40, [], 0
-        for batch in batches:
-            held.append(batch)
-            n += batch.num_rows
-            if n >= block:
-                whole = pa.Table.from_batches(held)
-                for at in range(0, n - n % block, block):
-                    first = yield from laid(whole.slice(at, block), first)
-                held, n = whole.slice(n - n % block).to_batches(), n % block
-        if n:
-            yield from laid(pa.Table.from_batches(held), first)
 
-    def laid(rows: pa.Table, first: int) -> Iterator[pa.RecordBatch]:
-        ids, rest = rows["ids"], list(zip(*(rows[c].to_pylist() for c in names)))
-        places = best_fit(rows["length"].to_pylist(), window)
-        out, number = [], -1
+def _laid(pieces: Iterator[tuple], window: int, block: int, pad: bytes) -> Iterator[pa.RecordBatch]:
+    """LAID rows of (doc_id, start, length, doc_tokens, ids), block pieces at a time."""
+    first = TaskContext.get().partitionId() << 40
+    while held := list(islice(pieces, block)):
+        places, out, number = best_fit([p[2] for p in held], window), [], -1
         for number, run in groupby(sorted(range(len(places)), key=places.__getitem__), lambda i: places[i][0]):
             here = list(run)
-            made = b"".join(ids[i].as_py() for i in here)
+            made = b"".join(held[i][4] for i in here)
             used = len(made) // 4
-            out.append((first + number, made + pad * (window - used), used, [dict(zip(names, rest[i]), offset=places[i][1]) for i in here]))
+            out.append((first + number, made + pad * (window - used), used, [dict(zip(("doc_id", "start", "length", "doc_tokens"), held[i]), offset=places[i][1]) for i in here]))
             if len(out) >= BATCH:
-                yield batch(out)
+                yield _batch(out)
                 out = []
         if out:
-            yield batch(out)
-        return first + number + 1
+            yield _batch(out)
+        first += number + 1
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    arrays = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.int64(), _PARTS))]
+    return pa.RecordBatch.from_arrays(arrays, names=["sequence_id", "ids", "used", "pieces"])
 
-    def batch(rows: list[tuple]) -> pa.RecordBatch:
-        arrays = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.int64(), parts))]
-        return pa.RecordBatch.from_arrays(arrays, names=["sequence_id", "ids", "used", "pieces"])
 
-    schema = "sequence_id long, ids binary, used long, pieces array<struct<" + ", ".join(f"{n}: long" for n in [*names, "offset"]) + ">>"
-    return pieces.select(*names, "ids").mapInArrow(run, schema)
+def sequences(pieces: DataFrame, window: int = 1024, block: int = BLOCK, pad_id: int = 0) -> DataFrame:
+    """pieces with ids to LAID rows: the ids of each window, little-endian unsigned 32-bit and padded to its whole length, how many
+    of them are no padding, and what lies where. Blocks are those of pack."""
+    workers(pieces.sparkSession)
+    pad = pad_id.to_bytes(4, "little")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _laid((row for b in batches for row in zip(*(c.to_pylist() for c in b.columns))), window, block, pad)
+
+    return pieces.select("doc_id", "start", "length", "doc_tokens", "ids").mapInArrow(run, LAID)
+
+
+def sequences_of(docs: DataFrame, path: str, window: int = 1024, end_id: int | None = 0, block: int = BLOCK, pad_id: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """sequences of token_pieces of docs, both made by one worker, so that ids don't go to and fro between them."""
+    workers(docs.sparkSession)
+    end, pad = b"" if end_id is None else end_id.to_bytes(4, "little"), pad_id.to_bytes(4, "little")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _laid(tokenised(batches, tokenizer(path), window, end), window, block, pad)
+
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, LAID)
 
 
 def digests(laid: DataFrame) -> DataFrame:

@@ -51,8 +51,8 @@ def op8_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_pack_windows(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     import public_tokenizers
 
-    pieces = packing.token_pieces(table(spark, sf_dir, "documents"), path or public_tokenizers.path("byte_bpe_50k.json"), window=1024, end_id=0)
-    return packing.digests(written(packing.sequences(pieces, window=1024), "sequences"))
+    laid = packing.sequences_of(table(spark, sf_dir, "documents"), path or public_tokenizers.path("byte_bpe_50k.json"), window=1024, end_id=0)
+    return packing.digests(written(laid, "sequences"))
 
 
 def op10_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:

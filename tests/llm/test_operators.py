@@ -611,6 +611,11 @@ def test_sequences_are_whole(spark, odd, none, path):
     assert Counter((r.doc_id, r.start, r.ids_crc32) for r in out.collect()) == Counter((i, at, zlib.crc32(ids)) for i, at, ids in wanted.elements())
     assert Counter((r.doc_id, r.start, bytes(r.ids)) for r in plain.collect()) == wanted
     assert packing.sequences(packing.token_pieces(none, path)).count() == 0
+    # In one step it is the same, and the last windows of a partition aren't full, no others.
+    once = packing.sequences_of(docs, path, 256, block=300, pad_id=7).collect()
+    assert Counter((p.doc_id, p.start, bytes(r.ids[4 * p.offset : 4 * (p.offset + p.length)])) for r in once for p in r.pieces) == wanted
+    assert len({r.sequence_id for r in once}) == len(once) and all(len(r.ids) == 1024 for r in once)
+    assert packing.sequences_of(none, path).count() == 0
 
 
 # --- 10 toxicity ---------------------------------------------------------------------------------------------------
