@@ -41,7 +41,7 @@ def sequences(docs: DataFrame) -> DataFrame:
     """Windows of 1024 ids, padded, with the token pieces of all documents."""
     import public_tokenizers
 
-    return packing.sequences(packing.token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json")))
+    return packing.sequences_of(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [("language", language), ("quality", good), ("near_copies", unique), ("mix", mix), ("pack", pack)]
