@@ -300,7 +300,10 @@ def sentence_limit(profile: Profile, kind: Column) -> Column:
 
 @rule("SENTENCE_LENGTH")
 def sentence_length(ctx: Context) -> DataFrame:
-    rows = ctx.sentences.withColumn("words", F.size(T.tokens(F.col("text")))).withColumn("most", sentence_limit(ctx.profile, F.col("kind")))
+    # So many words and what parts them are twice as many characters, so shorter sentences needn't leave the parser.
+    limits = [n for k in ("description", "procedure", "pr") if (n := ctx.profile.parameter("CORE.SENTENCE_LENGTH", f"{k}_max_words")) > 0]
+    sentences = ctx.sentences if "sentences" in ctx.tables else structure.sentences(ctx.docs, 2 * min(limits, default=0) + 1)
+    rows = sentences.withColumn("words", F.size(T.tokens(F.col("text")))).withColumn("most", sentence_limit(ctx.profile, F.col("kind")))
     evidence = F.concat(F.col("words").cast("string"), F.lit(" words; profile limit is "), F.col("most").cast("string"))
     return finding(rows.filter("most > 0 and words > most"), ctx, "CORE.SENTENCE_LENGTH", evidence, "Split this sentence into independently verifiable claims.", policy=("enforced", "warning"))
 

@@ -455,21 +455,23 @@ def blocks(docs: DataFrame) -> DataFrame:
     return _parsed(docs, _read_blocks, f"block_no int, marker string, {SPAN}, text string")
 
 
-def _read_sentences(text: str, fmt: str) -> list[tuple]:
+def _read_sentences(text: str, fmt: str, least: int = 0) -> list[tuple]:
     at, out = Positions(text), []
     for i, b in enumerate(_blocks(text, fmt)):
         block = (i, b.marker, *at.span(b.start, b.end))
         for j, (s, e) in enumerate(sentences_of(b.text)):
-            out.append((*block, j, *at.span(b.source(s), b.source(e)), b.text[s:e]))
+            if e - s >= least:
+                out.append((*block, j, *at.span(b.source(s), b.source(e)), b.text[s:e]))
     return out
 
 
 BLOCK_SPAN = ", ".join("block_" + c for c in SPAN.split(", "))
 
 
-def sentences(docs: DataFrame) -> DataFrame:
-    """The sentences of the blocks of documents, with positions in the source and their block's (block_...)."""
-    return _parsed(docs, _read_sentences, f"block_no int, marker string, {BLOCK_SPAN}, sent_no int, {SPAN}, text string")
+def sentences(docs: DataFrame, least: int = 0) -> DataFrame:
+    """The sentences of the blocks of documents that have at least least characters, with positions in the source and their
+    block's (block_...)."""
+    return _parsed(docs, lambda text, fmt: _read_sentences(text, fmt, least), f"block_no int, marker string, {BLOCK_SPAN}, sent_no int, {SPAN}, text string")
 
 
 def _read_projection(text: str, fmt: str) -> list[tuple]:
