@@ -152,6 +152,8 @@ def run_revise(args: argparse.Namespace) -> int:
         documents = shown.select(F.col("source").alias("path"), F.octet_length("content").alias("input_bytes"), F.octet_length("text").alias("analysis_bytes"))
         system = prompts.system_text(kind)
         chunks = prompts.planned(docs, given, context or 8192, kind, most)
+        if small := chunks.filter(~F.col("fits")).select("source").distinct().limit(5).collect():
+            raise ProfileError(f"too long for the context however they are cut: {', '.join(r.source for r in small)}")
         user_text = F.substring("prompt", len(system) + 3, 1 << 30)
         requests = chunks.select(F.col("source").alias("path"), "start_byte", "end_byte", F.col("text").alias("content"), F.lit(system).alias("system"), user_text.alias("user"), F.lit(0).alias("limit"))
         valid = lambda row: revision.revisions(row["raw"])

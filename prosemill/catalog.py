@@ -128,7 +128,7 @@ word_query("ambiguous_date", "CORE.AMBIGUOUS_DATE", "notes", r"\b(?:0?[1-9]|1[0-
 _MODALS = " ".join(f"when '{k}' then '{v.replace(chr(39), chr(39) * 2)}'" for k, v in profile.resolve().dictionary["banned_modal_suggestions"].items())
 rule_query(
     "banned_modal", "CORE.BANNED_MODAL", "notes",
-    f"with {lines_sql(TEXTS['notes'][1])}, {matches_sql(r'(?i)\b(?:should|would|may|might|could)\b')} select {PLACES}, concat('banned modal: ', {quoted_sql('match')}) as evidence, case lower(match) {_MODALS} else 'Replace the unapproved modal.' end as message from found",
+    f"with {lines_sql(TEXTS['notes'][1])}, {matches_sql(r'(?i)\b(?:should|would|may|might|could)\b')} select {PLACES}, concat('banned modal: ', {quoted_sql('match')}) as evidence, case lower(match) {_MODALS} else 'Choose a modal that the profile approves.' end as message from found",
     lambda df: places(df, "message"),
 )
 
@@ -425,7 +425,7 @@ register("guidance", lambda s, d: reports.guidance(s))
 
 from prosemill.operators import prompts  # noqa: E402
 
-register("planned_requests", lambda s, d: prompts.planned(documents(s, d), profile.resolve(), 4096, most_requests=1 << 30).select("doc_id", F.col("start_byte").cast("long").alias("start_byte"), F.col("end_byte").cast("long").alias("end_byte"), "tokens"))
+register("planned_requests", lambda s, d: prompts.planned(documents(s, d), profile.resolve(), 4096, most_requests=None).select("doc_id", F.col("start_byte").cast("long").alias("start_byte"), F.col("end_byte").cast("long").alias("end_byte"), "tokens"))
 register("dictionary_guidance", lambda s, d: notes(s, d).select("doc_id", F.explode(prompts.dictionary_guidance(F.col("content"), profile.resolve())).alias("line")),
          " union all ".join(f"select o_orderkey as doc_id, '{_sql(line)}' as line from orders" for line in (
              "Avoid 'utilize'; use use. Write 'use'.", "Avoid 'in order to'; use to. Write 'to'.", "Keep 'to' (preposition).", "Avoid 'data base'; use database. Write it as one word.", "Keep 'JavaScript' (proper noun).", "Keep 'the' (article).")))

@@ -59,8 +59,5 @@ def corpus_novelty(ctx: Context) -> DataFrame:
     once = rows.withColumn("at", F.row_number().over(Window.partitionBy("doc_id", "term").orderBy("seg_no", F.when(F.col("what") == "term", 0).otherwise(1), "pos"))).filter("at = 1")
     revision = c["revision"]
     evidence = F.concat(F.lit("corpus-novelty: "), F.col("what"), F.lit(" "), quoted(F.col("term")), F.lit(" git_compare_count=0 change_count="), F.col("n").cast("string"), F.lit(f" git_compare_rev={revision}"))
-    message = F.concat(
-        F.initcap("what"), F.lit(" "), quoted(F.col("term")), F.lit(" appears "), F.col("n").cast("string"), F.lit(f" time(s) in the changed prose but has no precedent in the comparison revision ({revision[:8]}). "),
-        F.lit("If this is an established project term, consider documenting it. If not, consider plainer wording."),
-    )
+    message = F.concat(F.initcap("what"), F.lit(" "), quoted(F.col("term")), F.lit(" is new: the change has it "), F.col("n").cast("string"), F.lit(f" times, the compared revision ({revision[:8]}) nowhere. Document it if it is a term of the project, else use known words."))
     return finding(once, ctx, rule_id, evidence, message)

@@ -5,7 +5,9 @@ A token is counted as four bytes of the request. A plan never drops text: a chun
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prosemill.functions import text as T
@@ -87,20 +89,25 @@ def chunk_bytes(context: int, kind: str, references: int = 0) -> int:
     return min(MOST_CHUNK, room * BYTES)
 
 
-def planned(docs: DataFrame, profile: Profile, context: int, kind: str = "description", most_requests: int = MOST_REQUESTS) -> DataFrame:
-    """with_prompts over chunks that all fit the context. What a chunk's guidance and escapes take is only known once it is cut,
-    so those that don't fit are cut at half the size, until all fit. ProfileError beyond most_requests."""
-    size, done, rest = chunk_bytes(context, kind), None, docs
-    while True:
-        made = with_prompts(structure.chunks(rest, size), profile, kind)
-        long = made.filter(F.col("tokens") + OUTPUT + SAFETY > context).select("doc_id").distinct()
-        fits = made.join(long, "doc_id", "left_anti")
-        done = fits if done is None else done.unionByName(fits)
-        if long.isEmpty():
-            break
-        if size // 2 < LEAST:
-            raise ProfileError("a document doesn't fit the context however it is cut")
-        size, rest = size // 2, rest.join(long, "doc_id", "left_semi")
-    if (n := done.count()) > most_requests:
+def planned(docs: DataFrame, profile: Profile, context: int, kind: str = "description", most_requests: int | None = MOST_REQUESTS) -> DataFrame:
+    """with_prompts over chunks that fit the context, and fits. What a chunk's guidance and escapes take is only known once it is
+    cut, so a document of which a chunk doesn't fit is cut at half the size, a quarter and so on, and has the chunks of the
+    largest size of which all fit; where none does, those of the least, whose fits is false. One plan does it all: the smaller
+    sizes are tried on those documents alone. ProfileError beyond most_requests, if that is given."""
+    size = chunk_bytes(context, kind)
+
+    def cut(some: DataFrame, most: int, level: int) -> DataFrame:
+        made = with_prompts(structure.chunks(some, most), profile, kind)
+        return made.withColumn("level", F.lit(level)).withColumn("fits", F.col("tokens") + OUTPUT + SAFETY <= context).withColumn("all", F.min("fits").over(Window.partitionBy("doc_id")))
+
+    first, smaller = cut(docs, size, 0), [s for k in range(1, 16) if (s := size >> k) >= LEAST]
+    out = first.filter("all") if smaller else first
+    if smaller:
+        rest = docs.join(first.filter(~F.col("all")).select("doc_id").distinct(), "doc_id", "left_semi")
+        tried = reduce(DataFrame.unionByName, [cut(rest, s, k) for k, s in enumerate(smaller, 1)])
+        best = F.min(F.when(F.col("all"), F.col("level"))).over(Window.partitionBy("doc_id"))
+        out = out.unionByName(tried.withColumn("best", F.coalesce(best, F.lit(len(smaller)))).filter("level = best").drop("best"))
+    out = out.drop("level", "all")
+    if most_requests is not None and (n := out.count()) > most_requests:
         raise ProfileError(f"{n} requests are over the limit of {most_requests}")
-    return done
+    return out

@@ -105,19 +105,19 @@ def _advice(key: str, otherwise: str) -> Callable[[Context, Column], Column]:
 
 
 # --- words ---------------------------------------------------------------------------------------------------------
-# The patterns, phrases and texts of the rules.
+# The patterns and phrases of the rules.
 
-pattern_rule("CONTRACTION", r"(?i)\b\w+(?:n't|'ll|'re|'ve|'d)\b|\b(?:it's|that's|there's|here's|what's|who's|let's)\b", "contraction", "Expand the contraction. Write the words in full.")
-pattern_rule("BANNED_MODAL", r"(?i)\b(?:should|would|may|might|could)\b", "banned modal", _advice("banned_modal_suggestions", "Replace the unapproved modal."))
-pattern_rule("LATIN_ABBREV", r"(?i)\b(?:e\.g\.|i\.e\.|etc\.?)", "Latin abbreviation", _advice("banned_latin_abbrev_suggestions", "Replace the Latin abbreviation."))
-pattern_rule("ORDINAL_NUMERAL", r"(?i)\b\d{1,3}(?:st|nd|rd|th)\b", "ordinal numeral", "Spell out ordinal numbers in text (first, second, third).")
-pattern_rule("PERCENT_STYLE", r"(?i)\b\d+(?:\.\d+)?\s+percent\b", "spelled-out percent", "Pair numerals with the percent sign (40%), not the word 'percent'.")
+pattern_rule("CONTRACTION", r"(?i)\b\w+(?:n't|'ll|'re|'ve|'d)\b|\b(?:it's|that's|there's|here's|what's|who's|let's)\b", "contraction", "Write both words out.")
+pattern_rule("BANNED_MODAL", r"(?i)\b(?:should|would|may|might|could)\b", "banned modal", _advice("banned_modal_suggestions", "Choose a modal that the profile approves."))
+pattern_rule("LATIN_ABBREV", r"(?i)\b(?:e\.g\.|i\.e\.|etc\.?)", "Latin abbreviation", _advice("banned_latin_abbrev_suggestions", "Say it in English."))
+pattern_rule("ORDINAL_NUMERAL", r"(?i)\b\d{1,3}(?:st|nd|rd|th)\b", "ordinal numeral", "Write the ordinal as a word.")
+pattern_rule("PERCENT_STYLE", r"(?i)\b\d+(?:\.\d+)?\s+percent\b", "spelled-out percent", "After a numeral use the sign, as in 40%.")
 TIME_ANCHORS = [
     "as of this writing", "as of today", "as of now", "at the time of writing", "at this time", "at present", "currently", "presently", "recently", "eventually",
     "in the future", "in the near future", "does not yet", "do not yet", "doesn't yet", "don't yet", "coming soon", "going forward", "now supports", "now includes",
     "now lets", "now enables", "now can", "is now available", "is now supported", "is now enabled", "is now deprecated", "is now required", "is now optional",
 ]
-ANCHOR_MESSAGE = "Time-anchored language goes stale; state the current behavior instead. Exception: time-stamped content such as release notes and changelogs."
+ANCHOR_MESSAGE = "This phrase dates the text. Say what holds; texts that carry a date may keep it."
 HEADING_STOPWORDS = "a an the and or but nor for as at by in of on to with vs is are was were be it its".split()
 SEQUENCE_WORDS = "first second third fourth fifth sixth seventh eighth ninth tenth then next finally lastly".split()
 
@@ -126,13 +126,13 @@ SEQUENCE_WORDS = "first second third fourth fifth sixth seventh eighth ninth ten
 def ambiguous_date(ctx: Context) -> DataFrame:
     rows = matched(ctx.prose, T.ascii_boundary(r"\b(?:0?[1-9]|1[0-2])/(?:0?[1-9]|[12]\d|3[01])/(?:19|20)\d{2}\b"))
     rows = rows.filter((F.split("match", "/")[1].cast("int") <= 12) & (F.col("prev") != "/"))
-    return finding(rows, ctx, "CORE.AMBIGUOUS_DATE", F.concat(F.lit("ambiguous date: "), quoted(F.col("match"))), "Ambiguous numeric date; write it out (March 4, 2025) or in ISO 8601 form (2025-03-04).")
+    return finding(rows, ctx, "CORE.AMBIGUOUS_DATE", F.concat(F.lit("ambiguous date: "), quoted(F.col("match"))), "Readers differ on which number is the month. Name the month, or begin with the year as in 2025-03-04.")
 
 
 @rule("EXCLAMATION")
 def exclamation(ctx: Context) -> DataFrame:
     evidence = F.concat(F.lit("exclamation point at "), F.col("start_line").cast("string"), F.lit(":"), F.col("start_column").cast("string"))
-    return finding(matched(ctx.prose, "!"), ctx, "CORE.EXCLAMATION", evidence, "Avoid exclamation points in technical documentation.")
+    return finding(matched(ctx.prose, "!"), ctx, "CORE.EXCLAMATION", evidence, "End the sentence with a full stop.")
 
 
 @rule("TIME_ANCHOR")
@@ -191,7 +191,7 @@ def term_case(ctx: Context) -> DataFrame:
     found = F.concat(*[F.filter(numbered(T.positions("text", T.whole_term([e["term"]])), i), differs(e["canonical_case"])) for i, e in enumerate(entries)])
     out = exploded_with_entry(rows.withColumn("m", F.explode(found)))
     right = F.element_at(F.array(*[F.lit(e["canonical_case"]) for e in entries]), F.col("entry") + 1)
-    return finding(out, ctx, rule_id, F.concat(F.lit("canonical case is "), quoted(right)), "Term case does not match canonical form.", policy=("enforced", "warning"))
+    return finding(out, ctx, rule_id, F.concat(F.lit("canonical case is "), quoted(right)), "The dictionary writes this term in another case.", policy=("enforced", "warning"))
 
 
 @rule("TERM_UNKNOWN")
@@ -221,14 +221,14 @@ def term_consistency(ctx: Context) -> DataFrame:
     w = Window.partitionBy("doc_id", "key").orderBy("seg_no", "pos")
     rows = rows.withColumn("first", F.first("term").over(w)).filter("term <> first")
     evidence = F.concat(F.lit("term spelled as "), quoted(F.col("first")), F.lit(" and "), quoted(F.col("term")))
-    return finding(rows, ctx, "CORE.TERM_CONSISTENCY", evidence, "Term spelling is inconsistent.", policy=("candidate", "info"), placed=False)
+    return finding(rows, ctx, "CORE.TERM_CONSISTENCY", evidence, "The document spells this term in two ways.", policy=("candidate", "info"), placed=False)
 
 
 @rule("PROCEDURE_MULTI_ACTION")
 def procedure_multi_action(ctx: Context) -> DataFrame:
     text = F.trim(F.regexp_replace("text", r"^\s+|\s+$", ""))
     rows = ctx.prose.withColumn("t", text).filter((F.octet_length("t") >= 3) & F.col("t").rlike("^[0-9]") & F.col("t").contains(".") & F.lower("t").rlike(" (?:and|or) "))
-    return finding(rows, ctx, "CORE.PROCEDURE_MULTI_ACTION", F.concat(F.lit("step contains multiple actions: "), quoted(F.col("t"))), "Step may contain multiple actions.", policy=("candidate", "info"))
+    return finding(rows, ctx, "CORE.PROCEDURE_MULTI_ACTION", F.concat(F.lit("step contains multiple actions: "), quoted(F.col("t"))), "Give each action a step of its own.", policy=("candidate", "info"))
 
 
 CAPS = r"(?<![\p{L}\p{Nd}_$])[A-Z]{2,5}(?![\p{L}\p{Nd}_$])"
@@ -285,7 +285,7 @@ def unexpanded_abbrev(ctx: Context) -> DataFrame:
     said = ctx.prose.filter(F.col("text").contains("(") & F.col("text").rlike("[A-Z]{2,5}")).select(F.col("doc_id").alias("d"), F.explode(expansions(F.col("text"), ctx.profile.words("stopword"))).alias("k")).distinct()
     first = rows.withColumn("at", F.row_number().over(Window.partitionBy("doc_id", "key").orderBy("start_byte"))).filter("at = 1")
     first = first.join(said, (F.col("doc_id") == F.col("d")) & (F.col("key") == F.col("k")), "left_anti")
-    message = F.concat(F.lit("Abbreviation "), quoted(F.col("match")), F.lit(" first appears here without a parenthetical expansion anywhere in the document."))
+    message = F.concat(F.lit("Nowhere does the document say what "), quoted(F.col("match")), F.lit(" stands for; this is its first use."))
     return finding(first, ctx, "CORE.UNEXPANDED_ABBREV", F.concat(F.lit("unexpanded abbreviation: "), quoted(F.col("match"))), message)
 
 
@@ -305,7 +305,7 @@ def sentence_length(ctx: Context) -> DataFrame:
     sentences = ctx.sentences if "sentences" in ctx.tables else structure.sentences(ctx.docs, 2 * min(limits, default=0) + 1)
     rows = sentences.withColumn("words", F.size(T.tokens(F.col("text")))).withColumn("most", sentence_limit(ctx.profile, F.col("kind")))
     evidence = F.concat(F.col("words").cast("string"), F.lit(" words; profile limit is "), F.col("most").cast("string"))
-    return finding(rows.filter("most > 0 and words > most"), ctx, "CORE.SENTENCE_LENGTH", evidence, "Split this sentence into independently verifiable claims.", policy=("enforced", "warning"))
+    return finding(rows.filter("most > 0 and words > most"), ctx, "CORE.SENTENCE_LENGTH", evidence, "Make several sentences of it, each with one claim.", policy=("enforced", "warning"))
 
 
 @rule("DENSE_PARAGRAPH")
@@ -316,7 +316,7 @@ def dense_paragraph(ctx: Context) -> DataFrame:
     rows = ctx.sentences.select("doc_id", "source", "block_no", *place, F.size(T.tokens(F.col("text"))).alias("words"))
     rows = rows.groupBy("doc_id", "source", "block_no", *PLACE).agg(F.count(F.lit(1)).alias("n"), F.sum("words").alias("words"))
     evidence = F.concat(F.col("n").cast("string"), F.lit(" sentences; "), F.col("words").cast("string"), F.lit(" words"))
-    return finding(rows.filter((F.col("n") > most[0]) | (F.col("words") > most[1])), ctx, "CORE.DENSE_PARAGRAPH", evidence, "Paragraph is dense.", policy=("candidate", "info"))
+    return finding(rows.filter((F.col("n") > most[0]) | (F.col("words") > most[1])), ctx, "CORE.DENSE_PARAGRAPH", evidence, "Break the paragraph up.", policy=("candidate", "info"))
 
 
 @rule("GERUND_OPENER")
@@ -325,7 +325,7 @@ def gerund_opener(ctx: Context) -> DataFrame:
     first, after = F.lower(F.col("tokens")[0]), F.lower(F.col("tokens")[1])
     rows = rows.filter(first.endswith("ing") & (F.length(first) >= 6) & after.isin(ctx.profile.words("gerund_determiner")))
     evidence = F.concat(F.lit("sentence opens with gerund "), quoted(F.col("tokens")[0]))
-    return finding(rows, ctx, "CORE.GERUND_OPENER", evidence, "Sentence opens with a gerund. Use an imperative for instructions or a declarative subject for descriptions.", policy=("candidate", "info"))
+    return finding(rows, ctx, "CORE.GERUND_OPENER", evidence, "Begin with an imperative, or with who does it.", policy=("candidate", "info"))
 
 
 def stack_runs(text: Column, stopwords: list[str]) -> Column:
@@ -364,7 +364,7 @@ def noun_stack(ctx: Context) -> DataFrame:
     ambiguous = F.col("run.before").isin(p.words("determiner")) & F.lower(head).isin(p.words("garden_path_head"))
     stack = F.concat(F.lit("noun stack ("), F.size(words).cast("string"), F.lit(" content words): "), quoted(F.array_join(words, " ")))
     evidence = F.when(ambiguous, F.concat(F.lit("ambiguous "), stack, F.lit(" (head "), quoted(head), F.lit(" is a verb/noun homograph after a determiner)"))).otherwise(stack)
-    message = F.when(ambiguous, F.concat(F.lit("This noun sequence follows a determiner and starts with "), quoted(head), F.lit(", which reads as a verb or as a noun. Restructure it."))).otherwise("Long noun stack. Consider unpacking into subject-verb-object.")
+    message = F.when(ambiguous, F.concat(F.lit("After a determiner "), quoted(head), F.lit(" can be taken for a verb. Put the words in another order."))).otherwise("Say with verbs and prepositions how these words relate.")
     return finding(rows, ctx, "CORE.NOUN_STACK", evidence, message, policy=("candidate", "info"))
 
 
@@ -380,7 +380,7 @@ def heading_case(ctx: Context) -> DataFrame:
     rows = headings(ctx).withColumn("words", T.heading_words(F.col("text"))).filter("size(words) >= 4")
     rest = F.filter(F.slice("words", F.lit(2), F.size("words")), lambda w: ~F.lower(w).isin(HEADING_STOPWORDS))
     rows = rows.withColumn("rest", rest).filter((F.size("rest") >= 3) & F.forall("rest", T.is_capitalized))
-    return finding(rows, ctx, "CORE.HEADING_CASE", F.concat(F.lit("heading: "), quoted(F.col("text"))), "Heading appears to use title case; use sentence case for headings and titles.")
+    return finding(rows, ctx, "CORE.HEADING_CASE", F.concat(F.lit("heading: "), quoted(F.col("text"))), "Capitalise the heading like a sentence.")
 
 
 @rule("GERUND_HEADING")
@@ -388,7 +388,7 @@ def gerund_heading(ctx: Context) -> DataFrame:
     rows = headings(ctx).withColumn("words", T.heading_words(F.col("text"))).filter("size(words) >= 2")
     first = F.lower(F.col("words")[0])
     rows = rows.filter(first.endswith("ing") & (F.length(first) >= 6))
-    return finding(rows, ctx, "CORE.GERUND_HEADING", F.concat(F.lit("heading opens with gerund: "), quoted(F.col("words")[0])), "Headings should start with a bare infinitive (task) or a noun phrase (concept); avoid a leading -ing form.")
+    return finding(rows, ctx, "CORE.GERUND_HEADING", F.concat(F.lit("heading opens with gerund: "), quoted(F.col("words")[0])), "Name the task with a plain verb, or the topic with a noun.")
 
 
 @rule("HEADING_SKIP")
@@ -396,13 +396,13 @@ def heading_skip(ctx: Context) -> DataFrame:
     rows = headings(ctx).withColumn("level", F.length("marker"))
     rows = rows.withColumn("above", F.lag("level").over(Window.partitionBy("doc_id").orderBy("block_no"))).filter("level > above + 1")
     evidence = F.concat(F.lit("H"), F.col("level").cast("string"), F.lit(" follows H"), F.col("above").cast("string"))
-    return finding(rows, ctx, "CORE.HEADING_SKIP", evidence, "Do not skip heading levels; the hierarchy should descend one level at a time.")
+    return finding(rows, ctx, "CORE.HEADING_SKIP", evidence, "Use the level right below the heading above.")
 
 
 @rule("HEADING_PUNCTUATION")
 def heading_punctuation(ctx: Context) -> DataFrame:
     rows = headings(ctx).filter(F.col("text").endswith(".") & ~F.col("text").endswith(".."))
-    return finding(rows, ctx, "CORE.HEADING_PUNCTUATION", F.concat(F.lit("heading ends with period: "), quoted(F.col("text"))), "Headings should not end with a period; rewrite the heading as a label.")
+    return finding(rows, ctx, "CORE.HEADING_PUNCTUATION", F.concat(F.lit("heading ends with period: "), quoted(F.col("text"))), "Drop the full stop; a heading is a label.")
 
 
 @rule("SINGLE_ITEM_LIST")
@@ -412,11 +412,11 @@ def single_item_list(ctx: Context) -> DataFrame:
     w = Window.partitionBy("doc_id").orderBy("block_no")
     rows = ctx.blocks.withColumn("class", kind).withColumn("before", F.lag("class", 1, "").over(w)).withColumn("after", F.lead("class", 1, "").over(w))
     rows = rows.filter("class <> 'other' and before <> class and after <> class")
-    return finding(rows, ctx, "CORE.SINGLE_ITEM_LIST", F.concat(F.lit("single-item list: "), quoted(F.col("text"))), "A single item is not a list; write it in prose.")
+    return finding(rows, ctx, "CORE.SINGLE_ITEM_LIST", F.concat(F.lit("single-item list: "), quoted(F.col("text"))), "One item makes no list; put it in a sentence.")
 
 
 @rule("SEQUENTIAL_BULLET")
 def sequential_bullet(ctx: Context) -> DataFrame:
     rows = ctx.blocks.filter(F.col("marker").isin("- ", "* ", "+ ")).withColumn("words", T.heading_words(F.col("text"))).filter("size(words) > 0")
     rows = rows.filter(F.lower(F.col("words")[0]).isin(SEQUENCE_WORDS))
-    return finding(rows, ctx, "CORE.SEQUENTIAL_BULLET", F.concat(F.lit("bulleted item opens with "), quoted(F.col("words")[0])), "Sequence words indicate ordered steps; use a numbered list for sequences.")
+    return finding(rows, ctx, "CORE.SEQUENTIAL_BULLET", F.concat(F.lit("bulleted item opens with "), quoted(F.col("words")[0])), "Number the items, as their order matters.")

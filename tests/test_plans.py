@@ -173,8 +173,21 @@ def test_requests_fit_and_drop_nothing(spark):
     docs = structure.as_documents(spark.createDataFrame([(1, text)], "i long, t string"), "i", "t", fmt="markdown")
     rows = sorted(prompts.planned(docs, profile.resolve(), 4096).collect(), key=lambda r: r.start_byte)
     assert "".join(r.text for r in rows) == text and all(r.tokens + prompts.OUTPUT + prompts.SAFETY <= 4096 for r in rows)
-    assert "Avoid 'data base'" in rows[0].prompt
+    assert "Avoid 'data base'" in rows[0].prompt and all(r.fits for r in rows)
     with pytest.raises(profile.ProfileError):
         prompts.planned(docs, profile.resolve(), 2600)
     with pytest.raises(profile.ProfileError):
         prompts.planned(docs, profile.resolve(), 4096, most_requests=1)
+
+
+def test_documents_that_never_fit_are_marked(spark):
+    from prosemill.operators import prompts, structure
+
+    own = [{"term": f"t{i}", "parts_of_speech": ["noun"], "definition": "long " * 60} for i in range(60)]
+    given = profile.with_terms(profile.resolve(), own)
+    rows = [(1, " ".join(t["term"] for t in own) * 40), (2, "plain " * 3000), (3, "")]
+    docs = structure.as_documents(spark.createDataFrame(rows, "i long, t string"), "i", "t", fmt="markdown")
+    got = prompts.planned(docs, given, 4096, most_requests=None).collect()
+    for i, text in rows:
+        mine = sorted((r for r in got if r.doc_id == i), key=lambda r: r.start_byte)
+        assert "".join(r.text for r in mine) == text and all(r.fits == (i == 2) for r in mine)
