@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prosemill.functions import text as T
-from prosemill.operators import comparison, rules, structure
+from prosemill.operators import comparison, htmltext, rules, structure
 from prosemill.operators.rules import RULES, Context
 from prosemill.plans import lint, profile
 
@@ -265,7 +265,11 @@ register("blocks", lambda s, d: structure.blocks(documents(s, d)).select("doc_id
          "select doc_id, 0::bigint as block_no, '' as marker, 0::bigint as start_byte, strlen(text)::bigint as end_byte, md5(trim(replace(text, chr(10), ' '))) as text_md5 from documents")
 register("sentences", lambda s, d: structure.sentences(documents(s, d)).select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("sent_no", "start_byte", "end_byte")], F.size(T.tokens(F.col("text"))).cast("long").alias("words")),
          f"with {_S} select doc_id, sent::bigint as sent_no, start_byte::bigint as start_byte, end_byte::bigint as end_byte, len(regexp_extract_all(text, '{_LEX}'))::bigint as words from sentences")
-register("html_visible_text", lambda s, d: structure.visible_text(html_pages(s, d)))
+_BLOCK_TAG = "(?i)</?(?:" + "|".join([*sorted(htmltext.BLOCKS), "br"]) + ")(?:[\\s/][^>]*)?>"
+register("html_visible_text", lambda s, d: structure.visible_text(html_pages(s, d)),
+         f"""with a as (select page_id as doc_id, regexp_replace(html, '(?s)<head>.*?</head>|<!--.*?-->', '', 'g') as h from pages), b as (select doc_id, regexp_replace(regexp_replace(regexp_replace(h, '{_BLOCK_TAG}', chr(1), 'g'), '<[!?/A-Za-z][^>]*>', '', 'g'), '<[!?/][^>]*$', '') as h from a),
+         c as (select doc_id, replace(replace(replace(replace(h, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&') as h from b)
+         select doc_id, regexp_replace(regexp_replace(regexp_replace(h, '^\\x01+', ''), '([\\n \\t])\\x01+', '\\1', 'g'), '\\x01+', chr(10), 'g') as text from c""")
 register("html_projection", lambda s, d: structure.projection(html_pages(s, d)))
 register("chunks", lambda s, d: structure.chunks(documents(s, d), 2048).select("doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), F.col("start_byte").cast("long").alias("start_byte"), F.col("end_byte").cast("long").alias("end_byte"), F.md5(F.col("text").cast("binary")).alias("text_md5")))
 register("token_counts", lambda s, d: comparison.term_counts(documents(s, d), "content"), f"select lower(w) as term, count(*)::bigint as n from (select unnest(regexp_extract_all(text, '{T.CORPUS_TOKEN.replace(chr(39), chr(39) * 2)}')) as w from documents) group by 1")
@@ -331,7 +335,11 @@ register("findings_by_rule", lambda s, d: lint.summary(lint.lint(documents(s, d)
          " union all ".join(f"select '{r}' as rule_id, '{sv}' as severity, '{en}' as enforcement, count(*)::bigint as n, count(distinct doc_id)::bigint as docs from ({ORACLES[q]}) having count(*) > 0"
                             for r, q, sv, en in (("CORE.EXCLAMATION", "exclamation", "info", "candidate"), ("CORE.UNEXPANDED_ABBREV", "unexpanded_abbrev", "info", "candidate"), ("CORE.SENTENCE_LENGTH", "sentence_length", "warning", "enforced"))))
 register("lint_failed", lambda s, d: lint.failed(lint.lint(documents(s, d), profile.resolve(), only=["CORE.SENTENCE_LENGTH"]), "warning"), f"select count(*) > 0 as failed from ({ORACLES['sentence_length']})")
-register("rule_coverage", lambda s, d: lint.coverage(s, profile.resolve()))
+_RULES_FILE = profile.BUNDLED / "docs-en" / "1.0.0" / "rules.json"
+register("rule_coverage", lambda s, d: lint.coverage(s, profile.resolve()),
+         f"""with l as (select unnest(rules) as r, generate_subscripts(rules, 1) as i from read_json('{_RULES_FILE}')), n as (select i - 1 as ord, r.id as rule_id, case when r.enabled then r.enforcement else 'disabled' end as state from l),
+         k as (select unnest([{', '.join(f"'{r}'" for r in profile.RULES)}]) as rule_id), m as (select rule_id from k where rule_id not in (select rule_id from n))
+         select ord::int as ord, rule_id, state from n union all select ((select count(*) from n) + row_number() over (order by rule_id) - 1)::int, rule_id, 'disabled' from m""")
 
 # --- revision, references and scores -------------------------------------------------------------------------------
 
@@ -396,13 +404,22 @@ register("source_comments", lambda s, d: _comments(s, d).select("path", "sha256"
          union all select path, sha256(c), null, -1, -1, null from f where k % 5 = 0""")
 
 
+#: A file whose comments, taken together, spell a word in two ways, leave an abbreviation unexplained and go on too long.
+REMARKS = "concat('x = 1  # Check-in NPE ', {k}, chr(10), 'y = 2', chr(10), '# checkin again NPE', chr(10), 'z = ', {k}, chr(10), '# ', repeat('it is ', 14), chr(10))"
+
+
 def _lint_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, places_of = source_comments.comment_documents(_comments(spark, sf_dir))
+    files = table(spark, sf_dir, "orders").select(F.concat(F.lit("f"), F.col("o_orderkey"), F.lit(".py")).alias("path"), F.expr(REMARKS.format(k="o_orderkey")).alias("content"))
+    docs, places_of = source_comments.comment_documents(source_comments.comments(files))
     found = lint.lint(docs, profile.resolve(), only=["CORE.TERM_CONSISTENCY", "CORE.SENTENCE_LENGTH", "CORE.NOUN_STACK", "CORE.UNEXPANDED_ABBREV"])
-    return source_comments.mapped_to_comments(found, places_of).select("source", "rule_id", "comment_id", F.col("source_start").cast("long").alias("source_start"), "evidence")
+    return source_comments.mapped_to_comments(found, places_of).select("source", "rule_id", "comment_id", F.coalesce("source_start", F.lit(-1)).cast("long").alias("source_start"), "evidence")
 
 
-register("lint_comments", _lint_comments)
+register("lint_comments", _lint_comments,
+         f"""with f as (select concat('f', o_orderkey, '.py') as source, {REMARKS.format(k='o_orderkey')} as c from orders)
+         select source, 'CORE.UNEXPANDED_ABBREV' as rule_id, 'c0001' as comment_id, (strpos(c, 'NPE') - 1)::bigint as source_start, 'unexpanded abbreviation: "NPE"' as evidence from f
+         union all select source, 'CORE.TERM_CONSISTENCY', null, -1, 'term spelled as "Check-in" and "checkin"' from f
+         union all select source, 'CORE.SENTENCE_LENGTH', 'c0003', strpos(c, 'it is') - 1, '28 words; profile limit is 25' from f""")
 _MARKS = " or ".join(f"contains(html, '{m}')" for m in files.SECRET_MARKS)
 register("admitted_references", lambda s, d: files.admitted(table(s, d, "pages").select(F.col("url").alias("path"), F.col("html").cast("binary").alias("content")), None, 4000, secrets=True).select("path", "status", "reason"),
          f"select url as path, case when r is null then 'ok' else 'refused' end as status, r as reason from (select url, case when strlen(html) > 4000 then 'over 4000 bytes' when {_MARKS} then 'content looks like a secret' end as r from pages)")
@@ -418,7 +435,9 @@ register("corpus_drift", lambda s, d: reports.drift(
     table(s, d, "documents").filter("doc_id % 3 < 2").select(F.col("doc_id").cast("string").alias("path"), F.sha2(F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise("other").cast("binary"), 256).alias("sha256")),
     table(s, d, "documents").filter("doc_id % 5 > 0").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))),
          "select doc_id::varchar as path, case when doc_id % 5 = 0 then 'removed' when doc_id % 3 = 2 then 'added' else 'changed' end as change from documents where (doc_id % 5 = 0 and doc_id % 3 < 2) or (doc_id % 5 > 0 and doc_id % 3 > 0)")
-register("report_json", lambda s, d: reports.as_json(RULES["CORE.EXCLAMATION"](Context(documents(s, d), profile.resolve()))))
+register("report_json", lambda s, d: reports.as_json(RULES["CORE.EXCLAMATION"](Context(documents(s, d), profile.resolve()))),
+         f"""select to_json({{'doc_id': doc_id, 'source': concat('doc/', doc_id), 'rule_id': 'CORE.EXCLAMATION', 'rule_version': 1, 'checker': 'CORE.EXCLAMATION', 'checker_version': 1, 'enforcement': 'candidate', 'severity': 'info', 'evidence': evidence,
+         'message': 'End the sentence with a full stop.', 'suggestion': null, 'confidence': 1.0::double, 'range': {{'start_byte': start_byte, 'end_byte': end_byte, 'start_line': start_line, 'start_column': start_column, 'end_line': start_line, 'end_column': end_column}}}})::varchar as value from ({ORACLES['exclamation']})""")
 register("report_agent_lines", lambda s, d: reports.as_lines(RULES["CORE.EXCLAMATION"](Context(documents(s, d), profile.resolve())), "agent"), f"select concat('lint: INFO CORE.EXCLAMATION path:doc/', doc_id) as value from ({ORACLES['exclamation']})")
 register("chunk_progress", lambda s, d: reports.chunk_progress(structure.chunks(documents(s, d), 2048), documents(s, d)).select("doc_id", "analyzed_bytes", "complete"), "select doc_id, strlen(text)::bigint as analyzed_bytes, true as complete from documents")
 register("guidance", lambda s, d: reports.guidance(s))
