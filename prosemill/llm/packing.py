@@ -31,8 +31,9 @@ BLOCK = 8192
 #: and after such breaks, and before such spaces, whatever its tables of characters, so what lies between can be encoded by
 #: itself.
 BREAK, BEFORE_WORD, EDGE = re.compile(r"(?<=[!-~\w])\n(?=[!-~\w])"), re.compile(r"(?<=[!-~\w]) (?=[!-~\w])"), re.compile(r"[!-~\w]")
-#: Words of letters alone, which are one pre-token; marks that are one beside them; words that are remembered, and their length.
-LETTERS, MARKS, WORDS, WORD_CHARS = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+"), ".,;:!?", 1 << 19, 32
+#: Words of letters, which are one pre-token, and the one mark that may follow, which is another; words that are remembered (up
+#: to twice as many), and their length.
+WORD, WORDS, WORD_CHARS = re.compile("([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?]?)"), 1 << 19, 32
 
 
 class OtherEdge(ValueError):
@@ -40,29 +41,31 @@ class OtherEdge(ValueError):
 
 
 class Words(dict):
-    """The ids of words after a given string, each found by the tokenizer once while it is remembered."""
+    """The ids of words after a given string, each found by the tokenizer once while it is remembered. When there are too many,
+    those that aren't asked for again before there are as many once more are forgotten."""
 
     def __init__(self, after: str, encode: Callable[[str], bytes], model: Callable[[str], list]):
-        self.after, self.encode, self.model = after, encode, model
+        self.after, self.encode, self.model, self.old = after, encode, model, {}
         # Byte-level vocabularies write each byte as a printable character: printable Latin-1 as itself, the rest from 256 up.
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.shown = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
-        self.marks = {m: encode(m) for m in MARKS}
+        self.marks, self.shown_after = {m: encode(m) for m in ".,;:!?"}, after.translate(self.shown)
 
     def __missing__(self, word: str) -> bytes:
-        if not word or not EDGE.match(word[0]) or not EDGE.match(word[-1]):
-            raise OtherEdge
-        return self.found(word)
-
-    def found(self, word: str) -> bytes:
-        if LETTERS.fullmatch(word):
-            ids = array("I", [t.id for t in self.model((self.after + word).encode().decode("latin-1").translate(self.shown))]).tobytes()
-        elif word[-1:] in self.marks and LETTERS.fullmatch(word, 0, len(word) - 1):
-            return self[word[:-1]] + self.marks[word[-1]]
-        else:
+        if ids := self.old.get(word):
+            pass
+        elif m := WORD.fullmatch(word):
+            letters, mark = m.groups()
+            if mark:
+                return self[letters] + self.marks[mark]
+            ids = array("I", [t.id for t in self.model(self.shown_after + (word if word.isascii() else word.encode().decode("latin-1").translate(self.shown)))]).tobytes()
+        elif word and EDGE.match(word[0]) and EDGE.match(word[-1]):
             ids = self.encode(self.after + word)
+        else:
+            raise OtherEdge
         if len(word) <= WORD_CHARS:
             if len(self) >= WORDS:
+                self.old = dict(self)
                 self.clear()
             self[word] = ids
         return ids
@@ -87,7 +90,7 @@ def tokenizer(path: str) -> Callable[[str], bytes]:
     plain = not any(spec.get(k) for k in ("normalizer", "truncation", "padding")) and model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
     level = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
     # A special token must not reach over a space nor be a word of letters.
-    apart = all(not re.search(r"\s", t["content"]) and not LETTERS.fullmatch(t["content"]) and not any(t.get(k) for k in ("lstrip", "rstrip", "single_word")) for t in spec.get("added_tokens", []))
+    apart = all(not re.search(r"\s", t["content"]) and not WORD.fullmatch(t["content"]) and not any(t.get(k) for k in ("lstrip", "rstrip", "single_word")) for t in spec.get("added_tokens", []))
     if not (plain and level and apart):
         return library
     firsts, words, line_end = Words("", library, whole.model.tokenize), Words(" ", library, whole.model.tokenize), library("\n")
