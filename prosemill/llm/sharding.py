@@ -20,6 +20,8 @@ from .common import bits48, written
 CELL_ROWS = 20_000
 #: The ring has 2^BITS points.
 BITS = 14
+#: Places of an array of equal rows, at most.
+RUN = 1 << 17
 
 
 def ring(spark: SparkSession, shards: int, nodes: int = 64) -> list[tuple[int, int]]:
@@ -78,5 +80,8 @@ def bounded_ring(docs: DataFrame, shards: int = 8, nodes: int = 64, slack: float
     # At most shards x nodes + shards parts, so they are broadcast.
     parts = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(settle(counts, order, room))), "array<struct<arc:int,p_from:bigint,p_to:bigint,shard:int,before:bigint>>"))).withColumnRenamed("arc", "p_arc")
     placed = ranked.join(F.broadcast(parts), (F.col("arc") == F.col("p_arc")) & (F.col("low") < F.col("p_to")) & (F.col("low") + F.col("n") > F.col("p_from")))
-    placed = placed.withColumn("at", F.explode(F.sequence(F.greatest("low", "p_from"), F.least(F.col("low") + F.col("n"), F.col("p_to")) - 1)))
+    # Equal rows are dealt out again in runs of bounded length.
+    placed = placed.withColumn("last", F.least(F.col("low") + F.col("n"), F.col("p_to")) - 1)
+    placed = placed.withColumn("run", F.explode(F.sequence(F.greatest("low", "p_from"), F.col("last"), F.lit(RUN).cast("long"))))
+    placed = placed.withColumn("at", F.explode(F.sequence("run", F.least(F.col("run") + RUN - 1, F.col("last")))))
     return placed.select("doc_id", "size", "text_crc32", "shard", (F.col("before") + F.col("at") - F.col("p_from")).alias("slot"))

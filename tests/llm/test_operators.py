@@ -380,7 +380,9 @@ def test_ring(spark, odd, none):
     assert sharding.bounded_ring(none).count() == 0
 
 
-def test_a_hot_key_is_spread(spark):
+@pytest.mark.parametrize("run", [1 << 17, 7])
+def test_a_hot_key_is_spread(spark, monkeypatch, run):
+    monkeypatch.setattr(sharding, "RUN", run)
     docs = spark.range(900).select(F.when(F.col("id") < 600, 7).otherwise(F.col("id")).alias("doc_id"), F.lit("same").alias("text"))
     out = sharding.bounded_ring(docs, 8).toPandas()
     assert len(out) == 900 and sorted(out["shard"].value_counts())[0] >= 112 and not out.duplicated(["shard", "slot"]).any()
