@@ -93,10 +93,11 @@ def run_lint(args: argparse.Namespace) -> int:
         snapshot = files.snapshot(spark, repository or ".", revision).withColumnRenamed("path", "source")
         base = structure.as_documents(snapshot.selectExpr("xxhash64(source) as id", "source", "content"), "id", "content", "source")
     found = lint.lint(docs, given, base, revision).cache()
+    # The verdict fills the cache, all rules at once; lines are then read from few partitions, one after another.
+    failed = lint.failed(found, args.fail_on or config.get("fail_on") or "error").first().failed
     lines = reports.as_json(found) if args.format == "json" else reports.as_lines(found, args.format)
-    for r in lines.toLocalIterator():
+    for r in lines.coalesce(8).toLocalIterator():
         print(r.value)
-    failed = lint.failed(found, args.fail_on or config.get("fail_on") or "error").first().failed
     found.unpersist()
     lint.release()
     return int(failed)
