@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prosemill.functions import text as T
 from prosemill.operators import reports
 from prosemill.operators.structure import Positions, ready
 from prosemill.plans.profile import ProfileError
@@ -134,16 +135,26 @@ def scanned(files: DataFrame) -> DataFrame:
 def resolved(source: Column, text: Column, line: Column) -> Column:
     """Where a text that a reviewer quotes stands in a source: the occurrence that begins nearest to a line's start, the first of two as
     near, as a struct of start and end in bytes and its line; null where it doesn't occur."""
-    n = F.length(text)
-    # Occurrences may overlap: the places are those of the first character, tested one by one.
-    starts = F.filter(F.sequence(F.lit(0), F.greatest(F.length(source) - n, F.lit(0))), lambda i: F.substring(source, i + 1, n) == text)
-    head = F.array_join(F.slice(F.split(source, "\n", -1), F.lit(1), F.greatest(line - 1, F.lit(0))), "\n")
-    lines = F.size(F.split(source, "\n", -1))
-    near = F.when(F.coalesce(line, F.lit(0)) <= 1, 0).when(line > lines, 0).otherwise(F.length(head) + 1)
-    best = F.array_min(F.transform(starts, lambda i: F.struct(F.abs(i - near).alias("far"), i.alias("at"))))["at"]
-    before = F.substring(source, F.lit(1), best)
-    place = F.struct(F.octet_length(before).alias("start_byte"), (F.octet_length(before) + F.octet_length(text)).alias("end_byte"), (F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1).alias("line"))
-    return F.when((n > 0) & best.isNotNull(), place)
+    n, lines = F.length(text), F.size(F.split(source, "\n", -1))
+    line = F.coalesce(line, F.lit(0))
+    # The line breaks before a line; substring_index counts in int.
+    breaks = F.greatest(F.least(line, lines), F.lit(1)).cast("int") - 1
+    near = F.when((line <= 1) | (line > lines), 0).otherwise(F.length(F.call_function("substring_index", source, F.lit("\n"), breaks)) + 1)
+
+    def nearest(near: Column) -> Column:
+        """The first occurrence that begins at near or later, or the last before it, which is the first of the mirrored text."""
+        after = F.position(text, source, near + 1) - 1
+        behind = F.substring(source, F.lit(1), near + n - 1)
+        mirrored = F.position(F.reverse(text), F.reverse(behind))
+        before = F.when((near > 0) & (mirrored > 0), F.length(behind) - mirrored + 1 - n)
+        return T.bound(F.struct(F.when(after >= 0, after).alias("after"), before.alias("before")), lambda x: F.when((near - x["before"] <= x["after"] - near) | x["after"].isNull(), x["before"]).otherwise(x["after"]))
+
+    def place(best: Column) -> Column:
+        head = F.substring(source, F.lit(1), best)
+        at = F.struct(F.octet_length(head).alias("start_byte"), (F.octet_length(head) + F.octet_length(text)).alias("end_byte"), (F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit(""))) + 1).alias("line"))
+        return F.when(best.isNotNull(), at)
+
+    return F.when(n > 0, T.bound(T.bound(near, nearest), place))
 
 
 def title(text: Column) -> Column:

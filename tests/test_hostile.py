@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from prosemill.functions import text as T
-from prosemill.operators import htmltext, revision, rules, structure
+from prosemill.operators import evaluation, htmltext, revision, rules, structure
 from prosemill.plans import profile
 
 MB = 1_000_000
@@ -71,3 +71,11 @@ def test_many_lines(spark):
     began = time.perf_counter()
     got = structure.segments(docs).agg(F.count(F.lit(1)), F.max("seg_no"), F.max("start_line"), F.max("start_byte")).first()
     assert tuple(got) == (n, n - 1, 2 * n - 1, 4 * (n - 1)) and time.perf_counter() - began < 60
+
+
+def test_quoted_text_in_a_long_source(spark):
+    """A text that stands on every line, asked for near a line deep inside."""
+    n = 100_000
+    began = time.perf_counter()
+    at = one(spark, "éb\n" * n).select(evaluation.resolved(F.col("t"), F.lit("\né"), F.lit(70_000)).alias("at")).first()["at"]
+    assert tuple(at) == (4 * 69_998 + 3, 4 * 69_998 + 6, 69_999) and time.perf_counter() - began < 20

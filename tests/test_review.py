@@ -1,4 +1,5 @@
 import json
+import random
 import threading
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
@@ -245,6 +246,20 @@ def test_recorded_responses(spark):
     assert [(r.name, r.tokens) for r in evaluation.usage(used).collect()] == [("prompt_tokens", 12)]
 
 
+def test_nearest_occurrence(spark):
+    """Against a plain search: overlapping places, ties, lines that aren't there, longer texts than the source."""
+    rng = random.Random(3)
+    some = lambda most: "".join(rng.choice("aaé\n世") for _ in range(rng.randint(0, most)))
+    rows = [(i, some(14), some(3), rng.choice([None, -1, 0, 1, 2, 3, 4, 9, 2**40])) for i in range(400)]
+    got = {r.i: r["at"] and tuple(r["at"]) for r in spark.createDataFrame(rows, "i int, s string, t string, l long").select("i", evaluation.resolved(F.col("s"), F.col("t"), F.col("l")).alias("at")).collect()}
+    for i, s, t, line in rows:
+        lines = s.split("\n")
+        near = len("\n".join(lines[: line - 1])) + 1 if line and 1 < line <= len(lines) else 0
+        best = min(((abs(k - near), k) for k in range(len(s)) if t and s.startswith(t, k)), default=None)
+        begin = len(s[: best[1]].encode()) if best else 0
+        assert got[i] == (best and (begin, begin + len(t.encode()), s[: best[1]].count("\n") + 1)), (s, t, line)
+
+
 def test_all_targets(spark):
     scored = spark.createDataFrame([("a", 3, 0, 0.5, 0.9, 90, 60)], "run string, invalid int, non_comment int, recall double, precision double, replacement_safety int, overall_quality int")
     assert reports.missed_targets(scored).first().missed == ["invalid", "recall", "overall_quality"]
