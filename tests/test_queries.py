@@ -39,3 +39,14 @@ def test_vocabulary_runs_over_documents(spark, duck):
     assert {"phrase_counts_documents", "corpus_novelty_documents"} <= ORACLES.keys()
     assert duck.sql(ORACLES["phrase_counts_documents"]).df()["n"].sum() > duck.sql(ORACLES["phrase_counts"]).df()["n"].sum()
     assert entry.queries()["corpus_novelty_documents"](spark, SF).count() > 0
+
+
+@pytest.mark.parametrize("name", ["blocks"])
+def test_lines_that_begin_with_a_number(spark, tmp_path, name):
+    """An address or a decimal at the start of a line isn't a list item, so sentences go on over it."""
+    text = "Clerks in lich auf keit build queue\n70.32.29.134 system lich " + "wort " * 26 + "gut.\n3.5 waren es\n4)ein und\nEnde. Gut. Alles."
+    spark.createDataFrame([(1, text), (2, "Plain. Text.")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    with duckdb.connect() as duck:
+        duck.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+        got, wanted = entry.queries()[name](spark, str(tmp_path)).toPandas(), duck.sql(ORACLES[name]).df()
+    assert len(wanted) and rows(got, sorted(wanted.columns)) == rows(wanted, sorted(wanted.columns))
