@@ -41,7 +41,7 @@ def test_vocabulary_runs_over_documents(spark, duck):
     assert entry.queries()["corpus_novelty_documents"](spark, SF).count() > 0
 
 
-@pytest.mark.parametrize("name", ["blocks", "dense_paragraph", "noun_stack", "sentence_length"])
+@pytest.mark.parametrize("name", ["blocks", "sentences", "dense_paragraph", "noun_stack", "sentence_length"])
 def test_lines_that_begin_with_a_number(spark, tmp_path, name):
     """An address or a decimal at the start of a line isn't a list item, so sentences go on over it."""
     text = "Clerks in lich auf keit build queue\n70.32.29.134 system lich " + "wort " * 26 + "gut.\n3.5 waren es\n4)ein und\nEnde. Gut. Alles."
