@@ -19,6 +19,8 @@ CORPUS_TOKEN = r"[\p{L}\p{Nd}](?:[\p{L}\p{Nd}'’-]*[\p{L}\p{Nd}])?"
 #: The first two for engines that backtrack: nothing is ever given back, so matches are the same, and Java needs no stack for
 #: each part of a token, however long it is.
 POSSESSIVE = {LEX_TOKEN: r"[\p{L}\p{Nd}]++(?:(?:['’-][\p{L}\p{Nd}]|\.\p{Nd})[\p{L}\p{Nd}]*+)*+", STACK_SCAN: r"[—–;:]|[\p{L}\p{Nd}]++(?:['’-][\p{L}\p{Nd}]++)*+"}
+#: What stands before a word's first letter or digit and after its last; the latter is tried once for each run of such characters.
+EDGE_BEFORE, EDGE_AFTER = r"^[^\p{L}\p{Nd}]+", r"(?<![^\p{L}\p{Nd}])[^\p{L}\p{Nd}]++$"
 IDENTIFIER = r"(?s).\p{Lu}|\p{Nd}"
 _WORD = "[0-9A-Za-z_]"
 ASCII_B = f"(?:(?<!{_WORD})(?={_WORD})|(?<={_WORD})(?!{_WORD}))"
@@ -60,6 +62,11 @@ def bound_sql(value: str, name: str, body: str) -> str:
 
 
 def positions(text: str, pattern: str) -> Column:
+    """positions_sql as a column."""
+    return F.expr(positions_sql(text, pattern))
+
+
+def positions_sql(text: str, pattern: str) -> str:
     """Matches in the column text of a pattern that never matches the empty string, in order, as an array of structs: match, start
     and end in bytes, col: the code points before it, prev: the character before it ('' at the start).
 
@@ -71,7 +78,29 @@ def positions(text: str, pattern: str) -> Column:
     both = bound_sql(pairs, "every", f"named_struct('every', every, 'ends', {running('every', 'byte', 'col')})")
     one = """named_struct('match', x.m, 'start', get(b.ends, i).byte - octet_length(x.m), 'end', get(b.ends, i).byte, 'col', get(b.ends, i).col - length(x.m),
         'prev', case when length(x.s) > 0 then right(x.s, 1) when i > 0 then right(get(b.every, i - 1).m, 1) else '' end)"""
-    return F.expr(bound_sql(both, "b", f"transform(b.every, (x, i) -> {one})"))
+    return bound_sql(both, "b", f"transform(b.every, (x, i) -> {one})")
+
+
+def core_sql(word: str) -> str:
+    """SQL for a word without what stands around its first and last letter or digit."""
+    return f"regexp_replace(regexp_replace({word}, {literal(EDGE_BEFORE)}, ''), {literal(EDGE_AFTER)}, '')"
+
+
+def uncovered(text: str, words: str, covers: str) -> Column:
+    """Of the matches of the pattern words in the column text, those whose core no match of the pattern covers has inside.
+
+    Neither kind overlaps its own, so the only match that can cover a core is the last that begins no later. Both are sorted
+    together, a match before a core that begins where it does, and running counts say which that is, in n log n steps. All is
+    one expression: as columns the optimizer would write the matches out inside the lambdas and find them again for each word.
+    """
+    begin = f"w.start + octet_length(regexp_extract(w.match, {literal(EDGE_BEFORE + '|^')}, 0))"
+    cores = f"transform(ws, (w, i) -> {bound_sql(begin, 'b', f"named_struct('at', b, 'word', 1, 'stop', b + octet_length({core_sql('w.match')}), 'i', i)")})"
+    every = f"array_sort(concat({cores}, transform(cs, c -> named_struct('at', c.start, 'word', 0, 'stop', c.end, 'i', -1))))"
+    both = bound_sql(every, "every", f"named_struct('every', every, 'ends', {running('every', 'word')})")
+    last = "get(cs, x.k - get(b.ends, x.k).word).end"
+    free = f"filter(transform(b.every, (e, k) -> named_struct('e', e, 'k', k)), x -> x.e.word = 1 and coalesce({last} < x.e.stop, true))"
+    left = bound_sql(both, "b", f"transform({free}, x -> get(ws, x.e.i))")
+    return F.expr(bound_sql(positions_sql(text, words), "ws", bound_sql(positions_sql(text, covers), "cs", left)))
 
 
 def whole_term(terms: list[str]) -> str:

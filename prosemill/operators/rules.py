@@ -199,15 +199,12 @@ def term_unknown(ctx: Context) -> DataFrame:
     """Words that no dictionary term covers, where the profile's policy asks for them."""
     rule_id, policy = "CORE.TERM_UNKNOWN", ("candidate", "info")
     known = [e["term"] for e in ctx.profile.dictionary["entries"]]
-    rows = exploded(ctx.prose if ctx.profile.rules.get("unknown_term_policy") == "candidate" else ctx.prose.limit(0), T.positions("text", r"\S+"))
-    clean = F.regexp_replace(F.regexp_replace("match", r"^[^\p{L}\p{Nd}]+", ""), r"[^\p{L}\p{Nd}]+$", "")
-    rows = rows.withColumn("clean", clean).filter("clean <> ''")
+    words = ctx.prose.filter(F.col("text").rlike(r"[\p{L}\p{Nd}]")) if ctx.profile.rules.get("unknown_term_policy") == "candidate" else ctx.prose.limit(0)
+    # A term lies in one segment, so each segment's words are held against its own terms: nothing is joined.
+    found = T.uncovered("text", r"\S+", T.whole_term(known)) if known else T.positions("text", r"\S+")
+    rows = exploded(words, found).withColumn("clean", F.expr(T.core_sql("match"))).filter("clean <> ''")
     if known:
-        covered = exploded(ctx.prose.filter(F.col("text").rlike(T.whole_term(known))), T.positions("text", T.whole_term(known)))
-        covered = covered.select(F.col("doc_id").alias("d"), F.col("start_byte").alias("cs"), F.col("end_byte").alias("ce"))
-        lead = F.octet_length(F.regexp_extract("match", r"^[^\p{L}\p{Nd}]*", 0))
-        rows = rows.withColumn("word_start", F.col("start_byte") + lead).withColumn("word_end", F.col("start_byte") + lead + F.octet_length("clean"))
-        rows = rows.filter(~F.lower("clean").isin([k.lower() for k in known])).join(covered, (F.col("doc_id") == F.col("d")) & (F.col("cs") <= F.col("word_start")) & (F.col("ce") >= F.col("word_end")), "left_anti")
+        rows = rows.filter(~F.lower("clean").isin([k.lower() for k in known]))
     said = F.concat(F.lit("Unknown term: "), F.col("clean"))
     return finding(rows, ctx, rule_id, said, said, policy=policy)
 

@@ -103,3 +103,18 @@ def test_coverage_and_verdict(spark):
     docs = structure.as_documents(spark.createDataFrame([(1, "a!")], "i long, t string"), "i", "t", fmt="markdown")
     found = lint.lint(docs, PROFILE)
     assert not lint.failed(found, "warning").first().failed and found.count() == 1
+
+
+def test_unknown_terms_need_no_join(spark):
+    """Words are held against the terms of their own line: nothing is shuffled or sent to the driver, however many terms there are."""
+    n = 3_000
+    text = "the (data base) é-flarb, use/utilize In Order to. " * n
+    docs = structure.as_documents(spark.createDataFrame([(1, text), (2, "To use"), (3, "zork\nto zork")], "i long, t string"), "i", "t", fmt="markdown")
+    found = rules.RULES["CORE.TERM_UNKNOWN"](rules.Context(docs, PROFILE))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    raw = text.encode()
+    got = [(r.doc_id, r.start_byte, r.end_byte, r.evidence) for r in found.collect()]
+    assert [(a, b, e) for d, a, b, e in got if d > 1] == [(0, 4, "Unknown term: zork"), (8, 12, "Unknown term: zork")]
+    assert [raw[a:b].decode() for d, a, b, _ in got if d == 1] == ["é-flarb,", "use/utilize"] * n
+    assert {e for d, _, _, e in got if d == 1} == {"Unknown term: é-flarb", "Unknown term: use/utilize"}
