@@ -50,3 +50,28 @@ def test_lines_that_begin_with_a_number(spark, tmp_path, name):
         duck.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
         got, wanted = entry.queries()[name](spark, str(tmp_path)).toPandas(), duck.sql(ORACLES[name]).df()
     assert len(wanted) and rows(got, sorted(wanted.columns)) == rows(wanted, sorted(wanted.columns))
+
+
+SENTENCE_QUERIES = ["sentences", "dense_paragraph", "noun_stack", "sentence_length"]
+
+
+def differ(spark, path, name, texts):
+    """Rows of a query over texts as documents, in Spark's result and in its SQL's."""
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(path / "documents.parquet"))
+    with duckdb.connect() as duck:
+        duck.sql(f"create view documents as select * from '{path}/documents.parquet/*.parquet'")
+        got, wanted = entry.queries()[name](spark, str(path)).toPandas(), duck.sql(ORACLES[name]).df()
+    columns = sorted(wanted.columns)
+    assert len(wanted)
+    return rows(got, columns), rows(wanted, columns)
+
+
+LONG = "lich " * 30
+
+
+@pytest.mark.parametrize("name", SENTENCE_QUERIES)
+def test_etc_before_a_closing_mark(spark, tmp_path, name):
+    """What follows a closing mark after etc. decides whether a sentence ends there, as without the mark."""
+    texts = [f"Clerks{mark} {LONG}etc.{mark} {word} {LONG}ein.\nGut. Alles." for mark in ("", ")", '"', "»", '")') for word in ("Ende", "ende", "(Ende", "Ä")]
+    got, wanted = differ(spark, tmp_path, name, texts)
+    assert got == wanted
