@@ -38,6 +38,11 @@ def tokens(text: Column, pattern: str = LEX_TOKEN) -> Column:
     return F.regexp_extract_all(text, F.lit(POSSESSIVE.get(pattern, pattern)), F.lit(0))
 
 
+def lower(text: Column) -> Column:
+    """Lower case, one letter for each: a capital I with a dot gives i, where Java gives i and a combining dot."""
+    return F.lower(F.translate(text, "İ", "i"))
+
+
 def literal(text: str) -> str:
     """A string as a literal of SQL."""
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"

@@ -336,13 +336,13 @@ def stack_runs(text: Column, stopwords: list[str]) -> Column:
         def one(at: Column, k: Column) -> Column:
             last = F.get(cuts, k - 1)
             head = F.get(words, last)
-            before = F.when((last < 0) | mark(head), "").otherwise(F.lower(head))
+            before = F.when((last < 0) | mark(head), "").otherwise(T.lower(head))
             return F.when(k > 0, F.struct(F.slice(words, last + 2, at - last - 1).alias("words"), before.alias("before")))
 
         return F.filter(F.transform(cuts, one), lambda r: F.size(r["words"]) > 0)
 
     def cut(words: Column) -> Column:
-        at = F.filter(F.transform(words, lambda t, i: F.when(mark(t) | F.lower(t).isin(stopwords), i)), lambda i: i.isNotNull())
+        at = F.filter(F.transform(words, lambda t, i: F.when(mark(t) | T.lower(t).isin(stopwords), i)), lambda i: i.isNotNull())
         return F.struct(words.alias("words"), F.concat(F.array(F.lit(-1)), at, F.array(F.size(words))).alias("cuts"))
 
     return T.bound(T.bound(T.tokens(text, T.STACK_SCAN), cut), runs)
@@ -353,12 +353,12 @@ def noun_stack(ctx: Context) -> DataFrame:
     p = ctx.profile
     least = p.parameter("CORE.NOUN_STACK", "min_stack_length", 3)
     rows = ctx.sentences.filter("marker = ''").withColumn("run", F.explode(F.filter(stack_runs(F.col("text"), p.words("stopword")), lambda r: F.size(r["words"]) >= least)))
-    words, last = F.col("run.words"), F.lower(F.element_at(F.col("run.words"), -1))
+    words, last = F.col("run.words"), T.lower(F.element_at(F.col("run.words"), -1))
     participle = last.isin(p.words("irregular_participle")) | ((F.octet_length(last) >= 4) & last.endswith("ed") & ~last.isin(p.words("participle_head_exception")))
-    rows = rows.filter(~F.exists(words, lambda w: F.lower(w).isin(p.words("finite_verb"))) & ~participle)
+    rows = rows.filter(~F.exists(words, lambda w: T.lower(w).isin(p.words("finite_verb"))) & ~participle)
     rows = rows.filter(~(F.col("kind").isin("code-comment", "pr") & F.exists(words, T.is_identifier)))
     head = words[0]
-    ambiguous = F.col("run.before").isin(p.words("determiner")) & F.lower(head).isin(p.words("garden_path_head"))
+    ambiguous = F.col("run.before").isin(p.words("determiner")) & T.lower(head).isin(p.words("garden_path_head"))
     stack = F.concat(F.lit("noun stack ("), F.size(words).cast("string"), F.lit(" content words): "), quoted(F.array_join(words, " ")))
     evidence = F.when(ambiguous, F.concat(F.lit("ambiguous "), stack, F.lit(" (head "), quoted(head), F.lit(" is a verb/noun homograph after a determiner)"))).otherwise(stack)
     message = F.when(ambiguous, F.concat(F.lit("After a determiner "), quoted(head), F.lit(" can be taken for a verb. Put the words in another order."))).otherwise("Say with verbs and prepositions how these words relate.")

@@ -75,3 +75,12 @@ def test_etc_before_a_closing_mark(spark, tmp_path, name):
     texts = [f"Clerks{mark} {LONG}etc.{mark} {word} {LONG}ein.\nGut. Alles." for mark in ("", ")", '"', "»", '")') for word in ("Ende", "ende", "(Ende", "Ä")]
     got, wanted = differ(spark, tmp_path, name, texts)
     assert got == wanted
+
+
+@pytest.mark.parametrize("name", SENTENCE_QUERIES)
+def test_capitals_are_letters_and_lower_case_has_one_letter(spark, tmp_path, name):
+    """A Roman numeral or a letter in a circle isn't a capital letter, and a capital I with a dot is lowered to i."""
+    texts = [f"Clerks {LONG}etc. {word} {LONG}ein.\nGut. Alles." for word in ("Ⅷ", "Ⓐ", "Ä", "ä")]
+    texts += [f"Clerks {LONG}{word} Und {LONG}ein.\nGut. Alles." for word in ("İ.", "fİg.", "(İ.", "vİ.", "É.")]
+    got, wanted = differ(spark, tmp_path, name, texts)
+    assert got == wanted
