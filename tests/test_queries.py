@@ -84,3 +84,11 @@ def test_capitals_are_letters_and_lower_case_has_one_letter(spark, tmp_path, nam
     texts += [f"Clerks {LONG}{word} Und {LONG}ein.\nGut. Alles." for word in ("İ.", "fİg.", "(İ.", "vİ.", "É.")]
     got, wanted = differ(spark, tmp_path, name, texts)
     assert got == wanted
+
+
+@pytest.mark.parametrize("name", SENTENCE_QUERIES)
+def test_separators_of_data_are_no_white_space(spark, tmp_path, name):
+    """U+001C to U+001F, which Python counts as white space, neither end a word nor stand around a sentence."""
+    texts = [f"Clerks {LONG}gut.{c}Und {LONG}ein.\nGut. Alles.{c} {c}Ende" for c in "\x1c\x1d\x1e\x1f"] + ["Gut\x1fa. Und gut. \x1e. Alles etc. \x1dUnd. Gut."]
+    got, wanted = differ(spark, tmp_path, name, texts)
+    assert got == wanted
