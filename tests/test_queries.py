@@ -92,3 +92,11 @@ def test_separators_of_data_are_no_white_space(spark, tmp_path, name):
     texts = [f"Clerks {LONG}gut.{c}Und {LONG}ein.\nGut. Alles.{c} {c}Ende" for c in "\x1c\x1d\x1e\x1f"] + ["Gut\x1fa. Und gut. \x1e. Alles etc. \x1dUnd. Gut."]
     got, wanted = differ(spark, tmp_path, name, texts)
     assert got == wanted
+
+
+@pytest.mark.parametrize("name", SENTENCE_QUERIES)
+def test_white_space_after_the_last_word(spark, tmp_path, name):
+    """A text's last sentence ends with its last word, however many spaces follow."""
+    texts = [f"Clerks gut. {LONG}system{end}{spaces}" for end in ("", ".", ".\nUnd build queue system") for spaces in ("", " ", "   ")]
+    got, wanted = differ(spark, tmp_path, name, [*texts, "Eins. Zwei. Drei. Vier. "])
+    assert got == wanted
