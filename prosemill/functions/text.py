@@ -40,7 +40,7 @@ def tokens(text: Column, pattern: str = LEX_TOKEN) -> Column:
 
 def lower(text: Column) -> Column:
     """Lower case, one letter for each: a capital I with a dot gives i, where Java gives i and a combining dot."""
-    return F.lower(F.translate(text, "İ", "i"))
+    return F.lower(F.replace(text, F.lit("İ"), F.lit("i")))
 
 
 def literal(text: str) -> str:
