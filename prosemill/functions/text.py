@@ -6,6 +6,7 @@ ascii_boundary, so that a result doesn't depend on the engine.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 from functools import reduce
 
@@ -86,26 +87,45 @@ def positions_sql(text: str, pattern: str) -> str:
     return bound_sql(both, "b", f"transform(b.every, (x, i) -> {one})")
 
 
+def totals(values: str) -> str:
+    """running for an array of numbers: cheaper by far, as no struct is made."""
+    steps = f"filter(array({', '.join(str(1 << k) for k in range(31))}), d -> d < size({values}))"
+    return f"aggregate({steps}, {values}, (acc, d) -> transform(acc, (x, i) -> if(i < d, x, x + get(acc, i - d))))"
+
+
 def core_sql(word: str) -> str:
-    """SQL for a word without what stands around its first and last letter or digit."""
-    return f"regexp_replace(regexp_replace({word}, {literal(EDGE_BEFORE)}, ''), {literal(EDGE_AFTER)}, '')"
+    """SQL for a word without what stands around its first and last letter or digit; nothing does in most words."""
+    return f"if({word} rlike {literal(r'^[0-9A-Za-z]++\z')}, {word}, regexp_replace(regexp_replace({word}, {literal(EDGE_BEFORE)}, ''), {literal(EDGE_AFTER)}, ''))"
 
 
-def uncovered(text: str, words: str, covers: str) -> Column:
-    """Of the matches of the pattern words in the column text, those whose core no match of the pattern covers has inside.
+def words(text: str, covers: str | None = None) -> Column:
+    """The parts of the column text between white space, in order, as an array of structs: match, clean (core_sql of it) and end:
+    where it ends, in bytes times 2^32 plus code points. Those whose clean part a match of the pattern covers has inside are left out.
 
-    Neither kind overlaps its own, so the only match that can cover a core is the last that begins no later. Both are sorted
-    together, a match before a core that begins where it does, and running counts say which that is, in n log n steps. All is
-    one expression: as columns the optimizer would write the matches out inside the lambdas and find them again for each word.
+    Matches of covers don't overlap, so the only one that can have such a part inside is the last that begins no later; a search
+    by halves finds it, in words that some match touches. Texts without a match skip all that. All is one expression: as columns
+    the optimizer would write the matches out inside the lambdas, and the clean part wherever it is used.
     """
-    begin = f"w.start + octet_length(regexp_extract(w.match, {literal(EDGE_BEFORE + '|^')}, 0))"
-    cores = f"transform(ws, (w, i) -> {bound_sql(begin, 'b', f"named_struct('at', b, 'word', 1, 'stop', b + octet_length({core_sql('w.match')}), 'i', i)")})"
-    every = f"array_sort(concat({cores}, transform(cs, c -> named_struct('at', c.start, 'word', 0, 'stop', c.end, 'i', -1))))"
-    both = bound_sql(every, "every", f"named_struct('every', every, 'ends', {running('every', 'word')})")
-    last = "get(cs, x.k - get(b.ends, x.k).word).end"
-    free = f"filter(transform(b.every, (e, k) -> named_struct('e', e, 'k', k)), x -> x.e.word = 1 and coalesce({last} < x.e.stop, true))"
-    left = bound_sql(both, "b", f"transform({free}, x -> get(ws, x.e.i))")
-    return F.expr(bound_sql(positions_sql(text, words), "ws", bound_sql(positions_sql(text, covers), "cs", left)))
+    size = "shiftleft(bigint(octet_length(get(gs, i)) + octet_length(w)), 32) + length(get(gs, i)) + length(w)"
+    sizes = bound_sql(f"split(`{text}`, '\\\\S+', -1)", "gs", f"transform(ws, (w, i) -> {size})")
+    ends = bound_sql(sizes, "ns", totals("ns"))
+    every = bound_sql(f"regexp_extract_all(`{text}`, '\\\\S+', 0)", "ws", bound_sql(ends, "es", f"transform(ws, (w, i) -> named_struct('match', w, 'clean', {core_sql('w')}, 'end', get(es, i)))"))
+    if covers is None:
+        return F.expr(every)
+    halves = f"filter(array({', '.join(str(1 << k) for k in reversed(range(31)))}), d -> d < size(vs))"
+    last = lambda at: f"get(vs, aggregate(hs, 0, (k, d) -> if(coalesce(get(vs, k + d).start <= {at}, false), k + d, k)))"
+    begin = f"z - octet_length(x.match) + octet_length(regexp_extract(x.match, {literal(EDGE_BEFORE + '|^')}, 0))"
+    inside = bound_sql(begin, "b", bound_sql(last("b"), "v", f"v.start <= b and v.end >= b + octet_length(x.clean)"))
+    touched = bound_sql(last("z - 1"), "v", "v.start < z and v.end > z - octet_length(x.match)")
+    covered = bound_sql("int(shiftright(x.end, 32))", "z", f"if({touched}, {inside}, false)")
+    free = bound_sql(positions_sql(text, covers), "vs", bound_sql(halves, "hs", f"filter({every}, x -> not {covered})"))
+    return F.expr(f"if(`{text}` rlike {literal(covers)}, {free}, {every})")
+
+
+def is_word(term: str) -> bool:
+    """Whether a term is one word that begins and ends with a letter or digit."""
+    edges = [unicodedata.category(c) for c in (term[:1] + term[-1:])]
+    return bool(edges) and all(c[0] == "L" or c == "Nd" for c in edges) and not any(c in "\t\n\v\f\r " for c in term)
 
 
 def whole_term(terms: list[str]) -> str:

@@ -199,12 +199,19 @@ def term_unknown(ctx: Context) -> DataFrame:
     """Words that no dictionary term covers, where the profile's policy asks for them."""
     rule_id, policy = "CORE.TERM_UNKNOWN", ("candidate", "info")
     known = [e["term"] for e in ctx.profile.dictionary["entries"]]
-    words = ctx.prose.filter(F.col("text").rlike(r"[\p{L}\p{Nd}]")) if ctx.profile.rules.get("unknown_term_policy") == "candidate" else ctx.prose.limit(0)
-    # A term lies in one segment, so each segment's words are held against its own terms: nothing is joined.
-    found = T.uncovered("text", r"\S+", T.whole_term(known)) if known else T.positions("text", r"\S+")
-    rows = exploded(words, found).withColumn("clean", F.expr(T.core_sql("match"))).filter("clean <> ''")
-    if known:
-        rows = rows.filter(~F.lower("clean").isin([k.lower() for k in known]))
+    lines = ctx.prose.filter(F.col("text").rlike(r"[\p{L}\p{Nd}]")) if ctx.profile.rules.get("unknown_term_policy") == "candidate" else ctx.prose.limit(0)
+    # A term of one word covers what equals it. The others lie in one segment each, so its words are held against its own such
+    # terms: nothing is joined.
+    alone, phrases = [k for k in known if T.is_word(k)], [k for k in known if not T.is_word(k)]
+    rows = lines.withColumn("m", F.explode(T.words("text", T.whole_term(phrases) if phrases else None)))
+    rows = rows.filter("m.clean <> ''")
+    if alone:
+        rows = rows.filter(~T.lower(F.col("m.clean")).isin([k.replace("İ", "i").lower() for k in alone]))
+    end, column = F.shiftright("m.end", 32), F.col("start_column") + F.col("m.end").bitwiseAND(0xFFFFFFFF)
+    rows = rows.select(
+        "doc_id", "source", (F.col("start_byte") + end - F.octet_length("m.match")).alias("start_byte"), (F.col("start_byte") + end).alias("end_byte"), "start_line", F.col("start_line").alias("end_line"),
+        (column - F.length("m.match")).alias("start_column"), column.alias("end_column"), F.col("m.clean").alias("clean"),
+    )
     said = F.concat(F.lit("Unknown term: "), F.col("clean"))
     return finding(rows, ctx, rule_id, said, said, policy=policy)
 

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from prosemill.operators import rules, structure
 from prosemill.plans import lint, profile
@@ -118,3 +119,25 @@ def test_unknown_terms_need_no_join(spark):
     assert [(a, b, e) for d, a, b, e in got if d > 1] == [(0, 4, "Unknown term: zork"), (8, 12, "Unknown term: zork")]
     assert [raw[a:b].decode() for d, a, b, _ in got if d == 1] == ["é-flarb,", "use/utilize"] * n
     assert {e for d, _, _, e in got if d == 1} == {"Unknown term: é-flarb", "Unknown term: use/utilize"}
+
+
+def test_unknown_terms_are_read_by_every_core(spark):
+    """A file of one row group is read by one task; the notes made of it are spread before they are parsed."""
+    import __spark_entry__ as entry
+
+    found = entry.queries()["term_unknown"](spark, "/root/testdata/sf0.001")
+    parts = found.select(F.spark_partition_id().alias("part")).distinct().count()
+    assert spark.read.parquet("/root/testdata/sf0.001/orders.parquet").rdd.getNumPartitions() == 1 and parts > 1
+
+
+def test_unknown_terms_at_edges(spark):
+    """Words with marks around them, phrases that cover some words of others, and letters of several bytes."""
+    lines = ["pre-data base-x data base, (data base) «data base»", "In Order to. in order tox in order", "é-ü ÜBER! ...!! -- 12. ₂x٣", "datá base to 𝔘𝔘 𝒳data", "use/data base to"]
+    docs = structure.as_documents(spark.createDataFrame([(1, "\n".join(lines))], "i long, t string"), "i", "t", fmt="markdown")
+    raw = "\n".join(lines).encode()
+    got = [(raw[r.start_byte : r.end_byte].decode(), r.evidence[14:], r.start_line, r.start_column) for r in rules.RULES["CORE.TERM_UNKNOWN"](rules.Context(docs, PROFILE)).collect()]
+    assert all(lines[line - 1][column - 1 :].startswith(word) for word, _, line, column in got)
+    assert [g[:2] for g in got] == [
+        ("pre-data", "pre-data"), ("base-x", "base-x"), ("in", "in"), ("order", "order"), ("tox", "tox"), ("in", "in"), ("order", "order"), ("é-ü", "é-ü"), ("ÜBER!", "ÜBER"), ("12.", "12"),
+        ("₂x٣", "x٣"), ("datá", "datá"), ("base", "base"), ("𝔘𝔘", "𝔘𝔘"), ("𝒳data", "𝒳data"), ("use/data", "use/data"),
+    ]
